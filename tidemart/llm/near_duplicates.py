@@ -145,6 +145,7 @@ def _leaves(reps: DataFrame, p: Params) -> DataFrame:
 
 def _branched(rows: DataFrame, p: Params) -> DataFrame:
     """``node``, ``rep``, ``component``, ``n``, ``sig`` one level deeper."""
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +154,7 @@ def _branched(rows: DataFrame, p: Params) -> DataFrame:
             nodes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
             children = _children(nodes, _matrix(batch.column(4), p.coordinates), p.branches)
             for j in range(p.branches):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(children[:, j]).view(np.int64)), *batch.columns[1:]], names=rows.columns)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(children[:, j]).view(np.int64)), *batch.columns[1:]], names=names)
 
     return rows.mapInArrow(run, rows.schema)
 

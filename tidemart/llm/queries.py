@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, near_duplicates, packing, warc
+from . import ann, exact_topk, language_id, licenses, mixing, near_duplicates, packing, secrets, token_counts, warc
 from .common import shared_path, table
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +24,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, ann.Params(k=20))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes, mix = mixing.plan_for(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
     return mixing.report(sizes, mix)
@@ -32,6 +37,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), near_duplicates.Params(shingle_words=2, percent=80))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.fit(secrets.labelled_findings(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "rule", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
@@ -42,6 +53,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), end_id=2, capacity=4096)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_counts.sentencepiece_vocabulary(tokenizer_path(PIECES))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary, byte_fallback=True)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, exact_topk.Params(k=5, scale=256.0))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -50,12 +74,39 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+#: Brute force over all rows, as SQL.
+EXACT_TOPK_SQL = """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_inner_product(q.x, d.x) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+WARC_SQL = """WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, bytes,
+    list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT) + 1, 1)), lambda a, b: a || b) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, bytes) AS first FROM d)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_source_mix": op2_source_mix,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_secret_scan": op4_secret_scan,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "op7_token_counts": op7_token_counts,
+    "op8_license_scan": op8_license_scan,
+    "op9_exact_topk": op9_exact_topk,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc": WARC_SQL, "op8_license_scan": licenses.oracle_sql(), "op9_exact_topk": EXACT_TOPK_SQL}
