@@ -8,17 +8,21 @@ that are in it) and a set goes to one child for each, named by its minwise value
 there; sets that agree in much end up together.  After ``depth`` levels:
 
 1. in every node the smallest id is paired with each other member;
-2. pairs whose signatures allow it are confirmed on the full sets, and the
-   confirmed links are joined into components;
+2. in nodes that then hold several components, some of them of more than one
+   member, a few other members are paired with those of other components;
 3. nodes that still hold several components are compared exhaustively across
-   components, by signature and then on the full sets.  A node beyond
-   ``node_limit`` members is branched further; one that stays large is cut in
-   blocks, all of whose pairs of blocks are compared, each in its own task.
-
-Already connected members are never paired again, so a group of n copies costs
-about n pairs.  A link of similarity s is missed by one tree with probability
-q(depth), q(k) = (1 - s + s q(k - 1)) ** branches, q(0) = 0; at the limit of 0.8
-four trees of three levels with two branches miss about one link in 80,000.
+   components.  Members outside a node's largest component are dealt in parts and
+   all its members in blocks, and each part meets each block in a group of its
+   own, so no group outgrows ``2 * node_limit``; a pair that meets in several
+   nodes is looked at in the first.
+
+After each step the pairs whose signatures allow it are confirmed on the full
+sets, and the links are joined into components.  Connected members are never
+paired again, so a group of n copies costs about n pairs.  Levels look at disjoint
+signature positions.  A link of similarity s is missed by one tree with
+probability q(depth), q(k) = (1 - s + s q(k - 1)) ** branches, q(0) = 0; at the
+limit of 0.8 four trees of three levels with two branches miss about one link in
+80,000.  With more sets there are more levels, so that nodes stay small.
 
 Words are runs of characters other than ASCII white space, after lower-casing A-Z.
 
@@ -31,11 +35,11 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -52,14 +56,16 @@ _M = np.uint64(0xBF58476D1CE4E5B9)
 class Params:
     shingle_words: int = 5
     percent: int = 80
-    coordinates: int = 64
+    coordinates: int = 72
     trees: int = 4
-    depth: int = 3
+    #: Levels; by default three, and one more for each 20-fold number of sets beyond ``sets_at_three``.
+    depth: int | None = None
+    sets_at_three: int = 4_000_000
     branches: int = 2
-    node_limit: int = 256
-    more_levels: int = 4
-    #: Least share of equal signature positions of a pair worth confirming: 5 standard deviations below the limit.
-    least_estimate: float = 0.55
+    leaders: int = 8
+    node_limit: int = 2048
+    #: Least share of equal signature positions of a pair worth confirming: more than 3 standard errors below 0.8.
+    least_estimate: float = 0.64
     seed: int = 20240601
 
 
@@ -92,16 +98,20 @@ def _factors(p: Params) -> np.ndarray:
     return np.random.default_rng(p.seed).integers(0, 1 << 62, p.coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _children(nodes: np.ndarray, signatures: np.ndarray, branches: int) -> np.ndarray:
-    """Keys of the children of ``nodes`` (rows x nodes) that each row's signature leads to."""
-    size = np.uint64(signatures.shape[1])
-    out = []
-    place = _mix(nodes + _K) % size
-    for j in range(branches):
-        value = np.take_along_axis(signatures, place.astype(np.int64), axis=1).astype(np.uint64)
-        out.append(_mix(nodes * _K + _mix(value * _K + place + np.uint64(1))))
-        place = (place + np.uint64(1) + _mix(nodes + np.uint64(j + 7)) % (size - np.uint64(1))) % size
-    return np.concatenate(out, axis=1)
+def _tree_leaves(sig: np.ndarray, p: Params, depth: int) -> np.ndarray:
+    """The last nodes (rows x nodes) that each row's signature leads to; equal places are the same path of choices."""
+    width = np.uint64(sig.shape[1] // depth)
+    roots = _mix((np.arange(p.trees, dtype=np.uint64) + np.uint64(1)) * _K + np.uint64(p.seed))
+    nodes = np.repeat(roots[None, :], len(sig), axis=0)
+    for level in range(depth):
+        place, children = _mix(nodes + _K) % width, []
+        for j in range(p.branches):
+            at = place + width * np.uint64(level)
+            value = np.take_along_axis(sig, at.astype(np.int64), axis=1).astype(np.uint64)
+            children.append(_mix(nodes * _K + _mix(value * _K + at + np.uint64(1))))
+            place = (place + np.uint64(1) + _mix(nodes + np.uint64(j + 7)) % (width - np.uint64(1))) % width
+        nodes = np.concatenate(children, axis=1)
+    return nodes
 
 
 def _matrix(column: pa.Array, coordinates: int) -> np.ndarray:
@@ -125,40 +135,19 @@ def sketch(docs: DataFrame, p: Params, *, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, sig binary")
 
 
-def _leaves(reps: DataFrame, p: Params) -> DataFrame:
+def _leaves(reps: DataFrame, p: Params, depth: int) -> DataFrame:
     """``node``, ``rep`` for the last level of all trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = _mix((np.arange(p.trees, dtype=np.uint64) + np.uint64(1)) * _K + np.uint64(p.seed))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = _matrix(batch.column(1), p.coordinates)
-            nodes = np.repeat(roots[None, :], batch.num_rows, axis=0)
-            for _ in range(p.depth):
-                nodes = _children(nodes, sig, p.branches)
-            rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), nodes.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(rep, pa.int64())], names=["node", "rep"])
+            if batch.num_rows:
+                nodes = _tree_leaves(_matrix(batch.column(1), p.coordinates), p, depth)
+                rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), nodes.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(rep, pa.int64())], names=["node", "rep"])
 
     return reps.select("rep", "sig").mapInArrow(run, "node long, rep long")
 
 
-def _branched(rows: DataFrame, p: Params) -> DataFrame:
-    """``node``, ``rep``, ``component``, ``n``, ``sig`` one level deeper."""
-    names = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            nodes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
-            children = _children(nodes, _matrix(batch.column(4), p.coordinates), p.branches)
-            for j in range(p.branches):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(children[:, j]).view(np.int64)), *batch.columns[1:]], names=names)
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def _allowed(rows: DataFrame, p: Params) -> DataFrame:
     """``a``, ``b`` of the pairs (with ``n`` and ``sig`` of both) that size and signature allow."""
 
@@ -173,29 +162,80 @@ def _allowed(rows: DataFrame, p: Params) -> DataFrame:
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _pairs_across(members: DataFrame, p: Params, keys: list[str]) -> DataFrame:
-    """``a``, ``b`` with likely signatures and of different components, from bounded groups."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rep")
-        rep, comp, n = (group[c].to_numpy() for c in ("rep", "component", "n"))
-        sig = np.frombuffer(b"".join(group["sig"]), dtype="<u4").reshape(len(group), -1)
-        found = []
-        for i in range(len(group) - 1):
-            near = (comp[i + 1 :] != comp[i]) & (np.minimum(n[i], n[i + 1 :]) * 100 >= np.maximum(n[i], n[i + 1 :]) * p.percent)
-            j = np.flatnonzero(near) + i + 1
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= p.least_estimate] if len(j) else j
+def _across(node: int, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, probe: np.ndarray, sig: np.ndarray, p: Params, depth: int) -> np.ndarray:
+    """Pairs of a probe and any member, of different components and with likely signatures, that first meet in ``node``."""
+    leaves, found = _tree_leaves(sig, p, depth), []
+    for i in np.flatnonzero(probe):
+        j = np.flatnonzero((comp != comp[i]) & (np.minimum(n[i], n) * 100 >= np.maximum(n[i], n) * p.percent))
+        j = j[(sig[j] == sig[i]).mean(axis=1) >= p.least_estimate]
+        if len(j):
+            first = (leaves[j] == leaves[i]).argmax(axis=1)
+            j = j[leaves[i][first] == node]
             found.append(np.column_stack([np.full(len(j), rep[i]), rep[j]]))
-        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
+    return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
 
-    return members.groupBy(*keys).applyInPandas(run, "a long, b long")
 
+def _pairs_across(members: DataFrame, p: Params, depth: int) -> DataFrame:
+    """``a`` < ``b`` from all groups of ``node``, ``part``, ``block``, one group held at a time."""
 
-def _in_blocks(members: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
-    """Rows of large nodes, once for each pair of blocks that theirs takes part in."""
-    rows = members.join(sizes.select("node", F.ceil(F.col("size") / p.node_limit).cast("int").alias("blocks")), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "n", "sig")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def solved() -> pa.RecordBatch:
+            group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            rep, comp, n, probe = (group.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "n", "probe"))
+            pairs = _across(np.int64(key[0]).view(np.uint64), rep, comp, n, probe.astype(bool), _matrix(group.column("sig"), p.coordinates), p, depth)
+            return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)] if len(keys) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and tuple(keys[lo]) != key:
+                    yield solved()
+                    held = []
+                key = tuple(keys[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield solved()
+
+    keys = ["node", "part", "block"]
+    rows = members.select(*keys, "rep", "component", "n", "probe", "sig").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _open_nodes(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of nodes that hold several components, and each such node's figures."""
+    rows = members.where("size > 2").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
+    counts = rows.groupBy("node", "component").agg(F.count("*").alias("c"))
+    nodes = counts.groupBy("node").agg(F.sum("c").alias("size"), F.count("*").alias("components"), F.max(F.struct("c", "component")).alias("major")).where("components > 1")
+    return rows, nodes.select("node", "size", "components", F.col("major.component").alias("major"), (F.col("size") - F.col("major.c")).alias("minor"))
+
+
+def _led(rows: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+    """``a`` < ``b``: a few members of each node, the same ones wherever they are, with those of other components."""
+    some = rows.join(nodes.where("components < size").select("node"), "node")
+    h = F.xxhash64("rep", F.lit(p.seed))
+    each = [F.min(F.when(F.pmod(h, F.lit(p.leaders)) == c, F.struct(h.alias("h"), F.col("rep").alias("rep"), F.col("component").alias("component")))) for c in range(p.leaders)]
+    chosen = some.groupBy("node").agg(*[m.alias(f"l{c}") for c, m in enumerate(each)]).select("node", F.array_compact(F.array(*[f"l{c}" for c in range(p.leaders)])).alias("leaders"))
+    other = F.filter("leaders", lambda x: x["component"] != F.col("component"))
+    pairs = some.join(chosen, "node").select("rep", F.explode(F.transform(other, lambda x: x["rep"])).alias("leader"))
+    return pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+
+
+def _dealt(rows: DataFrame, nodes: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
+    """Rows of open nodes by ``node``, ``part`` of its minor members, ``block`` of all."""
+    sized = nodes.select("node", "major", F.ceil(F.col("minor") / p.node_limit).cast("int").alias("parts"), F.ceil(F.col("size") / p.node_limit).cast("int").alias("blocks"))
+    full = rows.join(sized, "node").join(reps.select("rep", "n", "sig"), "rep").withColumn("minor", F.col("component") != F.col("major"))
+    h = F.xxhash64("rep", F.lit(p.seed + 1))
+    own = F.pmod(h, F.col("blocks")).cast("int")
+    as_member = full.withColumn("block", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    part = F.pmod(F.shiftrightunsigned(h, 20), F.col("parts")).cast("int")
+    as_member = as_member.withColumn("probe", F.col("minor") & (part == F.col("part")))
+    elsewhere = full.where("minor and blocks > 1").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("block") != own)
+    columns = ["node", "part", "block", "rep", "component", "n", "probe", "sig"]
+    return as_member.select(*columns).unionByName(elsewhere.withColumn("probe", F.lit(True)).select(*columns))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
@@ -230,41 +270,32 @@ def near_duplicates(docs: DataFrame, params: Params | None = None, *, id_col: st
         rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.sig"),
         "distinct-sets",
     )
-    leaves = _leaves(reps, p)
+    depth = p.depth or 3 + max(0, math.ceil(math.log(max(1, reps.count()) / p.sets_at_three) / math.log(20)))
+    leaves = _leaves(reps, p, depth)
     shared = leaves.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1")
     members = materialize(leaves.join(shared, "node"), "nodes")
-
-    def side(name: str) -> DataFrame:
-        return reps.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
+    figures = reps.select("rep", "n", "sig")
+
+    def linked(pairs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The likely ones of ``pairs``, and the components with their links."""
+        a, b = (figures.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
+        likely = materialize(_allowed(pairs.join(a, "a").join(b, "b"), p), "pairs")
+        if labels is not None and likely.isEmpty():
+            return likely, labels
+        links = _confirmed(likely, docs, p, id_col, text_col)
+        known = links if labels is None else links.unionByName(labels.select(F.col("vertex").alias("a"), F.col("component").alias("b")))
+        return likely, connected_components(known)
 
     stars = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = materialize(_allowed(stars.join(side("a"), "a").join(side("b"), "b"), p), "pairs")
-    labels = connected_components(_confirmed(likely, docs, p, id_col, text_col))
-
+    tried, labels = linked(stars, None)
     # nodes of two are done: their only pair has been compared
-    open_rows = members.where("size > 2").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = open_rows.groupBy("node").agg(F.count("*").alias("size"), (F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("node", "size")
-    todo = open_rows.join(mixed.select("node"), "node").join(reps.select("rep", "n", "sig"), "rep").select("node", "rep", "component", "n", "sig")
-    found = []
-    for level in range(p.more_levels + 1):
-        todo = materialize(todo, "open-nodes")
-        sizes = todo.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("node", "size")
-        small, large = sizes.where(F.col("size") <= p.node_limit), sizes.where(F.col("size") > p.node_limit)
-        found.append(_pairs_across(todo.join(small.select("node"), "node"), p, ["node"]))
-        if large.isEmpty():
-            break
-        rest = todo.join(large.select("node"), "node").select(*todo.columns)
-        if level == p.more_levels:
-            found.append(_pairs_across(_in_blocks(rest, large, p), p, ["node", "i", "j"]))
-        else:
-            todo = _branched(rest, p)
-    across = found[0]
-    for more in found[1:]:
-        across = across.unionByName(more)
-    across = materialize(across.distinct().join(likely, ["a", "b"], "left_anti"), "pairs")
-    if not across.isEmpty():
-        links = _confirmed(across, docs, p, id_col, text_col)
-        labels = connected_components(links.unionByName(labels.select(F.col("vertex").alias("a"), F.col("component").alias("b"))))
+    rows_left, nodes = _open_nodes(members, labels)
+    led = _led(rows_left, nodes, p).join(tried, ["a", "b"], "left_anti")
+    tried_too, labels = linked(led, labels)
+    tried = tried.unionByName(tried_too)
+    rows_left, nodes = _open_nodes(members, labels)
+    rest = _pairs_across(_dealt(rows_left, materialize(nodes, "open-nodes"), reps, p), p, depth)
+    _, labels = linked(rest.join(tried, ["a", "b"], "left_anti"), labels)
 
     by_set = reps.select("digest", "rep").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").groupBy("digest").agg(F.min(F.coalesce("component", "rep")).alias("c"))
     linked = rows.where("n > 0").join(by_set, "digest", "left").select("doc_id", "n", "c")
