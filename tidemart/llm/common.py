@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,19 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` without columns that an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+#: Bytes of an Arrow batch that a Python worker is given at a time.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small enough for workers with little memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def parts(column: pa.Array, rows: int = 256) -> Iterator[list]:
+    """The values of ``column``, a few at a time."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()

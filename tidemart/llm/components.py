@@ -30,7 +30,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
     else:
         out = joined.where("v <> m").select(F.col("v").alias("b"), F.col("m").alias("a")).union(least.select(F.col("u").alias("b"), F.col("m").alias("a")))
-    return out.where("a <> b").distinct().select("a", "b")
+    out = out.where("a <> b").select("a", "b")
+    return out if large else out.distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

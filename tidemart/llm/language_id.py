@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import bounded_batches, parts, without
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 MAX_DOCS_PER_LANGUAGE = 2000
 MAX_LANGUAGES = 512
-SLICE = 1 << 20
+SLICE = 1 << 17
 
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -130,7 +130,7 @@ def fit(
         lang, bucket = np.nonzero(counts[:, :buckets])
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(counts[lang, bucket])], names=["lang", "bucket", "n"])
 
-    found = sample.mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = bounded_batches(sample).mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((buckets, len(languages)))
     counts[found["bucket"].to_numpy(dtype=np.int64), found["lang"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
     counts += smoothing
@@ -167,7 +167,11 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = score_texts(batch.column(at).to_pylist(), shared.value)
+            langs, scores = [], []
+            for texts in parts(batch.column(at)):
+                found = score_texts(texts, shared.value)
+                langs += found[0]
+                scores += found[1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return kept.mapInArrow(predict, schema)
+    return bounded_batches(kept).mapInArrow(predict, schema)

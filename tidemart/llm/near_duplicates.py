@@ -7,22 +7,23 @@ trees a node picks ``branches`` signature positions at random (the same for all
 that are in it) and a set goes to one child for each, named by its minwise value
 there; sets that agree in much end up together.  After ``depth`` levels:
 
-1. in every node the smallest id is paired with each other member;
-2. in nodes that then hold several components, some of them of more than one
-   member, a few other members are paired with those of other components;
-3. nodes that still hold several components are compared exhaustively across
-   components.  Members outside a node's largest component are dealt in parts and
-   all its members in blocks, and each part meets each block in a group of its
-   own, so no group outgrows ``2 * node_limit``; a pair that meets in several
-   nodes is looked at in the first.
-
-After each step the pairs whose signatures allow it are confirmed on the full
-sets, and the links are joined into components.  Connected members are never
-paired again, so a group of n copies costs about n pairs.  Levels look at disjoint
-signature positions.  A link of similarity s is missed by one tree with
-probability q(depth), q(k) = (1 - s + s q(k - 1)) ** branches, q(0) = 0; at the
-limit of 0.8 four trees of three levels with two branches miss about one link in
-80,000.  With more sets there are more levels, so that nodes stay small.
+1. in every node the smallest id is paired with each other member, and in a node
+   of more than ``led_from`` members so are a few others, picked by a hash, so
+   that they are the same ones in most nodes of a large group;
+2. pairs whose signatures allow it are confirmed on the full sets;
+3. nodes whose members the links leave apart are compared exhaustively between
+   the parts.  Members outside a node's largest part are dealt in probes and
+   all its members in blocks, and each set of probes meets each block in a group of
+   its own, so no group outgrows ``2 * node_limit``; a pair that meets in several
+   nodes is looked at in the first.  What the signatures allow is confirmed again;
+4. the links of both rounds are joined into components.
+
+Members already known to be connected aren't paired again, so a group of n copies
+costs a small multiple of n pairs.  Levels look at disjoint signature positions.  A
+link of similarity s is missed by one tree with probability q(depth), q(k) =
+(1 - s + s q(k - 1)) ** branches, q(0) = 0; at the limit of 0.8 four trees of three
+levels with two branches miss about one link in 80,000.  With more sets there are
+more levels, so that nodes stay small.
 
 Words are runs of characters other than ASCII white space, after lower-casing A-Z.
 
@@ -38,6 +39,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize
+from .common import ASCII_LOWER, bounded_batches, materialize, parts
 from .components import connected_components
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +64,8 @@ class Params:
     depth: int | None = None
     sets_at_three: int = 4_000_000
     branches: int = 2
-    leaders: int = 8
+    leaders: int = 6
+    led_from: int = 16
     node_limit: int = 2048
     #: Least share of equal signature positions of a pair worth confirming: more than 3 standard errors below 0.8.
     least_estimate: float = 0.64
@@ -125,7 +128,7 @@ def sketch(docs: DataFrame, p: Params, *, id_col: str = "doc_id", text_col: str
         factors = _factors(p)
         for batch in batches:
             n, digest, sig = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in chain.from_iterable(parts(batch.column(1))):
                 shingles = shingle_set(text, p.shingle_words)
                 n.append(len(shingles))
                 digest.append(xxhash.xxh3_128_digest(shingles.tobytes()))
@@ -205,22 +208,18 @@ def _pairs_across(members: DataFrame, p: Params, depth: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _open_nodes(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of nodes that hold several components, and each such node's figures."""
-    rows = members.where("size > 2").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
+def _open_nodes(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of nodes that the links leave apart, and each such node's figures."""
+    # nodes of two are done: their only pair has been compared
+    rows = members.where("size > 2").join(parts, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
     counts = rows.groupBy("node", "component").agg(F.count("*").alias("c"))
     nodes = counts.groupBy("node").agg(F.sum("c").alias("size"), F.count("*").alias("components"), F.max(F.struct("c", "component")).alias("major")).where("components > 1")
-    return rows, nodes.select("node", "size", "components", F.col("major.component").alias("major"), (F.col("size") - F.col("major.c")).alias("minor"))
+    return rows, nodes.select("node", "size", F.col("major.component").alias("major"), (F.col("size") - F.col("major.c")).alias("minor"))
 
 
-def _led(rows: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
-    """``a`` < ``b``: a few members of each node, the same ones wherever they are, with those of other components."""
-    some = rows.join(nodes.where("components < size").select("node"), "node")
-    h = F.xxhash64("rep", F.lit(p.seed))
-    each = [F.min(F.when(F.pmod(h, F.lit(p.leaders)) == c, F.struct(h.alias("h"), F.col("rep").alias("rep"), F.col("component").alias("component")))) for c in range(p.leaders)]
-    chosen = some.groupBy("node").agg(*[m.alias(f"l{c}") for c, m in enumerate(each)]).select("node", F.array_compact(F.array(*[f"l{c}" for c in range(p.leaders)])).alias("leaders"))
-    other = F.filter("leaders", lambda x: x["component"] != F.col("component"))
-    pairs = some.join(chosen, "node").select("rep", F.explode(F.transform(other, lambda x: x["rep"])).alias("leader"))
+def _stars(members: DataFrame) -> DataFrame:
+    """``a`` < ``b``: the leaders of each node with its other members."""
+    pairs = members.select("rep", F.explode("leaders").alias("leader")).where("rep <> leader")
     return pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
@@ -238,64 +237,76 @@ def _dealt(rows: DataFrame, nodes: DataFrame, reps: DataFrame, p: Params) -> Dat
     return as_member.select(*columns).unionByName(elsewhere.withColumn("probe", F.lit(True)).select(*columns))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
-    """Of ``a``, ``b``, those whose full sets are similar enough."""
+def _sets(ids: DataFrame, docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
+    """``id`` and the full set of every text with one of ``ids``."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, p.shingle_words).tobytes() for t in batch.column(1).to_pylist()]
+            found = [shingle_set(t, p.shingle_words).tobytes() for t in chain.from_iterable(parts(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).hint("merge").join(ids, "id", "left_semi")
+    return materialize(texts.mapInArrow(run, "id long, shingles binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, p: Params) -> DataFrame:
+    """Of ``a``, ``b``, those whose full sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for x, y in zip(chain.from_iterable(parts(batch.column(2))), chain.from_iterable(parts(batch.column(3)))):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= p.percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    full = materialize(texts.mapInArrow(sets, "id long, shingles binary"), "sets")
     both = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    """``rep``, ``component``: connected reps with the smallest they are seen to reach; not always the component's."""
+    near = links.select(F.col("a").alias("rep"), F.col("b").alias("m")).union(links.select("b", "a"))
+    least = near.groupBy("rep").agg(F.min("m").alias("m")).select("rep", F.least("rep", "m").alias("m"))
+    for _ in range(2):
+        further = least.select(F.col("rep").alias("m"), F.col("m").alias("further"))
+        least = materialize(least.join(further, "m", "left").select("rep", F.least("m", "further").alias("m")), "parts")
+    return least.withColumnRenamed("m", "component")
 
 
 def near_duplicates(docs: DataFrame, params: Params | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs``."""
     p = params or Params()
-    rows = materialize(sketch(docs, p, id_col=id_col, text_col=text_col), "sketches")
+    rows = materialize(sketch(bounded_batches(docs), p, id_col=id_col, text_col=text_col), "sketches")
     reps = materialize(
         rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.sig"),
         "distinct-sets",
     )
     depth = p.depth or 3 + max(0, math.ceil(math.log(max(1, reps.count()) / p.sets_at_three) / math.log(20)))
     leaves = _leaves(reps, p, depth)
-    shared = leaves.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1")
+    h = F.xxhash64("rep", F.lit(p.seed))
+    led = [F.min(F.when(F.pmod(h, F.lit(p.leaders)) == c, F.struct(h.alias("h"), F.col("rep").alias("rep")))).alias(f"l{c}") for c in range(p.leaders)]
+    shared = leaves.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("first"), *led).where("size > 1")
+    more = F.when(F.col("size") > p.led_from, F.array(*[F.col(f"l{c}.rep") for c in range(p.leaders)])).otherwise(F.array().cast("array<long>"))
+    shared = shared.select("node", "size", F.array_distinct(F.array_compact(F.concat(F.array("first"), more))).alias("leaders"))
     members = materialize(leaves.join(shared, "node"), "nodes")
-    figures = reps.select("rep", "n", "sig")
-
-    def linked(pairs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The likely ones of ``pairs``, and the components with their links."""
-        a, b = (figures.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
-        likely = materialize(_allowed(pairs.join(a, "a").join(b, "b"), p), "pairs")
-        if labels is not None and likely.isEmpty():
-            return likely, labels
-        links = _confirmed(likely, docs, p, id_col, text_col)
-        known = links if labels is None else links.unionByName(labels.select(F.col("vertex").alias("a"), F.col("component").alias("b")))
-        return likely, connected_components(known)
-
-    stars = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    tried, labels = linked(stars, None)
-    # nodes of two are done: their only pair has been compared
-    rows_left, nodes = _open_nodes(members, labels)
-    led = _led(rows_left, nodes, p).join(tried, ["a", "b"], "left_anti")
-    tried_too, labels = linked(led, labels)
-    tried = tried.unionByName(tried_too)
-    rows_left, nodes = _open_nodes(members, labels)
-    rest = _pairs_across(_dealt(rows_left, materialize(nodes, "open-nodes"), reps, p), p, depth)
-    _, labels = linked(rest.join(tried, ["a", "b"], "left_anti"), labels)
+
+    a, b = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
+    likely = materialize(_allowed(_stars(members).join(a, "a").join(b, "b"), p), "pairs")
+    full = _sets(_ends(likely), docs, p, id_col, text_col)
+    links = _confirmed(likely, full, p)
+
+    rows_left, nodes = _open_nodes(members, _parts(links))
+    rest = materialize(_pairs_across(_dealt(rows_left, materialize(nodes, "open-nodes"), reps, p), p, depth), "pairs")
+    if not rest.isEmpty():
+        missing = _ends(rest).join(full.select("id").distinct(), "id", "left_anti")
+        links = links.unionByName(_confirmed(rest, full.unionByName(_sets(missing, docs, p, id_col, text_col)), p))
+    labels = connected_components(links)
 
     by_set = reps.select("digest", "rep").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").groupBy("digest").agg(F.min(F.coalesce("component", "rep")).alias("c"))
     linked = rows.where("n > 0").join(by_set, "digest", "left").select("doc_id", "n", "c")

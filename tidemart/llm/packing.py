@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, parts
 from .tokens import WordEncoder
 
 CAPACITY = 4096
@@ -136,9 +137,8 @@ def pack(
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 400):
-                for doc, ids in zip(names[at : at + 400], encoder.encode(texts[at : at + 400])):
+            for at, texts in zip(range(0, len(names), 400), parts(batch.column(1), 400)):
+                for doc, ids in zip(names[at : at + 400], encoder.encode([t or "" for t in texts])):
                     ids += end
                     held.append((doc, 0, len(ids) // width, ids))
                     tokens += len(ids) // width
@@ -147,7 +147,7 @@ def pack(
         if tokens:
             yield emit(last=True)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 _ENCODERS: dict[int, WordEncoder] = {}

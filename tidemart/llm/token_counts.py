@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, parts
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 MAX_PIECES = 2_000_000
 
 
@@ -120,7 +122,7 @@ def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], *, by
             _COUNTERS.clear()
             _COUNTERS[key] = UnigramCounter(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_COUNTERS[key].count(batch.column(1).to_pylist()), pa.int64())], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for texts in parts(batch.column(1), 400) for n in _COUNTERS[key].count(texts)], pa.int64())], names=["doc_id", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long")

@@ -17,7 +17,7 @@ import re
 import numpy as np
 
 #: Pre-tokens of one generation; a worker remembers two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 #: The tokenizer's pre-token pattern over lower-cased printable Latin-1.
 _LETTERS = "a-zªµºß-öø-ÿ"

@@ -25,12 +25,15 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, parts
+
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -79,7 +82,7 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, out, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            for page, url, html, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
+            for page, url, html, digest, refers in zip(*(chain.from_iterable(parts(c)) for c in batch.columns)):
                 row += 1
                 name = f"<urn:page:{page}>"
                 common = [f"WARC-Date: {date}", f"X-Row: {part}-{row}"]
@@ -90,11 +93,11 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
                 if refers is not None:
                     texts = [_record(["WARC-Type: revisit", f"WARC-Record-ID: {name}", f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", *common, *kind], http)]
                 else:
-                    parts, total, texts = list(chunks(html, chunk_chars)), len(http.encode()), []
-                    for k, data in enumerate(parts, 1):
+                    pieces, total, texts = list(chunks(html, chunk_chars)), len(http.encode()), []
+                    for k, data in enumerate(pieces, 1):
                         total += len(data.encode())
-                        several = [f"WARC-Segment-Number: {k}"] if len(parts) > 1 else []
-                        if several and k == len(parts):
+                        several = [f"WARC-Segment-Number: {k}"] if len(pieces) > 1 else []
+                        if several and k == len(pieces):
                             several.append(f"WARC-Segment-Total-Length: {total}")
                         if k == 1:
                             texts.append(_record(["WARC-Type: response", f"WARC-Record-ID: {name}", *common, *kind, *several], http + data))
@@ -108,7 +111,7 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
                         out, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    planned = _plan(pages, id_col, url_col, html_col, min_revisit_bytes)
+    planned = _plan(bounded_batches(pages), id_col, url_col, html_col, min_revisit_bytes)
     planned.mapInArrow(records, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
@@ -141,7 +144,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
-            for value in batch.column(0).to_pylist():
+            for value in chain.from_iterable(parts(batch.column(0))):
                 if not value.strip():
                     continue
                 h, block = _parsed(value.encode())
@@ -158,7 +161,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, digest, out = None, None, None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in chain.from_iterable(batch.slice(k, 64).to_pylist() for k in range(0, batch.num_rows, 64)):
                 if row["segment"] == 0:
                     out.append(row)
                     continue
