@@ -57,7 +57,10 @@ def _expression(spark: SparkSession, e, nodes, functions, relations, names) -> N
     kind = e.getClass().getSimpleName()
     if kind == "UnresolvedFunction":
         functions.add(".".join(_seq(e.nameParts())).lower())
-    if hasattr(e, "plan") and re.search("Subquery|Exists|InSubquery|ListQuery", kind):
+    if kind == "InSubquery":  # its query is a part of its own
+        _walk(spark, e.query().plan(), nodes, functions, relations, names)
+        return
+    if re.search("Subquery|Exists|ListQuery", kind):
         _walk(spark, e.plan(), nodes, functions, relations, names)
     for child in _seq(e.children()):
         _expression(spark, child, nodes, functions, relations, names)
