@@ -8,14 +8,15 @@ that are in it) and a set goes to one child for each, named by its minwise value
 there; sets that agree in much end up together.  After ``depth`` levels:
 
 1. in every node the smallest id is paired with each other member, and in a node
-   of more than ``led_from`` members so are a few others, picked by a hash, so
+   of more than ``led_from`` members so are a few others, the first in other orders, so
    that they are the same ones in most nodes of a large group;
 2. pairs whose signatures allow it are confirmed on the full sets;
 3. nodes whose members the links leave apart are compared exhaustively between
    the parts.  Members outside a node's largest part are dealt in probes and
    all its members in blocks, and each set of probes meets each block in a group of
    its own, so no group outgrows ``2 * node_limit``; a pair that meets in several
-   nodes is looked at in the first.  What the signatures allow is confirmed again;
+   nodes is looked at in the first.  Members of pairs that the signatures allow meet
+   once more, with their full sets, and only links leave the group;
 4. the links of both rounds are joined into components.
 
 Members already known to be connected aren't paired again, so a group of n copies
@@ -37,7 +38,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -66,7 +67,7 @@ class Params:
     branches: int = 2
     leaders: int = 6
     led_from: int = 16
-    node_limit: int = 2048
+    node_limit: int = 1024
     #: Least share of equal signature positions of a pair worth confirming: more than 3 standard errors below 0.8.
     least_estimate: float = 0.64
     seed: int = 20240601
@@ -165,47 +166,80 @@ def _allowed(rows: DataFrame, p: Params) -> DataFrame:
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _across(node: int, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, probe: np.ndarray, sig: np.ndarray, p: Params, depth: int) -> np.ndarray:
-    """Pairs of a probe and any member, of different components and with likely signatures, that first meet in ``node``."""
-    leaves, found = _tree_leaves(sig, p, depth), []
+def _candidates(group: pa.RecordBatch, p: Params, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each probe of a group: its row, the rows of likely partners that it first meets here, and all rows' parts.
+
+    The parts may be changed meanwhile; rows of the probe's own part are left out.
+    """
+    comp, n, probe = (group.column(c).to_numpy(zero_copy_only=False).copy() for c in ("component", "n", "probe"))
+    sig = _matrix(group.column("sig"), p.coordinates)
+    node, leaves = np.int64(group.column("node")[0].as_py()).view(np.uint64), _tree_leaves(sig, p, depth)
     for i in np.flatnonzero(probe):
         j = np.flatnonzero((comp != comp[i]) & (np.minimum(n[i], n) * 100 >= np.maximum(n[i], n) * p.percent))
         j = j[(sig[j] == sig[i]).mean(axis=1) >= p.least_estimate]
         if len(j):
             first = (leaves[j] == leaves[i]).argmax(axis=1)
-            j = j[leaves[i][first] == node]
-            found.append(np.column_stack([np.full(len(j), rep[i]), rep[j]]))
-    return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+            yield i, j[leaves[i][first] == node], comp
 
 
-def _pairs_across(members: DataFrame, p: Params, depth: int) -> DataFrame:
-    """``a`` < ``b`` from all groups of ``node``, ``part``, ``block``, one group held at a time."""
+def _grouped(rows: DataFrame, solve: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``solve`` over all groups of ``node``, ``part``, ``block``, one group held at a time."""
+    keys = ["node", "part", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
 
         def solved() -> pa.RecordBatch:
-            group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            rep, comp, n, probe = (group.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "n", "probe"))
-            pairs = _across(np.int64(key[0]).view(np.uint64), rep, comp, n, probe.astype(bool), _matrix(group.column("sig"), p.coordinates), p, depth)
-            return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+            return solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
         for batch in batches:
-            keys = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)] if len(keys) else []
+            at = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(at)] if len(at) else []
             for lo, hi in zip(cuts, cuts[1:]):
-                if held and tuple(keys[lo]) != key:
+                if held and tuple(at[lo]) != key:
                     yield solved()
                     held = []
-                key = tuple(keys[lo])
+                key = tuple(at[lo])
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield solved()
 
-    keys = ["node", "part", "block"]
-    rows = members.select(*keys, "rep", "component", "n", "probe", "sig").repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _involved(dealt: DataFrame, p: Params, depth: int) -> DataFrame:
+    """Those rows of ``dealt`` that belong to a likely pair."""
+
+    def solve(group: pa.RecordBatch) -> pa.RecordBatch:
+        mask = np.zeros(group.num_rows, dtype=bool)
+        for i, j, _ in _candidates(group, p, depth):
+            mask[j] = True
+            mask[i] |= len(j) > 0
+        return group.filter(pa.array(mask))
+
+    return _grouped(dealt, solve, ", ".join(f"{c} {t}" for c, t in dealt.dtypes))
+
+
+def _links_across(involved: DataFrame, full: DataFrame, p: Params, depth: int) -> DataFrame:
+    """``a``, ``b``: links between parts of a node, enough to join what belongs together."""
+
+    def solve(group: pa.RecordBatch) -> pa.RecordBatch:
+        rep, sets = group.column("rep").to_numpy(zero_copy_only=False), [np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column("shingles")]
+        found: list[tuple[int, int]] = []
+        for i, near, comp in _candidates(group, p, depth):
+            for j in near:
+                if comp[j] != comp[i]:
+                    x, y = sets[i], sets[j]
+                    common = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+                    if 100 * common >= p.percent * (len(x) + len(y) - common):
+                        found.append((rep[i], rep[j]))
+                        comp[comp == comp[j]] = comp[i]
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    rows = involved.join(full.select(F.col("id").alias("rep"), "shingles"), "rep")
+    return materialize(_grouped(rows, solve, "a long, b long"), "links")
 
 
 def _open_nodes(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -289,11 +323,11 @@ def near_duplicates(docs: DataFrame, params: Params | None = None, *, id_col: st
     )
     depth = p.depth or 3 + max(0, math.ceil(math.log(max(1, reps.count()) / p.sets_at_three) / math.log(20)))
     leaves = _leaves(reps, p, depth)
-    h = F.xxhash64("rep", F.lit(p.seed))
-    led = [F.min(F.when(F.pmod(h, F.lit(p.leaders)) == c, F.struct(h.alias("h"), F.col("rep").alias("rep")))).alias(f"l{c}") for c in range(p.leaders)]
+    masks = [int(x) for x in np.random.default_rng(p.seed).integers(0, 1 << 40, p.leaders)]
+    led = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).alias(f"l{c}") for c, m in enumerate(masks)]  # a mask gives an order of ids, and can be taken off again
     shared = leaves.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("first"), *led).where("size > 1")
-    more = F.when(F.col("size") > p.led_from, F.array(*[F.col(f"l{c}.rep") for c in range(p.leaders)])).otherwise(F.array().cast("array<long>"))
-    shared = shared.select("node", "size", F.array_distinct(F.array_compact(F.concat(F.array("first"), more))).alias("leaders"))
+    more = F.when(F.col("size") > p.led_from, F.array(*[F.col(f"l{c}").bitwiseXOR(F.lit(m)) for c, m in enumerate(masks)])).otherwise(F.array().cast("array<long>"))
+    shared = shared.select("node", "size", F.array_distinct(F.concat(F.array("first"), more)).alias("leaders"))
     members = materialize(leaves.join(shared, "node"), "nodes")
 
     a, b = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
@@ -302,10 +336,10 @@ def near_duplicates(docs: DataFrame, params: Params | None = None, *, id_col: st
     links = _confirmed(likely, full, p)
 
     rows_left, nodes = _open_nodes(members, _parts(links))
-    rest = materialize(_pairs_across(_dealt(rows_left, materialize(nodes, "open-nodes"), reps, p), p, depth), "pairs")
-    if not rest.isEmpty():
-        missing = _ends(rest).join(full.select("id").distinct(), "id", "left_anti")
-        links = links.unionByName(_confirmed(rest, full.unionByName(_sets(missing, docs, p, id_col, text_col)), p))
+    involved = materialize(_involved(_dealt(rows_left, materialize(nodes, "open-nodes"), reps, p), p, depth), "involved")
+    if not involved.isEmpty():
+        missing = involved.select(F.col("rep").alias("id")).distinct().join(full.select("id").distinct(), "id", "left_anti")
+        links = links.unionByName(_links_across(involved, full.unionByName(_sets(missing, docs, p, id_col, text_col)), p, depth))
     labels = connected_components(links)
 
     by_set = reps.select("digest", "rep").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").groupBy("digest").agg(F.min(F.coalesce("component", "rep")).alias("c"))
