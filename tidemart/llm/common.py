@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,7 +50,7 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 #: Bytes of an Arrow batch that a Python worker is given at a time.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -63,3 +63,19 @@ def parts(column: pa.Array, rows: int = 256) -> Iterator[list]:
     """The values of ``column``, a few at a time."""
     for at in range(0, len(column), rows):
         yield column.slice(at, rows).to_pylist()
+
+
+_HELD: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps from task to task; it keeps no more than one."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Give back what the worker keeps, for work that needs the memory."""
+    _HELD.clear()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, parts, without
+from .common import bounded_batches, let_go, parts, without
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -166,6 +166,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
     at = kept.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             langs, scores = [], []
             for texts in parts(batch.column(at)):

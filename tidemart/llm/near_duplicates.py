@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, materialize, parts
+from .common import ASCII_LOWER, bounded_batches, let_go, materialize, parts
 from .components import connected_components
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -126,6 +126,7 @@ def sketch(docs: DataFrame, p: Params, *, id_col: str = "doc_id", text_col: str
     """``doc_id``, ``n`` shingles, ``digest`` of the whole set and ``sig`` for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         factors = _factors(p)
         for batch in batches:
             n, digest, sig = [], [], []

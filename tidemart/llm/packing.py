@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, parts
+from .common import bounded_batches, held, parts
 from .tokens import WordEncoder
 
 CAPACITY = 4096
@@ -98,11 +98,11 @@ def pack(
         tokenizer = f.read()
     if len(tokenizer) > MAX_TOKENIZER_BYTES:
         raise ValueError("the tokenizer's file is too large to broadcast")
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    shared, key = docs.sparkSession.sparkContext.broadcast(tokenizer), hash(tokenizer)
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = held(("words", key), lambda: WordEncoder(shared.value))
         kind, width = encoder.kind, encoder.width
         end = np.array([end_id], dtype=kind).tobytes()
         sequence = TaskContext.get().partitionId() << 40
@@ -149,14 +149,3 @@ def pack(
 
     return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
-
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
-def _encoder(shared) -> WordEncoder:
-    """One encoder for each broadcast tokenizer and Python worker."""
-    key = hash(shared.value)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(shared.value)
-    return _ENCODERS[key]

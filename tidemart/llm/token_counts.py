@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, parts
+from .common import bounded_batches, held, parts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -107,9 +107,6 @@ class UnigramCounter:
         return out
 
 
-_COUNTERS: dict[int, UnigramCounter] = {}
-
-
 def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], *, byte_fallback: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens`` for every row."""
     if len(vocabulary) > MAX_PIECES:
@@ -118,11 +115,9 @@ def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], *, by
     key = hash((tuple(vocabulary), byte_fallback))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[key] = UnigramCounter(*shared.value)
+        counter = held(("pieces", key), lambda: UnigramCounter(*shared.value))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for texts in parts(batch.column(1), 400) for n in _COUNTERS[key].count(texts)], pa.int64())], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for texts in parts(batch.column(1), 400) for n in counter.count(texts)], pa.int64())], names=["doc_id", "n_tokens"])
 
     rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long")
