@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held, parts
+from .common import bounded_batches, parts
+from .common import held as remembered
 from .tokens import WordEncoder
 
 CAPACITY = 4096
@@ -102,7 +103,7 @@ def pack(
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held(("words", key), lambda: WordEncoder(shared.value))
+        encoder = remembered(("words", key), lambda: WordEncoder(shared.value))
         kind, width = encoder.kind, encoder.width
         end = np.array([end_id], dtype=kind).tobytes()
         sequence = TaskContext.get().partitionId() << 40
