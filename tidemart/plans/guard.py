@@ -115,3 +115,8 @@ def run(spark: SparkSession, checked: Checked, *, max_bytes: int = 1 << 30, seco
     finally:
         timer.cancel()
         spark.sparkContext.removeJobTag(tag)
+
+
+def query(spark: SparkSession, checked: Checked) -> DataFrame:
+    """The checked statement, limited as a whole, without running it."""
+    return spark.sql(checked.sql).limit(checked.max_rows)

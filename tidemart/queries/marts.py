@@ -186,3 +186,34 @@ def _(t):
         row = bad.agg(F.count("*").alias("offending")).select(F.lit(name).alias("name"), "offending")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("gold_customers_by_class", f"SELECT v AS priority, count(*) AS customers FROM {CUSTOMER_DIM} WHERE is_current GROUP BY v")
+def _(t):
+    return M.dim_customers(t).where("is_current").groupBy("priority").agg(F.count("*").alias("customers"))
+
+
+@query("gold_one_aspect_by_segment", f"SELECT rfm_segment, orders_mentioning FROM {MART} WHERE aspect = 'R-F'")
+def _(t):
+    return M.fct_segment_aspect(t).where("aspect = 'R-F'").select("rfm_segment", "orders_mentioning")
+
+
+@query("gold_lowest_coverage", f"SELECT rfm_segment, max(coverage_pct) AS coverage FROM {MART} GROUP BY rfm_segment ORDER BY coverage, rfm_segment LIMIT 1")
+def _(t):
+    return M.fct_segment_aspect(t).groupBy("rfm_segment").agg(F.max("coverage_pct").alias("coverage")).orderBy("coverage", "rfm_segment").limit(1)
+
+
+@query("gold_aspects_of_a_segment", f"SELECT aspect, rate_of_reviewed FROM {MART} WHERE rfm_segment = 'hibernating' ORDER BY rate_of_reviewed DESC, aspect")
+def _(t):
+    return M.fct_segment_aspect(t).where("rfm_segment = 'hibernating'").select("aspect", "rate_of_reviewed").orderBy(F.desc("rate_of_reviewed"), "aspect")
+
+
+@query("w05_lead_intervals", f"SELECT k AS customer_id, version_number, coalesce(date_diff('day', first_observed_at, lead(first_observed_at) OVER (PARTITION BY k ORDER BY version_number)), -1) AS days_to_next FROM {CUSTOMER_DIM} WHERE NOT is_current")
+def _(t):
+    from pyspark.sql import Window
+
+    from ..functions import day_diff
+
+    dim = M.dim_customers(t).where("not is_current")
+    following = F.lead("first_observed_at").over(Window.partitionBy("customer_id").orderBy("version_number"))
+    return dim.select("customer_id", "version_number", F.coalesce(day_diff(following, F.col("first_observed_at")), F.lit(-1)).alias("days_to_next"))

@@ -98,3 +98,51 @@ def _(t):
     from ..functions import normalize_text
 
     return t["part"].select(F.col("p_type").alias("raw_value")).distinct().withColumn("normalized", normalize_text(F.col("raw_value")))
+
+
+@query("s01_csv_scan", "SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment || chr(10) || '\"x\"' END AS note FROM customer")
+def _(t):
+    from pyspark.sql import types as T
+
+    from ..sources.files import read_csv
+
+    path = shared_path(t.spark, "csv")
+    note = F.when(F.col("c_custkey") % 3 != 0, F.concat("c_mktsegment", F.lit('\n"x"')))
+    t["customer"].select("c_custkey", "c_name", "c_acctbal", note.alias("note")).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    fields = [("c_custkey", T.LongType()), ("c_name", T.StringType()), ("c_acctbal", T.DoubleType()), ("note", T.StringType())]
+    return read_csv(t.spark, path, T.StructType([T.StructField(*f) for f in fields]))
+
+
+@query("k01_partitioned_slices", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, min(o_orderkey) AS first_order FROM orders WHERE year(o_orderdate) IN (1996, 1998) GROUP BY 1")
+def _(t):
+    path = shared_path(t.spark, "years")
+    t["orders"].withColumn("y", F.year("o_orderdate")).repartition("y").write.partitionBy("y").parquet(path)
+    years = t.spark.read.parquet(path).where(F.col("y").isin(1996, 1998))  # only these folders are read
+    return years.groupBy(F.col("y").cast("int").alias("y")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order"))
+
+
+@query("k08_append_log", "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY event_type")
+def _(t):
+    path = shared_path(t.spark, "log")
+    for _ in range(2):
+        t["events"].select("event_id", "event_type").write.mode("append").parquet(path)
+    return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("k10_snapshot", "SELECT name, n FROM (SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'part', count(*) FROM part)")
+def _(t):
+    from ..sources.files import write_snapshot
+
+    path = shared_path(t.spark, "snapshot")
+    write_snapshot({n: t[n] for n in ("nation", "part")}, path)
+    counts = [t.spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("nation", "part")]
+    return counts[0].unionByName(counts[1])
+
+
+@query("g_guarded_sql", "SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders GROUP BY o_orderstatus HAVING count(*) > 1")
+def _(t):
+    from ..plans import guard
+
+    t["orders"].createOrReplaceTempView("guarded_orders")
+    sql = "SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM guarded_orders GROUP BY o_orderstatus HAVING count(*) > 1"
+    return guard.query(t.spark, guard.check(t.spark, sql, {"guarded_orders"}))
