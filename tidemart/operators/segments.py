@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import day_diff
 from .ranking import global_ntile
 
-#: Least recency and monetary score of a segment, in the order that they are tried.
-SEGMENTS = [("champions", 4, 4), ("loyal_spenders", 3, 4), ("recent_low_value", 4, 1), ("at_risk_valuable", 1, 4), ("steady", 3, 2)]
+#: Segment, range of recency scores, range of monetary scores; the first that fits counts.
+SEGMENTS = [
+    ("champions", (4, 5), (4, 5)),
+    ("high_value_lapsed", (1, 2), (4, 5)),
+    ("recent_low_value", (4, 5), (1, 2)),
+    ("hibernating", (1, 2), (1, 2)),
+    ("loyal", (3, 5), (3, 5)),
+]
+OTHER_SEGMENT = "needs_attention"
 
 
 def segment(r: Column, m: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
-    for name, least_r, least_m in SEGMENTS:
-        out = out.when((r >= least_r) & (m >= least_m), F.lit(name))
-    return out.otherwise(F.lit("hibernating"))
+    for name, recency, money in SEGMENTS:
+        out = out.when(r.between(*recency) & m.between(*money), F.lit(name))
+    return out.otherwise(F.lit(OTHER_SEGMENT))
 
 
 def per_customer(orders: DataFrame, key: str, at: str, value: str) -> DataFrame:

@@ -28,7 +28,7 @@ FACT = f"""(SELECT o_orderkey AS order_id, o_custkey AS customer_id, d.sk AS cus
 FROM orders JOIN {CUSTOMER_DIM} d ON o_custkey = d.k AND o_orderdate >= d.valid_from AND o_orderdate < d.valid_to
 LEFT JOIN (SELECT l_orderkey, count(*) AS item_count, count(DISTINCT l_suppkey) AS seller_count, count(DISTINCT l_partkey) AS product_count, sum(CAST(l_extendedprice AS DECIMAL(28,6))) AS items_value, sum(CAST(l_quantity AS DECIMAL(28,6))) AS units, max(l_shipdate) AS last_shipped_at FROM lineitem GROUP BY 1) e ON e.l_orderkey = o_orderkey)"""
 PEOPLE = """(SELECT o_custkey AS customer_id, count(*) AS order_count, count(*) > 1 AS is_repeat, CAST(sum(CAST(o_totalprice AS DECIMAL(28,6))) AS DOUBLE) AS monetary_value, max(o_orderdate) AS last_order_at, date_diff('day', max(o_orderdate), (SELECT max(o_orderdate) FROM orders)) AS recency_days FROM orders GROUP BY o_custkey)"""
-RFM = f"""(SELECT *, CASE WHEN r_score >= 4 AND m_score >= 4 THEN 'champions' WHEN r_score >= 3 AND m_score >= 4 THEN 'loyal_spenders' WHEN r_score >= 4 AND m_score >= 1 THEN 'recent_low_value' WHEN r_score >= 1 AND m_score >= 4 THEN 'at_risk_valuable' WHEN r_score >= 3 AND m_score >= 2 THEN 'steady' ELSE 'hibernating' END AS rfm_segment
+RFM = f"""(SELECT *, CASE WHEN r_score >= 4 AND m_score >= 4 THEN 'champions' WHEN r_score <= 2 AND m_score >= 4 THEN 'high_value_lapsed' WHEN r_score >= 4 AND m_score <= 2 THEN 'recent_low_value' WHEN r_score <= 2 AND m_score <= 2 THEN 'hibernating' WHEN r_score >= 3 AND m_score >= 3 THEN 'loyal' ELSE 'needs_attention' END AS rfm_segment
 FROM (SELECT *, ntile(5) OVER (ORDER BY recency_days DESC, customer_id) AS r_score, ntile(5) OVER (ORDER BY monetary_value, customer_id) AS m_score FROM {PEOPLE}))"""
 TAXONOMY = "(VALUES " + ", ".join(f"('{a}', '{g}', {str(c).lower()})" for a, g, c in M.TAXONOMY) + ") x(aspect, aspect_group, is_complaint)"
 MART = f"""(WITH people AS (SELECT customer_id, rfm_segment FROM {RFM}), reviewed AS (SELECT l_orderkey, bool_or(l_discount > 0.05) AS has FROM lineitem GROUP BY 1),
