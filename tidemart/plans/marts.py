@@ -22,7 +22,7 @@ def taxonomy(t: Tables) -> DataFrame:
 
 def stg_customers(t: Tables) -> DataFrame:
     c, n = t["customer"], t["nation"]
-    joined = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left")
+    joined = c.join(n, c.c_nationkey == n.n_nationkey, "left")
     return joined.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"), normalize_text(F.col("c_name")).alias("customer_name_normalized"), F.coalesce("n_name", F.lit("unknown")).alias("nation"), F.col("c_mktsegment").alias("market_segment"))
 
 
@@ -51,7 +51,7 @@ def dim_parts(t: Tables) -> DataFrame:
 
 def dim_suppliers(t: Tables) -> DataFrame:
     s, n = t["supplier"], t["nation"]
-    joined = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey, "left")
+    joined = s.join(n, s.s_nationkey == n.n_nationkey, "left")
     return joined.select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier_name"), F.coalesce("n_name", F.lit("unknown")).alias("nation"), (F.col("s_name") != normalize_text(F.col("s_name"))).alias("name_was_normalized"))
 
 

@@ -86,12 +86,12 @@ def _(t):
 
 @query("j17_theta", "SELECT r_name, count(*) AS larger FROM region JOIN nation ON n_nationkey > r_regionkey GROUP BY r_name")
 def _(t):
-    return t["region"].join(F.broadcast(t["nation"]), F.col("n_nationkey") > F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("larger"))
+    return t["region"].join(t["nation"], F.col("n_nationkey") > F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("larger"))
 
 
 @query("j18_degenerate", "SELECT n_name, r_name FROM nation JOIN region ON r_name IS NOT NULL")
 def _(t):
-    return t["nation"].crossJoin(F.broadcast(t["region"].where("r_name is not null"))).select("n_name", "r_name")
+    return t["nation"].crossJoin(t["region"].where("r_name is not null")).select("n_name", "r_name")
 
 
 @query("j19_lateral_unnest", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part")
