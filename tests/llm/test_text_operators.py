@@ -203,6 +203,64 @@ def test_license_rules_in_order(spark):
     assert all(re.search(licenses.HINT, x) for x in s.values()) and {i for _, ids in licenses.RULES for i in ids} | {"gpl_hope"} <= set(s)
 
 
+MIT_TEXT = """MIT License
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+BSD_TEXT = """Copyright (c) 2020, Somebody
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_wrapped_licenses(spark):
+    plain = {"MIT": (MIT_TEXT, 3, 3), "BSD-3-Clause": (BSD_TEXT, 1, 4), "ISC": (ISC_TEXT, 9, 1), "GPL-3.0-or-later": (GPL_TEXT, 6, 2)}
+    ways = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\nint x;", lambda t: "".join(f"# {x}\n" for x in t.splitlines()), lambda t: "".join(f"//   {x}\n" for x in t.splitlines()), lambda t: "".join(f";; {x}\n" for x in t.splitlines())]
+    rows = [(f"{name} {k}", way(text)) for name, (text, _, _) in plain.items() for k, way in enumerate(ways)]
+    # a heading above a mention, without blank lines; a sentence doesn't go over a blank line; long texts
+    rows += [("heading", "Some words\nReleased under the\nMIT license\nand others"), ("apart", "Released under the\n\nMIT license"), ("long", "a line\n" * 100_000 + "all rights\nreserved")]
+    got = {(r.doc_id, r.license, r.rule, r.matches, r.known_sentences) for r in licenses.recognise(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    expected = {(f"{name} {k}", name, rule, 1, known) for name, (_, rule, known) in plain.items() for k in range(len(ways))}
+    assert got == expected | {("heading", "MIT", 11, 1, 1), ("long", "All-Rights-Reserved", len(licenses.RULES), 1, 1)}
+
+
 # secrets
 
 

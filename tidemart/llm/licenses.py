@@ -1,7 +1,11 @@
 """License recognition by sentences and ordered rules.
 
 Sentences of a text are normalised (A-Z lower-cased, all but a-z and 0-9 as one
-space) and looked up among known license sentences; what is unknown drops out.
+space) and looked up among known license sentences; what is unknown drops out.  A
+sentence begins and ends at punctuation, a blank line, or any line break, and a
+single line break inside it is white space, so wrapped notices, headings and mentions
+on a line of their own are all found.  Comment marks (what is no letter or digit at
+the start of a line) are taken off first, and a line with nothing else is blank.
 The identifiers left, in order, are matched against rules, longest sequences
 first: a rule takes every place where its identifiers stand side by side, and
 those are then gone for later rules.  DataFrame functions only; the tables are
@@ -14,6 +18,8 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +97,12 @@ RULES = [
 ]
 #: Each known sentence holds one of these, so texts without any need no cutting.
 HINT = r"[Ll][Ii][Cc][Ee][Nn][Ss]|[Pp][Ee][Rr][Mm][Ii][Ss][Ss][Ii][Oo][Nn]|[Nn][Oo][Tt][Ii][Cc][Ee]|[Ww][Aa][Rr][Rr][Aa][Nn][Tt]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr][Ii][Bb]|[Ee][Nn][Dd][Oo][Rr][Ss][Ee]|[Uu][Nn][Ee][Nn][Cc][Uu][Mm][Bb][Ee][Rr]|[Rr][Ii][Gg][Hh][Tt][Ss]"
+#: For the SQL, which takes each line for itself: equal where every known sentence stands on one line.
 SENTENCE_END = r"[.!?;:][\x20\x09-\x0D]+|[\x0A\x0D]{2,}|[.!?;:]$|\x0A"
+#: Sentences whose public text has a colon, semicolon or full stop inside, after these words.
+INNER_ENDS = {"gpl_free": "this program is free software", "gpl2_free": "this program is free software", "gpl_hope": "without any warranty", "mpl_notice": "public license v"}
+#: Steps of ``marked``: afterwards E is a sentence's end, B a blank line, L a line break (no other capitals are left).
+MARKS = [(r"\r\n?", "\n"), (r"(^|\n)[^a-z0-9\n]++", "$1"), (r"[.!?;:](?:[\x20\x09-\x0D]++|$)", "E"), (r"\n{2,}", "B"), (r"\n", "L"), (r"[^a-z0-9BEL]+", " "), (r" ?([BEL]) ?", "$1")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -99,14 +110,30 @@ def _tag(name: str) -> str:
     return f"<{name}>"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """``text`` normalised, with marks where sentences and lines end."""
+    out = F.translate(text, UPPER, LOWER)
+    for pattern, by in MARKS:
+        out = F.regexp_replace(out, pattern, by)
+    return F.trim(out)
+
+
+def _sentence_pattern(name: str) -> str:
+    sentence, inner = SENTENCES[name], INNER_ENDS.get(name)
+    if inner:
+        sentence = sentence.replace(f"{inner} ", f"{inner}[ LE]")
+    return re.sub(r" (?!LE\])", "[ L]", sentence)
+
+
+#: Any known sentence in a marked text, the longest first.
+KNOWN = "(?<![a-z0-9 ])(?:" + "|".join(map(_sentence_pattern, sorted(SENTENCES, key=lambda n: -len(SENTENCES[n])))) + ")(?![a-z0-9 ])"
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of ``text``, in order, as one string of tags."""
     known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, _tag(name))])
-    return F.array_join(F.transform(F.split(text, SENTENCE_END), lambda s: F.coalesce(F.try_element_at(known, normalised(s)), F.lit(""))), "")
+    found = F.regexp_extract_all(marked(text), F.lit(KNOWN), F.lit(0))
+    return F.array_join(F.transform(found, lambda s: F.element_at(known, F.translate(s, "LE", "  "))), "")
 
 
 def recognise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
