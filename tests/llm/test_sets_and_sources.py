@@ -81,6 +81,35 @@ def test_odd_rows(spark):
     assert near_duplicates.near_duplicates(df.where("false")).isEmpty()
 
 
+def test_links_whose_signatures_agree_in_less(spark):
+    p = Params(shingle_words=1)
+    rng, factors, rows = np.random.default_rng(11), near_duplicates._factors(p), []
+    while len(rows) < 12:  # pairs at 0.8 whose signatures agree in less than 0.64, of which there is one in 900
+        words = rng.integers(0, 1 << 40, 100)
+        a, b = (" ".join(f"w{w}" for w in x) for x in (words[:90], words[10:]))
+        x, y = shingle_set(a, 1), shingle_set(b, 1)
+        if (near_duplicates._signature(x, factors) == near_duplicates._signature(y, factors)).mean() < 0.64:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(len(rows))}
+
+
+def test_parities_leave_no_link_out():
+    rng = np.random.default_rng(3)
+    for percent in (50, 60, 80, 95):
+        p = Params(percent=percent)
+        for size in (1, 5, 90, 3000):
+            for share in (0.3, 0.9, 1.0):
+                pool = np.unique(rng.integers(0, 1 << 63, size * 2, dtype=np.uint64))
+                a, b = pool[:size], pool[size - int(size * share) :][:size]
+                common = len(np.intersect1d(a, b))
+                linked = 100 * common >= percent * (len(a) + len(b) - common)
+                bits = [near_duplicates._parities(x).view("<u8")[None, :] for x in (a, b)]
+                may = near_duplicates._may_link(np.array([len(a)]), np.array([len(b)]), *bits, p)[0]
+                assert may or not linked
+                assert not may or not (percent >= 80 and size == 90 and share == 0.3)
+
+
 def test_more_levels_for_more_sets():
     sig = np.random.default_rng(0).integers(0, 1 << 32, (10, 72), dtype=np.uint32)
     sig[1] = sig[0]

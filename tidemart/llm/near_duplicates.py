@@ -10,13 +10,13 @@ there; sets that agree in much end up together.  After ``depth`` levels:
 1. in every node the smallest id is paired with each other member, and in a node
    of more than ``led_from`` members so are a few others, the first in other orders, so
    that they are the same ones in most nodes of a large group;
-2. pairs whose signatures allow it are confirmed on the full sets;
+2. pairs whose sizes and parities allow it are confirmed on the full sets;
 3. nodes whose members the links leave apart are compared exhaustively between
    the parts.  Members outside a node's largest part are dealt in probes and
    all its members in blocks, and each set of probes meets each block in a group of
    its own, so no group outgrows ``2 * node_limit``; a pair that meets in several
-   nodes is looked at in the first.  Members of pairs that the signatures allow meet
-   once more, with their full sets, and only links leave the group;
+   nodes is looked at in the first.  Members of pairs that sizes and parities allow
+   meet once more, with their full sets, and only links leave the group;
 4. the links of both rounds are joined into components.
 
 Members already known to be connected aren't paired again, so a group of n copies
@@ -24,7 +24,10 @@ costs a small multiple of n pairs.  Levels look at disjoint signature positions.
 link of similarity s is missed by one tree with probability q(depth), q(k) =
 (1 - s + s q(k - 1)) ** branches, q(0) = 0; at the limit of 0.8 four trees of three
 levels with two branches miss about one link in 80,000.  With more sets there are
-more levels, so that nodes stay small.
+more levels, so that nodes stay small.  Nothing else can miss a link: a set's parities
+are one bit for each of ``PARITY_BITS`` residues of its hashes, the parity of their
+number; two sets differ in at least as many shingles as their parities in bits, so a
+pair is only left out when its full sets can't reach ``percent``, whatever that is.
 
 Words are runs of characters other than ASCII white space, after lower-casing A-Z.
 
@@ -53,6 +56,8 @@ from .components import connected_components
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
+#: Bits of a set's parities, a multiple of 64.
+PARITY_BITS = 1024
 
 
 @dataclass(frozen=True)
@@ -68,8 +73,6 @@ class Params:
     leaders: int = 6
     led_from: int = 16
     node_limit: int = 1024
-    #: Least share of equal signature positions of a pair worth confirming: more than 3 standard errors below 0.8.
-    least_estimate: float = 0.64
     seed: int = 20240601
 
 
@@ -98,6 +101,22 @@ def _signature(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype("<u4")
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each residue has an odd number of hashes, as bits."""
+    odd = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool))
+
+
+def _may_link(n_a: np.ndarray, n_b: np.ndarray, parity_a: np.ndarray, parity_b: np.ndarray, p: Params) -> np.ndarray:
+    """Whether sets of these sizes and parities can be similar enough; no pair that is gets False.
+
+    ``common / (n_a + n_b - common) >= percent / 100`` is the same as
+    ``differing * (100 + percent) <= (n_a + n_b) * (100 - percent)``.
+    """
+    differing = np.bitwise_count(parity_a ^ parity_b).sum(axis=-1, dtype=np.int64)
+    return differing * (100 + p.percent) <= (n_a + n_b) * (100 - p.percent)
+
+
 def _factors(p: Params) -> np.ndarray:
     return np.random.default_rng(p.seed).integers(0, 1 << 62, p.coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -122,22 +141,28 @@ def _matrix(column: pa.Array, coordinates: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, coordinates)
 
 
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, PARITY_BITS // 64)
+
+
 def sketch(docs: DataFrame, p: Params, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n`` shingles, ``digest`` of the whole set and ``sig`` for every row."""
+    """``doc_id``, ``n`` shingles, ``digest`` of the whole set, ``sig`` and ``parity`` for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         factors = _factors(p)
         for batch in batches:
-            n, digest, sig = [], [], []
+            n, digest, sig, parity = [], [], [], []
             for text in chain.from_iterable(parts(batch.column(1))):
                 shingles = shingle_set(text, p.shingle_words)
                 n.append(len(shingles))
                 digest.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 sig.append(_signature(shingles, factors).tobytes() if len(shingles) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n", "digest", "sig"])
+                parity.append(_parities(shingles).tobytes() if len(shingles) else None)
+            columns = [pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (digest, sig, parity))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "digest", "sig", "parity"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, sig binary, parity binary")
 
 
 def _leaves(reps: DataFrame, p: Params, depth: int) -> DataFrame:
@@ -154,17 +179,17 @@ def _leaves(reps: DataFrame, p: Params, depth: int) -> DataFrame:
 
 
 def _allowed(rows: DataFrame, p: Params) -> DataFrame:
-    """``a``, ``b`` of the pairs (with ``n`` and ``sig`` of both) that size and signature allow."""
+    """``a``, ``b`` of the pairs (with ``n`` and ``parity`` of both) that sizes and parities allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            same = (_matrix(batch.column(2), p.coordinates) == _matrix(batch.column(3), p.coordinates)).mean(axis=1)
-            yield batch.select([0, 1]).filter(pa.array(same >= p.least_estimate))
+            n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(_may_link(n_a, n_b, _bits(batch.column(4)), _bits(batch.column(5)), p)))
 
     near = rows.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * p.percent)
-    return near.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return near.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
 
 
 def _candidates(group: pa.RecordBatch, p: Params, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -173,11 +198,11 @@ def _candidates(group: pa.RecordBatch, p: Params, depth: int) -> Iterator[tuple[
     The parts may be changed meanwhile; rows of the probe's own part are left out.
     """
     comp, n, probe = (group.column(c).to_numpy(zero_copy_only=False).copy() for c in ("component", "n", "probe"))
-    sig = _matrix(group.column("sig"), p.coordinates)
+    sig, parity = _matrix(group.column("sig"), p.coordinates), _bits(group.column("parity"))
     node, leaves = np.int64(group.column("node")[0].as_py()).view(np.uint64), _tree_leaves(sig, p, depth)
     for i in np.flatnonzero(probe):
         j = np.flatnonzero((comp != comp[i]) & (np.minimum(n[i], n) * 100 >= np.maximum(n[i], n) * p.percent))
-        j = j[(sig[j] == sig[i]).mean(axis=1) >= p.least_estimate]
+        j = j[_may_link(n[i], n[j], parity[i], parity[j], p)]
         if len(j):
             first = (leaves[j] == leaves[i]).argmax(axis=1)
             yield i, j[leaves[i][first] == node], comp
@@ -261,14 +286,14 @@ def _stars(members: DataFrame) -> DataFrame:
 def _dealt(rows: DataFrame, nodes: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     """Rows of open nodes by ``node``, ``part`` of its minor members, ``block`` of all."""
     sized = nodes.select("node", "major", F.ceil(F.col("minor") / p.node_limit).cast("int").alias("parts"), F.ceil(F.col("size") / p.node_limit).cast("int").alias("blocks"))
-    full = rows.join(sized, "node").join(reps.select("rep", "n", "sig"), "rep").withColumn("minor", F.col("component") != F.col("major"))
+    full = rows.join(sized, "node").join(reps.select("rep", "n", "sig", "parity"), "rep").withColumn("minor", F.col("component") != F.col("major"))
     h = F.xxhash64("rep", F.lit(p.seed + 1))
     own = F.pmod(h, F.col("blocks")).cast("int")
     as_member = full.withColumn("block", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     part = F.pmod(F.shiftrightunsigned(h, 20), F.col("parts")).cast("int")
     as_member = as_member.withColumn("probe", F.col("minor") & (part == F.col("part")))
     elsewhere = full.where("minor and blocks > 1").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("block") != own)
-    columns = ["node", "part", "block", "rep", "component", "n", "probe", "sig"]
+    columns = ["node", "part", "block", "rep", "component", "n", "probe", "sig", "parity"]
     return as_member.select(*columns).unionByName(elsewhere.withColumn("probe", F.lit(True)).select(*columns))
 
 
@@ -319,7 +344,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None, *, id_col: st
     p = params or Params()
     rows = materialize(sketch(bounded_batches(docs), p, id_col=id_col, text_col=text_col), "sketches")
     reps = materialize(
-        rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.sig"),
+        rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig", "parity")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.sig", "r.parity"),
         "distinct-sets",
     )
     depth = p.depth or 3 + max(0, math.ceil(math.log(max(1, reps.count()) / p.sets_at_three) / math.log(20)))
@@ -331,7 +356,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None, *, id_col: st
     shared = shared.select("node", "size", F.array_distinct(F.concat(F.array("first"), more)).alias("leaders"))
     members = materialize(leaves.join(shared, "node"), "nodes")
 
-    a, b = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
+    a, b = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in ("a", "b"))
     likely = materialize(_allowed(_stars(members).join(a, "a").join(b, "b"), p), "pairs")
     full = _sets(_ends(likely), docs, p, id_col, text_col)
     links = _confirmed(likely, full, p)
