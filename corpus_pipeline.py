@@ -25,16 +25,41 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(sure).select(*docs.columns)
 
 
+def with_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with an id of its own in every row without one, after all others; ``_id`` keeps what was given.
+
+    Where the greatest id leaves no room after it, all ids are moved down.
+    """
+    marked = docs.withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    if marked.where("_id is null").isEmpty():
+        return marked
+    numbered = materialize(marked.where("_id is null").withColumn("_n", F.monotonically_increasing_id()), "without-ids")
+    room = numbered.agg(F.max("_n")).first()[0] + 1
+    least, most = marked.agg(F.min("doc_id"), F.max("doc_id")).first()
+    least, most = (0, -1) if most is None else (least, most)
+    down = 0 if most + room < 1 << 63 else room
+    if least - down < -(1 << 63):
+        raise ValueError("ids leave no room for those of documents without one")
+    given = marked.where("_id is not null").withColumn("doc_id", F.col("doc_id") - F.lit(down))
+    return given.unionByName(numbered.withColumn("doc_id", F.col("_n") + F.lit(most + 1 - down)).drop("_n"))
+
+
+def without_ids(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs``, with the ids as given."""
+    return docs.withColumn("doc_id", F.col("_id")).select(*columns)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest id, once."""
+    """One document of each group stays: that of the smallest id, once; one without an id only if none has one."""
+    columns, docs = docs.columns, with_ids(docs)
     found = near_duplicates.near_duplicates(docs, near_duplicates.Params(shingle_words=5, percent=80))
     gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
-        return kept
+        return without_ids(kept, columns)
     once = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    return without_ids(kept.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(once), columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

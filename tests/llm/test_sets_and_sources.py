@@ -118,6 +118,18 @@ def test_more_levels_for_more_sets():
         assert leaves.shape == (10, 4 * 2**depth) and (leaves[0] == leaves[1]).all() and not (leaves[0] == leaves[2]).any()
 
 
+def test_stage_takes_rows_without_ids(spark):
+    import corpus_pipeline
+
+    same, other, top = "some words that are the same in all of these", "other words that are only found in two of these", (1 << 63) - 1
+    for ids in ((5, 2), (top, 2), (None, None)):  # room above, only below, no ids at all
+        rows = [(ids[0], same), (None, same), (None, same), (None, other), (None, other), (ids[1], "one more text that nothing else is like"), (None, ""), (None, None)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = corpus_pipeline.drop_near_duplicates(spark, df, "")
+        assert got.columns == df.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(ids[0] or 0, same), (0, other), (ids[1] or 0, rows[5][1]), (0, ""), (0, "")])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 100), (5, 4), (5, 4)]
     got = {r.vertex: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

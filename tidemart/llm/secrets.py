@@ -12,7 +12,8 @@ Edge cases: a null or empty text has no findings; a null path is an empty one;
 a null id is kept as null; rows repeated have their findings each; texts of any
 length are scanned whole; an empty table gives an empty result; columns of the
 input called like an output column don't matter.  Candidates never overlap: the
-leftmost is taken, and of those the first alternative of ``CANDIDATE``.
+leftmost is taken, and of those the first alternative of ``CANDIDATE``.  Each row
+is redacted by its own findings, with or without an id.
 """
 
 from __future__ import annotations
@@ -182,8 +183,10 @@ def scan(docs: DataFrame, model: PipelineModel, *, id_col: str = "doc_id", text_
 
 def redact(docs: DataFrame, model: PipelineModel, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``REDACTED`` in place of every secret found; all rows stay."""
-    hits = scan(docs, model, id_col=id_col, text_col=text_col, path_col=path_col, threshold=threshold).where("is_secret and doc_id is not null")
-    per_doc = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("value").alias("_values"))
-    joined = docs.join(per_doc, F.col(id_col) == F.col("_doc"), "left")
+    # what a row's findings depend on, and its id so that equal texts are dealt apart; rows with equal keys have equal findings
+    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in (id_col, text_col, path_col) if c]))
+    hits = scan(keyed, model, id_col="_row", text_col=text_col, path_col=path_col, threshold=threshold).where("is_secret")
+    per_row = hits.groupBy(F.col("doc_id").alias("_row")).agg(F.collect_set("value").alias("_values"))
+    joined = keyed.join(per_row, "_row", "left")
     clean = F.aggregate(F.array_sort("_values", lambda x, y: F.length(y) - F.length(x)), F.col(text_col), lambda text, value: F.replace(text, value, F.lit(REDACTED)))
     return joined.select(*[F.when(F.col("_values").isNull(), F.col(text_col)).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
