@@ -33,6 +33,9 @@ TRAINING_ROWS = 6000
 CONTEXT_CHARS = 60
 REDACTED = "[SECRET]"
 
+PEM_HEADER = "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+#: All up to the END line; without one, headers and lines of base64 (line feeds may be escaped).
+PEM_REST = r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:(?:\s|\\[rn])++(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[0-9A-Za-z+/]{16,}+={0,2}+))*+(?:(?:\s|\\[rn])++[0-9A-Za-z+/]{1,15}+={1,2}+)?+)"
 #: Public formats of credentials; the last two are general.
 FORMATS = {
     "aws_key_id": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
@@ -41,8 +44,8 @@ FORMATS = {
     "stripe_key": r"[rs]k_live_[0-9A-Za-z]{16,}",
     "google_key": r"AIza[0-9A-Za-z_-]{35}",
     "jwt": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----",
-    "assignment": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}[\"']?[^\s\"']{6,}",
+    "private_key": PEM_HEADER + PEM_REST,
+    "assignment": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}[\"']?(?!" + PEM_HEADER + r")[^\s\"']{6,}",
     "long_token": r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[0-9A-Za-z+/_=-]{20,}",
 }
 CANDIDATE = "|".join(FORMATS.values())
@@ -82,6 +85,8 @@ def described(findings: DataFrame) -> DataFrame:
     beside = F.concat_ws(" ", "before", "after")
     words = F.filter(F.regexp_extract_all(F.lower(own), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: F.array_contains(F.array(*map(F.lit, DICTIONARY)), w))
     n = F.length(own)
+    # the long lines of a key hold any short word by chance
+    worded = F.when(F.col("rule") == "private_key", F.regexp_replace(value, "[0-9A-Za-z+/]{16,}", "")).otherwise(value)
     count = lambda p: F.regexp_count(own, F.lit(p))
     values = {
         "f_length": F.length(value),
@@ -103,7 +108,7 @@ def described(findings: DataFrame) -> DataFrame:
         "f_path_depth": F.regexp_count("path", F.lit("/")),
         "f_near_secret": (F.regexp_count(beside, F.lit(SECRET_WORDS)) + value.rlike(ASSIGNED).cast("int")),
         "f_near_hash": F.regexp_count(beside, F.lit(HASH_WORDS)),
-        "f_near_example": F.regexp_count(F.concat_ws(" ", "before", "value", "after"), F.lit(EXAMPLE_WORDS)),
+        "f_near_example": F.regexp_count(F.concat_ws(" ", "before", worded, "after"), F.lit(EXAMPLE_WORDS)),
     }
     with_own = findings.withColumn("rule", rule_of(value)).withColumn("_own", F.regexp_replace(value, ASSIGNED, ""))
     return with_own.withColumns({k: v.cast("double") for k, v in values.items()}).drop("_own")
@@ -122,6 +127,12 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     test_path = pick(4, ["tests/fixtures/data.py", "docs/example.md", "src3", "spec/mock.rb", "app/config.py"])
     placeholders = ["changeme", "your_password_here", "example_token", "xxxxxxxxxxxx", "********", "${PASSWORD}", "<password>", "placeholder", "process.env.TOKEN", "password123", "getToken()", "default_secret", "required", "incorrect", "expired."]
     ids = ["getUserAccountSettingsForRegion2", "test_model_output_layer_norm_1", "articles/2021/a-long-walk-under-the-sky", "request_response_message_version_2", "default_config_for_server_node_10"]
+    pem = lambda kind, body: F.concat_ws("\n", F.concat(F.lit("-----BEGIN "), kind, F.lit("PRIVATE KEY-----")), body, F.concat(F.lit("-----END "), kind, F.lit("PRIVATE KEY-----")))
+    kind = pick(50, ["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "])
+    lines = F.concat_ws("\n", *[mixed(51 + k, 64) for k in range(4)], mixed(55, 30))
+    jwt = lambda k, tail: F.concat(F.lit("eyJ"), mixed(k, 33), F.lit(".eyJ"), mixed(k + 1, 50), F.lit("."), tail)
+    filler = pick(64, ["xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "XXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXX", "0000000000000000000000000000000000000000", "ExampleExampleExampleExampleExampleExample"])
+    near_example = F.concat_ws(" ", plain_before, pick(65, ["example", "sample", "dummy", "your_key"]))
     cases = [  # label, value, before, after, path
         (1, F.concat(F.lit("AKIA"), upper(5, 16)), plain_before, plain_after, plain_path),
         (1, F.concat(name, join, hexa(6, 18)), plain_before, plain_after, plain_path),
@@ -139,6 +150,18 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
         (0, F.translate(hexa(43, 24), "abcdef", "012345"), plain_before, plain_after, plain_path),
         (0, F.concat(name, join, F.concat_ws("_", pick(44, DICTIONARY), pick(45, DICTIONARY), pick(46, DICTIONARY))), plain_before, plain_after, plain_path),
         (0, F.concat(name, join, hexa(47, 18)), F.concat_ws(" ", plain_before, pick(48, ["example", "dummy", "fake", "sample"])), plain_after, test_path),
+        (1, pem(kind, lines), plain_before, plain_after, plain_path),
+        (1, F.concat_ws("\n", F.concat(F.lit("-----BEGIN "), kind, F.lit("PRIVATE KEY-----")), lines), plain_before, plain_after, plain_path),
+        (1, jwt(56, mixed(58, 43)), plain_before, plain_after, plain_path),
+        (1, F.concat_ws("-", pick(59, ["xoxb", "xoxp", "xoxa"]), F.translate(hexa(60, 12), "abcdef", "012345"), mixed(61, 24)), plain_before, plain_after, plain_path),
+        (1, F.concat(F.lit("AIza"), mixed(62, 35)), plain_before, plain_after, plain_path),
+        (0, F.concat(F.lit("-----BEGIN "), kind, F.lit("PRIVATE KEY-----")), plain_before, plain_after, plain_path),
+        (0, pem(kind, pick(63, ["...", "your key here", "<base64 of the key>", "[the key]", "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "EXAMPLE EXAMPLE EXAMPLE"])), near_example, plain_after, test_path),
+        (0, jwt(66, F.lit("your-256-bit-signature-example")), near_example, plain_after, test_path),
+        (0, F.concat(F.lit("xoxb-"), filler), near_example, plain_after, test_path),
+        (0, F.concat(F.lit("AIza"), F.substring(filler, 1, 35)), near_example, plain_after, test_path),
+        (0, F.concat(F.lit("ghp_"), F.substring(filler, 1, 36)), near_example, plain_after, test_path),
+        (0, F.concat(F.lit("sk_live_"), F.substring(filler, 1, 24)), near_example, plain_after, test_path),
     ]
     parts = [
         spark.range(k, rows, len(cases), 1).select(value.alias("value"), before.alias("before"), after.alias("after"), path.alias("path"), F.lit(float(label)).alias("label"))
