@@ -175,6 +175,25 @@ def test_token_counts_equal_tokenizer(spark, docs, odd):
     assert token_counts.count_tokens(odd.where("false"), vocabulary).isEmpty()
 
 
+def test_token_counts_with_runs_of_spaces(docs):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = token_counts.sentencepiece_vocabulary(tokenizer_path(PIECES))
+    full = [("<unk>", 0.0)] + [(f"<0x{b:02X}>", 0.0) for b in range(256)] + vocabulary
+    rng = np.random.default_rng(6)
+    texts = ["a" + " " * 16 + "b", "if x:\n        return y", "", " ", "  ", " a", "   a ", "a  ", "x ▁ y", "q" + " " * 1000 + "r", *(r.text for r in docs.limit(60).collect() if r.text)]
+    texts += ["".join(rng.choice(list("ab   .\n日𝒳x"), 60)) for _ in range(200)]
+    for fallback in (True, False):
+        tokenizer = Tokenizer(models.Unigram(full, 0, fallback))
+        tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+        expected = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert token_counts.UnigramCounter(vocabulary, fallback, split_marks=False).count(texts) == expected
+    assert expected[0] == 3
+    # a piece over the place between chunks
+    counter = token_counts.UnigramCounter([("▁", -1.0), ("a", -1.0), ("a▁a", -1.0)], byte_fallback=False, split_marks=False)
+    assert counter.count(["a a", "", " a"]) == [2, 0, 2]
+
+
 def test_ties_go_to_the_longest_last_piece():
     counter = token_counts.UnigramCounter([("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁ab", -3.0)], byte_fallback=False)
     assert counter.count(["ab"]) == [1] and counter.count(["", None, "ab ab", "zz ab"]) == [0, 0, 2, 3]

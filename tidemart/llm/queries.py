@@ -55,7 +55,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = token_counts.sentencepiece_vocabulary(tokenizer_path(PIECES))
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary, byte_fallback=True)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary, byte_fallback=True, split_marks=False)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

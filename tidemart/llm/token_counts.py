@@ -1,7 +1,9 @@
 """Token counts of a unigram vocabulary without making tokens.
 
 A text's spaces become the word mark, one is put in front unless it begins with
-one, and each mark begins a chunk.  In a chunk an Aho-Corasick automaton lists
+one, and each mark begins a chunk; without ``split_marks`` only a mark that follows no
+other does, so that pieces of several marks are found too (and a text is one chunk if
+a piece of the vocabulary goes over such a place, or it has no mark alone).  In a chunk an Aho-Corasick automaton lists
 every vocabulary piece by where it ends; dynamic programming carries the best
 score and its number of pieces to each end.  Ties are the tokenizer's: only a
 strictly better score replaces an earlier one, and pieces come longest first.  A
@@ -19,6 +21,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -31,6 +34,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_CHUNKS = 300_000
 MAX_PIECES = 2_000_000
+_RUNS = re.compile(" +[^ ]*")
 
 
 def sentencepiece_vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -44,7 +48,7 @@ def sentencepiece_vocabulary(model_path: str) -> list[tuple[str, float]]:
 class UnigramCounter:
     """Counts pieces of the best segmentation."""
 
-    def __init__(self, vocabulary: Sequence[tuple[str, float]], byte_fallback: bool, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, vocabulary: Sequence[tuple[str, float]], byte_fallback: bool, cache_chunks: int = CACHE_CHUNKS, split_marks: bool = True):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -56,6 +60,8 @@ class UnigramCounter:
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.byte_fallback = byte_fallback
         self.cache_chunks = cache_chunks
+        self.split_marks = split_marks
+        self.whole = not split_marks and (MARK not in self.singles or any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in vocabulary))
         self.new: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
@@ -92,7 +98,17 @@ class UnigramCounter:
         known = missing.intersection(self.old)
         self.new.update(zip(known, map(self.old.__getitem__, known)))
         count = self.count_chunk
-        self.new.update((c, count(MARK + c)) for c in missing - known)
+        self.new.update((c, count(MARK + c.replace(" ", MARK))) for c in missing - known)
+
+    def _chunks(self, text: str) -> list[str]:
+        """Chunks of a text without their first mark."""
+        text = text.replace(MARK, " ")
+        if self.split_marks or not (self.whole or "  " in text):
+            chunks = text.split(" ")
+            return chunks[1:] if chunks[0] == "" else chunks
+        if self.whole:
+            return [text.removeprefix(" ")] if text else []
+        return [run[1:] for run in _RUNS.findall(text if text[0] == " " else f" {text}")]
 
     def count(self, texts: list[str | None], rows: int = 400) -> list[int]:
         """Tokens of each whole text."""
@@ -100,22 +116,21 @@ class UnigramCounter:
         for at in range(0, len(texts), rows):
             cut = []
             for text in texts[at : at + rows]:
-                chunks = (text or "").replace(MARK, " ").split(" ")
-                cut.append(chunks[1:] if chunks[0] == "" else chunks)
+                cut.append(self._chunks(text or ""))
             self._learn(set().union(*cut))
             out += [sum(map(self.new.__getitem__, chunks)) for chunks in cut]
         return out
 
 
-def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], *, byte_fallback: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], *, byte_fallback: bool = True, split_marks: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens`` for every row."""
     if len(vocabulary) > MAX_PIECES:
         raise ValueError(f"more than {MAX_PIECES} pieces")
     shared = docs.sparkSession.sparkContext.broadcast((list(vocabulary), byte_fallback))
-    key = hash((tuple(vocabulary), byte_fallback))
+    key = hash((tuple(vocabulary), byte_fallback, split_marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = held(("pieces", key), lambda: UnigramCounter(*shared.value))
+        counter = held(("pieces", key), lambda: UnigramCounter(*shared.value, split_marks=split_marks))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for texts in parts(batch.column(1), 400) for n in counter.count(texts)], pa.int64())], names=["doc_id", "n_tokens"])
 
