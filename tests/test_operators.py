@@ -69,6 +69,16 @@ def test_markers(spark):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_more_queries_than_are_broadcast(spark, monkeypatch):
+    rows = [(i, [float((i * k) % 17 - 8) for k in (3, 5, 7, 11)]) for i in range(1, 120)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    top = lambda: sorted(map(tuple, ranking.vector_topk(df, df.where("id % 3 = 0"), 4, id_col="id", vector_col="v").collect()))
+    whole = top()
+    monkeypatch.setattr(ranking, "MAX_QUERIES", 7)
+    monkeypatch.setattr(ranking, "BLOCK_VECTORS", 25)
+    assert top() == whole and len(whole) == 39 * 4
+
+
 def test_quarantine_reasons(spark):
     def label(i, aspects='["a"]', sentiment="neutral", severity="1"):
         return f'{{"i":{i},"aspects":{aspects},"sentiment":"{sentiment}","severity":"{severity}","no_content":false}}'

@@ -39,19 +39,29 @@ def global_ntile(df: DataFrame, n: int, order: Sequence[Column], name: str) -> D
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col: str) -> DataFrame:
     """The ``k`` most similar other vectors of each query, by cosine, ties to the smaller id.
 
-    ``queries`` is a stated set of at most ``MAX_QUERIES`` (checked), so it is broadcast
-    against all vectors, and each partition's candidates are cut to k for each query
-    by a partial aggregate before anything is shuffled.
+    At most ``MAX_QUERIES`` queries are broadcast against all vectors, and each
+    partition's candidates are cut to k for each query by a partial aggregate before
+    anything is shuffled.  More are dealt in blocks of about that many, vectors in
+    blocks of about ``BLOCK_VECTORS``, and each block of one meets each of the other.
     """
-    if queries.count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
-    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q")))
-    scored = vectors.crossJoin(q).where(F.col(id_col) != F.col("query_id")).select("query_id", F.col(id_col).alias("vec_id"), cosine(F.col(vector_col), F.col("_q")).alias("score")).where("score is not null")
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        pairs = vectors.crossJoin(F.broadcast(q))
+    else:
+        across, down = -(-n // MAX_QUERIES), max(1, -(-vectors.count() // BLOCK_VECTORS))
+        block = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+        every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        q = q.withColumn("_across", block("query_id", across)).withColumn("_down", every(down))
+        v = vectors.select(id_col, vector_col).withColumn("_down", block(id_col, down)).withColumn("_across", every(across))
+        pairs = v.hint("shuffle_hash").join(q, ["_across", "_down"])
+    scored = pairs.where(F.col(id_col) != F.col("query_id")).select("query_id", F.col(id_col).alias("vec_id"), cosine(F.col(vector_col), F.col("_q")).alias("score")).where("score is not null")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", best.cast("long")).where(F.col("rank") <= k)
 
 
 MAX_QUERIES = 1000
+BLOCK_VECTORS = 10_000
 
 
 def seeded_sample(df: DataFrame, n: int, id_col: str, seed: int = 0) -> DataFrame:
