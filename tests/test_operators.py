@@ -69,6 +69,28 @@ def test_markers(spark):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_any_number_of_days_without_marker(spark):
+    path = shared_path(spark, "markers")
+    days = spark.range(4500).select(F.date_add(F.lit("2010-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("day"))
+    assert loading.without_marker(spark, path, days, "day").count() == 4500
+    loading.mark_complete(spark, path, "2010-01-02", {})
+    left = loading.without_marker(spark, path, days, "day")
+    assert left.count() == 4499 and left.where("day = '2010-01-02'").isEmpty()
+
+
+def test_queries_hold_more_days_and_types_than_fit_a_list(spark):
+    from tidemart.queries import QUERIES
+
+    event_type = F.when(F.col("id") % 13 == 0, "error").otherwise(F.concat(F.lit("t"), (F.col("id") % 1500).cast("string")))
+    day = F.date_add(F.lit("2010-01-01").cast("date"), (F.col("id") % 4500).cast("int")).cast("timestamp_ntz")
+    folder = shared_path(spark, "tables")
+    rows = spark.range(1, 5001).select(F.col("id").alias("event_id"), day.alias("ts"), (F.col("id") % 3 * 5).alias("user_id"), event_type.alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    rows.write.parquet(f"{folder}/events.parquet")
+    assert QUERIES["m08_missing_slices"](spark, folder).count() == 4500
+    reason = lambda i: "unparseable" if i % 3 * 5 % 10 == 0 else "missing" if i % 11 == 0 else "unknown_aspect" if i % 13 == 0 else "bad_sentiment" if i % 7 == 0 else "bad_severity" if i % 5 == 0 else None
+    assert {(r["batch"], r["i"], r["reason"]) for r in QUERIES["m11_quarantine"](spark, folder).collect()} == {(i % 3 * 5, i, reason(i)) for i in range(1, 5001)}
+
+
 def test_more_queries_than_are_broadcast(spark, monkeypatch):
     rows = [(i, [float((i * k) % 17 - 8) for k in (3, 5, 7, 11)]) for i in range(1, 120)] + [(200, None)]
     df = spark.createDataFrame(rows, "id long, v array<float>")

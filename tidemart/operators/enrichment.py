@@ -21,22 +21,31 @@ LABEL = "struct<i:int,aspects:array<string>,sentiment:string,severity:string,no_
 SENTIMENTS = ["positive", "negative", "mixed", "neutral"]
 
 
-def checked_labels(responses: DataFrame, items: DataFrame, aspects: list[str]) -> DataFrame:
+def checked_labels(responses: DataFrame, items: DataFrame, aspects: list[str] | DataFrame) -> DataFrame:
     """Every item of every batch with its label, or the reason why it has none.
 
     ``responses``: batch, response (a JSON array of labels).  ``items``: batch, i,
-    content_hash.  Reasons: unparseable, out_of_range, duplicate, missing,
+    content_hash.  ``aspects``: the known ones, as a list or, for any number, a table
+    of one column.  Reasons: unparseable, out_of_range, duplicate, missing,
     unknown_aspect, bad_sentiment, bad_severity.  Of duplicates the first counts.
     """
     parsed = responses.select("batch", F.from_json("response", f"array<{LABEL}>").alias("labels"))
     each = parsed.select("batch", F.posexplode_outer("labels").alias("pos", "l")).where("pos is not null").select("batch", "pos", "l.*")
     firsts = each.groupBy("batch", "i").agg(F.min(F.struct("pos", "aspects", "sentiment", "severity", "no_content")).alias("l"), F.count("*").alias("n"))
     joined = items.join(parsed.select("batch", F.col("labels").isNull().alias("broken")), "batch", "left").join(firsts, ["batch", "i"], "left")
+    if isinstance(aspects, DataFrame):
+        known = aspects.toDF("known").distinct()
+        used = firsts.select("batch", "i", F.explode("l.aspects").alias("used"))
+        unknown = used.join(known, F.col("used").eqNullSafe(F.col("known")), "left_anti").select("batch", "i", F.lit(True).alias("unknown")).distinct()
+        joined = joined.join(unknown, ["batch", "i"], "left")
+        is_known = F.col("l.aspects").isNotNull() & F.col("unknown").isNull()
+    else:
+        is_known = F.coalesce(is_subset(F.col("l.aspects"), aspects), F.lit(False))
     severity = F.expr("try_cast(l.severity as int)")
     reason = (
         F.when(F.coalesce("broken", F.lit(True)), "unparseable")
         .when(F.col("l").isNull(), "missing")
-        .when(~F.coalesce(is_subset(F.col("l.aspects"), aspects), F.lit(False)), "unknown_aspect")
+        .when(~is_known, "unknown_aspect")
         .when(~F.coalesce(F.col("l.sentiment").isin(SENTIMENTS), F.lit(False)), "bad_sentiment")
         .when(~F.coalesce(severity.between(0, 3), F.lit(False)), "bad_severity")
     )

@@ -68,6 +68,14 @@ def missing_slices(spark: SparkSession, path: str, planned: Sequence[str]) -> li
     return [d for d in planned if d not in done]
 
 
+def without_marker(spark: SparkSession, path: str, planned: DataFrame, column: str) -> DataFrame:
+    """Rows of ``planned`` whose slice (its date in ``column``) has no marker, for any number of slices."""
+    if not exists(spark, path):
+        return planned
+    done = spark.read.parquet(path).select(F.col("slice_date").cast("date").alias("_done")).distinct()
+    return planned.join(done, F.to_date(column) == F.col("_done"), "left_anti")
+
+
 def consistent_slice(tables: dict[str, DataFrame], root: str, at: str, start: str, end: str, children: dict[str, tuple[str, str]], parents: dict[str, tuple[str, str]]) -> dict[str, DataFrame]:
     """Rows of ``root`` in a window, with the children and parents (own key, root's key) that they refer to."""
     chosen = window_of(tables[root], at, start, end)

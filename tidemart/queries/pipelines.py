@@ -3,11 +3,14 @@
 from pyspark.sql import functions as F
 
 from ..operators import enrichment as E
-from ..operators.loading import consistent_slice, merged, missing_slices, replace_slice, window_of
+from ..operators.loading import consistent_slice, merged, replace_slice, window_of, without_marker
 from ..plans import marts as M
 from ..session import shared_path
 from .registry import query
 
+#: Event ids that one response of m11 spans.
+BATCH_IDS = 1000
+
 
 @query("m01_incremental_merge", "SELECT o_orderkey AS order_id, CASE WHEN o_orderdate >= TIMESTAMP '1999-01-01' THEN 'restated' ELSE o_orderstatus END AS order_status FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderdate >= TIMESTAMP '1999-01-01'")
 def _(t):
@@ -46,9 +49,8 @@ def _(t):
 
 @query("m08_missing_slices", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events GROUP BY 1")
 def _(t):
-    days = [r[0] for r in t["events"].select(F.to_date("ts").cast("string").alias("d")).distinct().orderBy("d").limit(4000).collect()]
-    missing = missing_slices(t.spark, shared_path(t.spark, "markers"), days)
-    return t["events"].select(F.to_date("ts").cast("string").alias("day")).distinct().where(F.col("day").isin(missing))
+    days = t["events"].select(F.to_date("ts").cast("string").alias("day")).distinct()
+    return without_marker(t.spark, shared_path(t.spark, "markers"), days, "day")
 
 
 @query("m10_dedup_by_content", "SELECT sha256(text || chr(0) || 'v1' || chr(0) || 'base') AS content_hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY text")
@@ -69,11 +71,13 @@ def _(t):
     sentiment = F.when(F.col("event_id") % 7 == 0, "furious").otherwise("neutral")
     severity = F.when(F.col("event_id") % 5 == 0, "9").otherwise("1")
     label = F.struct(F.col("event_id").cast("int").alias("i"), F.array("event_type").alias("aspects"), sentiment.alias("sentiment"), severity.alias("severity"), F.lit(False).alias("no_content"))
-    given = e.where("event_id % 11 <> 0").groupBy("user_id").agg(F.to_json(F.collect_list(label)).alias("response"))
-    responses = given.select(F.col("user_id").alias("batch"), F.when(F.col("user_id") % 10 == 0, "not json").otherwise(F.col("response")).alias("response"))
-    items = e.select(F.col("user_id").alias("batch"), F.col("event_id").cast("int").alias("i"), F.col("event_id").cast("string").alias("content_hash"))
-    known = [r[0] for r in e.select("event_type").distinct().limit(1000).collect() if r[0] != "error"]
-    return E.checked_labels(responses, items, known).select("batch", F.col("i").cast("long").alias("i"), "reason")
+    # batches of a user hold the events of BATCH_IDS ids at most; one of missing items only still has its (empty) response
+    batch = F.struct("user_id", F.floor(F.col("event_id") / BATCH_IDS).alias("part"))
+    given = e.groupBy(batch.alias("batch")).agg(F.to_json(F.collect_list(F.when(F.col("event_id") % 11 != 0, label))).alias("response"))
+    responses = given.select("batch", F.when(F.col("batch.user_id") % 10 == 0, "not json").otherwise(F.col("response")).alias("response"))
+    items = e.select(batch.alias("batch"), F.col("event_id").cast("int").alias("i"), F.col("event_id").cast("string").alias("content_hash"))
+    known = e.select("event_type").distinct().where(~F.col("event_type").eqNullSafe("error"))
+    return E.checked_labels(responses, items, known).select(F.col("batch.user_id").alias("batch"), F.col("i").cast("long").alias("i"), "reason")
 
 
 @query("m14_cost_reconciliation", "SELECT lang, CAST(sum(length(text)) AS BIGINT) AS expected, CAST(sum(n_chars) AS BIGINT) AS logged, CAST(sum(length(text)) - sum(n_chars) AS BIGINT) AS correction FROM documents GROUP BY lang")
