@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_SHARED_DIR = "/tmp/checkpoints"
+#: Used only where the driver and all tasks share one machine and the session names no folder, as in tests.
+LOCAL_DIR = "/tmp/checkpoints"
 
 
 def build_session(master: str | None = None, **settings: str) -> SparkSession:
@@ -19,7 +20,12 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
+    """A fresh folder below ``spark.checkpoint.dir``, which a cluster has to name."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        base = LOCAL_DIR
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
