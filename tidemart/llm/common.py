@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Hashable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-DEFAULT_SHARED_DIR = "/tmp/checkpoints"
+from ..session import shared_path
 
 #: ASCII upper to lower case on UTF-8 bytes; other bytes stay as they are.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -19,12 +17,6 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one that the cluster shares for checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there,
     and losing an executor costs only what it was computing."""
@@ -38,6 +30,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with more than one in so many rows, and more than ``HOT_ROWS``, is hot; so there are no more hot keys than that.
+HOT_SHARE = 10_000
+HOT_ROWS = 256
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` left-joined with ``facts``, which has one row for each of its keys, without dealing a hot key to one task.
+
+    At most ``HOT_SHARE`` keys are hot: their facts are broadcast and their rows stay where they are.  All other
+    keys are joined as Spark sees fit.  ``rows`` is read more than once, so it should be a table.
+    """
+    keys = list(keys)
+    most = max(rows.count() // HOT_SHARE, HOT_ROWS)
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys)).collect()
+    if not hot:
+        return rows.join(facts, keys, "left")
+    named = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
+    heated = rows.join(named, keys, "left_semi").join(F.broadcast(facts.join(named, keys, "left_semi")), keys, "left")
+    return rows.join(named, keys, "left_anti").join(facts, keys, "left").unionByName(heated)
+
+
 def word_count(text: Column) -> Column:
     """Number of words in ``text`` as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
