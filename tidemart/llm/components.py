@@ -34,10 +34,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out if large else out.distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``vertex``, ``component`` (its smallest vertex) for every vertex on an edge of ``a``, ``b``."""
     now = materialize(edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(max_rounds):
+    while True:  # each round shrinks some component's distance to its smallest vertex
         after = materialize(_star(_star(now, large=True), large=False), "edges")
         # one star a component: no vertex is both a centre and a leaf, or a leaf twice
         centres = after.select(F.col("a").alias("x")).distinct()
@@ -46,4 +46,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             leaves = after.select(F.col("b").alias("vertex"), F.col("a").alias("component"))
             return leaves.unionByName(after.select(F.col("a").alias("vertex"), F.col("a").alias("component")).distinct())
         now = after
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

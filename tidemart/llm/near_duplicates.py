@@ -2,10 +2,10 @@
 
 A document is the set of its distinct word shingles.  Rows with equal sets are
 folded first: one row, that of the smallest id, stands for each distinct set.
-Every set gets a signature of minwise values.  In each of several independent
-trees a node picks ``branches`` signature positions at random (the same for all
-that are in it) and a set goes to one child for each, named by its minwise value
-there; sets that agree in much end up together.  After ``depth`` levels:
+Every set gets minwise values, each by a hash function of its own.  In each of
+several independent trees a node has ``branches`` of these functions for itself and
+a set goes to one child for each, named by its minwise token there; sets that
+agree in much end up together.  After ``depth`` levels:
 
 1. in every node the smallest id is paired with each other member, and in a node
    of more than ``led_from`` members so are a few others, the first in other orders, so
@@ -13,21 +13,24 @@ there; sets that agree in much end up together.  After ``depth`` levels:
 2. pairs whose sizes and parities allow it are confirmed on the full sets;
 3. nodes whose members the links leave apart are compared exhaustively between
    the parts.  Members outside a node's largest part are dealt in probes and
-   all its members in blocks, and each set of probes meets each block in a group of
-   its own, so no group outgrows ``2 * node_limit``; a pair that meets in several
-   nodes is looked at in the first.  Members of pairs that sizes and parities allow
-   meet once more, with their full sets, and only links leave the group;
+   all its members in blocks, both of at most about ``node_limit`` members and
+   ``node_shingles`` shingles, and each set of probes meets each block in a group of
+   its own; a pair that meets in several nodes is looked at in the first.  Members
+   of pairs that sizes and parities allow meet once more, with their full sets,
+   and only links leave the group;
 4. the links of both rounds are joined into components.
 
 Members already known to be connected aren't paired again, so a group of n copies
-costs a small multiple of n pairs.  Levels look at disjoint signature positions.  A
-link of similarity s is missed by one tree with probability q(depth), q(k) =
-(1 - s + s q(k - 1)) ** branches, q(0) = 0; at the limit of 0.8 four trees of three
-levels with two branches miss about one link in 80,000.  With more sets there are
-more levels, so that nodes stay small.  Nothing else can miss a link: a set's parities
-are one bit for each of ``PARITY_BITS`` residues of its hashes, the parity of their
-number; two sets differ in at least as many shingles as their parities in bits, so a
-pair is only left out when its full sets can't reach ``percent``, whatever that is.
+costs a small multiple of n pairs.  No two nodes share a hash function, so a link of
+similarity s is missed by one tree with probability q(depth), q(k) =
+(1 - s + s q(k - 1)) ** branches, q(0) = 0, and the trees miss independently.  With two
+branches q is 0.059 at the limit of 0.8 after three levels and never above 0.0625,
+so five trees miss less than one such link in a million, whatever the depth.  With
+more documents there are more levels, so that nodes stay small.  Nothing else can
+miss a link: a set's parities are one bit for each of ``PARITY_BITS`` residues of its
+hashes, the parity of their number; two sets differ in at least as many shingles
+as their parities in bits, so a pair is only left out when its full sets can't
+reach ``percent``, whatever that is.
 
 Words are runs of characters other than ASCII white space, after lower-casing A-Z.
 
@@ -42,7 +45,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -51,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, let_go, materialize, parts
+from .common import ASCII_LOWER, bounded_batches, let_go, looked_up, materialize, parts
 from .components import connected_components
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -64,17 +67,26 @@ PARITY_BITS = 1024
 class Params:
     shingle_words: int = 5
     percent: int = 80
-    coordinates: int = 72
-    trees: int = 4
-    #: Levels; by default three, and one more for each 20-fold number of sets beyond ``sets_at_three``.
+    trees: int = 5
+    #: Levels; by default three, and one more for each 20-fold number of documents beyond ``docs_at_three``.
     depth: int | None = None
-    sets_at_three: int = 4_000_000
+    docs_at_three: int = 4_000_000
     branches: int = 2
     leaders: int = 6
     led_from: int = 16
-    node_limit: int = 1024
+    node_limit: int = 512
+    node_shingles: int = 2_000_000
     seed: int = 20240601
 
+    @property
+    def levels(self) -> int:
+        return self.depth or 3
+
+    @property
+    def coordinates(self) -> int:
+        """Minwise values of a set: ``branches`` for each node of each tree."""
+        return self.trees * sum(self.branches ** (level + 1) for level in range(self.levels))
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _M
@@ -121,19 +133,14 @@ def _factors(p: Params) -> np.ndarray:
     return np.random.default_rng(p.seed).integers(0, 1 << 62, p.coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _tree_leaves(sig: np.ndarray, p: Params, depth: int) -> np.ndarray:
+def _tree_leaves(sig: np.ndarray, p: Params) -> np.ndarray:
     """The last nodes (rows x nodes) that each row's signature leads to; equal places are the same path of choices."""
-    width = np.uint64(sig.shape[1] // depth)
-    roots = _mix((np.arange(p.trees, dtype=np.uint64) + np.uint64(1)) * _K + np.uint64(p.seed))
-    nodes = np.repeat(roots[None, :], len(sig), axis=0)
-    for level in range(depth):
-        place, children = _mix(nodes + _K) % width, []
-        for j in range(p.branches):
-            at = place + width * np.uint64(level)
-            value = np.take_along_axis(sig, at.astype(np.int64), axis=1).astype(np.uint64)
-            children.append(_mix(nodes * _K + _mix(value * _K + at + np.uint64(1))))
-            place = (place + np.uint64(1) + _mix(nodes + np.uint64(j + 7)) % (width - np.uint64(1))) % width
-        nodes = np.concatenate(children, axis=1)
+    nodes = np.broadcast_to(_mix((np.arange(p.trees, dtype=np.uint64) + np.uint64(1)) * _K + np.uint64(p.seed)), (len(sig), p.trees))
+    at = 0
+    for _ in range(p.levels):
+        children = np.repeat(nodes, p.branches, axis=1)
+        own = np.arange(at, at := at + children.shape[1])
+        nodes = _mix(children * _K + _mix(sig[:, own].astype(np.uint64) * _K + (own + 1).astype(np.uint64)))
     return nodes
 
 
@@ -165,13 +172,13 @@ def sketch(docs: DataFrame, p: Params, *, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, sig binary, parity binary")
 
 
-def _leaves(reps: DataFrame, p: Params, depth: int) -> DataFrame:
+def _leaves(reps: DataFrame, p: Params) -> DataFrame:
     """``node``, ``rep`` for the last level of all trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                nodes = _tree_leaves(_matrix(batch.column(1), p.coordinates), p, depth)
+                nodes = _tree_leaves(_matrix(batch.column(1), p.coordinates), p)
                 rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), nodes.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(rep, pa.int64())], names=["node", "rep"])
 
@@ -192,14 +199,14 @@ def _allowed(rows: DataFrame, p: Params) -> DataFrame:
     return near.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
 
 
-def _candidates(group: pa.RecordBatch, p: Params, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _candidates(group: pa.RecordBatch, p: Params) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each probe of a group: its row, the rows of likely partners that it first meets here, and all rows' parts.
 
     The parts may be changed meanwhile; rows of the probe's own part are left out.
     """
     comp, n, probe = (group.column(c).to_numpy(zero_copy_only=False).copy() for c in ("component", "n", "probe"))
     sig, parity = _matrix(group.column("sig"), p.coordinates), _bits(group.column("parity"))
-    node, leaves = np.int64(group.column("node")[0].as_py()).view(np.uint64), _tree_leaves(sig, p, depth)
+    node, leaves = np.int64(group.column("node")[0].as_py()).view(np.uint64), _tree_leaves(sig, p)
     for i in np.flatnonzero(probe):
         j = np.flatnonzero((comp != comp[i]) & (np.minimum(n[i], n) * 100 >= np.maximum(n[i], n) * p.percent))
         j = j[_may_link(n[i], n[j], parity[i], parity[j], p)]
@@ -234,12 +241,12 @@ def _grouped(rows: DataFrame, solve: Callable[[pa.RecordBatch], pa.RecordBatch],
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _involved(dealt: DataFrame, p: Params, depth: int) -> DataFrame:
+def _involved(dealt: DataFrame, p: Params) -> DataFrame:
     """Those rows of ``dealt`` that belong to a likely pair."""
 
     def solve(group: pa.RecordBatch) -> pa.RecordBatch:
         mask = np.zeros(group.num_rows, dtype=bool)
-        for i, j, _ in _candidates(group, p, depth):
+        for i, j, _ in _candidates(group, p):
             mask[j] = True
             mask[i] |= len(j) > 0
         return group.filter(pa.array(mask))
@@ -247,13 +254,13 @@ def _involved(dealt: DataFrame, p: Params, depth: int) -> DataFrame:
     return _grouped(dealt, solve, ", ".join(f"{c} {t}" for c, t in dealt.dtypes))
 
 
-def _links_across(involved: DataFrame, full: DataFrame, p: Params, depth: int) -> DataFrame:
+def _links_across(involved: DataFrame, full: DataFrame, p: Params) -> DataFrame:
     """``a``, ``b``: links between parts of a node, enough to join what belongs together."""
 
     def solve(group: pa.RecordBatch) -> pa.RecordBatch:
         rep, sets = group.column("rep").to_numpy(zero_copy_only=False), [np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column("shingles")]
         found: list[tuple[int, int]] = []
-        for i, near, comp in _candidates(group, p, depth):
+        for i, near, comp in _candidates(group, p):
             for j in near:
                 if comp[j] != comp[i]:
                     x, y = sets[i], sets[j]
@@ -268,13 +275,15 @@ def _links_across(involved: DataFrame, full: DataFrame, p: Params, depth: int) -
     return materialize(_grouped(rows, solve, "a long, b long"), "links")
 
 
-def _open_nodes(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _open_nodes(members: DataFrame, parts: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of nodes that the links leave apart, and each such node's figures."""
     # nodes of two are done: their only pair has been compared
-    rows = members.where("size > 2").join(parts, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
-    counts = rows.groupBy("node", "component").agg(F.count("*").alias("c"))
-    nodes = counts.groupBy("node").agg(F.sum("c").alias("size"), F.count("*").alias("components"), F.max(F.struct("c", "component")).alias("major")).where("components > 1")
-    return rows, nodes.select("node", "size", F.col("major.component").alias("major"), (F.col("size") - F.col("major.c")).alias("minor"))
+    known = reps.select("rep", "n").join(parts, "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("component"))
+    rows = members.where("size > 2").select("node", "rep").join(known, "rep")
+    counts = rows.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    nodes = counts.groupBy("node").agg(F.sum("c").alias("size"), F.sum("n").alias("shingles"), F.count("*").alias("components"), F.max(F.struct("c", "component", "n")).alias("major")).where("components > 1")
+    minor = [(F.col("size") - F.col("major.c")).alias("minor"), (F.col("shingles") - F.col("major.n")).alias("minor_shingles")]
+    return rows.select("node", "rep", "component"), nodes.select("node", "size", "shingles", F.col("major.component").alias("major"), *minor)
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -285,7 +294,8 @@ def _stars(members: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame, nodes: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     """Rows of open nodes by ``node``, ``part`` of its minor members, ``block`` of all."""
-    sized = nodes.select("node", "major", F.ceil(F.col("minor") / p.node_limit).cast("int").alias("parts"), F.ceil(F.col("size") / p.node_limit).cast("int").alias("blocks"))
+    groups = lambda members, shingles: F.ceil(F.greatest(F.col(members) / p.node_limit, F.col(shingles) / p.node_shingles)).cast("int")
+    sized = nodes.select("node", "major", groups("minor", "minor_shingles").alias("parts"), groups("size", "shingles").alias("blocks"))
     full = rows.join(sized, "node").join(reps.select("rep", "n", "sig", "parity"), "rep").withColumn("minor", F.col("component") != F.col("major"))
     h = F.xxhash64("rep", F.lit(p.seed + 1))
     own = F.pmod(h, F.col("blocks")).cast("int")
@@ -305,7 +315,7 @@ def _sets(ids: DataFrame, docs: DataFrame, p: Params, id_col: str, text_col: str
             found = [shingle_set(t, p.shingle_words).tobytes() for t in chain.from_iterable(parts(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).hint("merge").join(ids, "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(materialize(ids, "ids"), "id", "left_semi")
     return materialize(texts.mapInArrow(run, "id long, shingles binary"), "sets")
 
 
@@ -342,34 +352,35 @@ def _parts(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, params: Params | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs``."""
     p = params or Params()
+    p = replace(p, depth=p.depth or 3 + max(0, math.ceil(math.log(max(1, docs.count()) / p.docs_at_three) / math.log(20))))
     rows = materialize(sketch(bounded_batches(docs), p, id_col=id_col, text_col=text_col), "sketches")
     reps = materialize(
         rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig", "parity")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.sig", "r.parity"),
         "distinct-sets",
     )
-    depth = p.depth or 3 + max(0, math.ceil(math.log(max(1, reps.count()) / p.sets_at_three) / math.log(20)))
-    leaves = _leaves(reps, p, depth)
+    leaves = materialize(_leaves(reps, p), "leaves")
     masks = [int(x) for x in np.random.default_rng(p.seed).integers(0, 1 << 40, p.leaders)]
     led = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).alias(f"l{c}") for c, m in enumerate(masks)]  # a mask gives an order of ids, and can be taken off again
     shared = leaves.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("first"), *led).where("size > 1")
     more = F.when(F.col("size") > p.led_from, F.array(*[F.col(f"l{c}").bitwiseXOR(F.lit(m)) for c, m in enumerate(masks)])).otherwise(F.array().cast("array<long>"))
-    shared = shared.select("node", "size", F.array_distinct(F.concat(F.array("first"), more)).alias("leaders"))
-    members = materialize(leaves.join(shared, "node"), "nodes")
+    shared = materialize(shared.select("node", "size", F.array_distinct(F.concat(F.array("first"), more)).alias("leaders")), "shared-nodes")
+    members = materialize(looked_up(leaves, shared, ["node"]).where("size is not null"), "nodes")
 
     a, b = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in ("a", "b"))
-    likely = materialize(_allowed(_stars(members).join(a, "a").join(b, "b"), p), "pairs")
+    stars = materialize(_stars(members), "stars")
+    likely = materialize(_allowed(looked_up(stars, a, ["a"]).join(b, "b"), p), "pairs")
     full = _sets(_ends(likely), docs, p, id_col, text_col)
     links = _confirmed(likely, full, p)
 
-    rows_left, nodes = _open_nodes(members, _parts(links))
-    involved = materialize(_involved(_dealt(rows_left, materialize(nodes, "open-nodes"), reps, p), p, depth), "involved")
+    rows_left, nodes = _open_nodes(members, _parts(links), reps)
+    involved = materialize(_involved(_dealt(rows_left, materialize(nodes, "open-nodes"), reps, p), p), "involved")
     if not involved.isEmpty():
         missing = involved.select(F.col("rep").alias("id")).distinct().join(full.select("id").distinct(), "id", "left_anti")
-        links = links.unionByName(_links_across(involved, full.unionByName(_sets(missing, docs, p, id_col, text_col)), p, depth))
+        links = links.unionByName(_links_across(involved, full.unionByName(_sets(missing, docs, p, id_col, text_col)), p))
     labels = connected_components(links)
 
-    by_set = reps.select("digest", "rep").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").groupBy("digest").agg(F.min(F.coalesce("component", "rep")).alias("c"))
-    linked = rows.where("n > 0").join(by_set, "digest", "left").select("doc_id", "n", "c")
-    alone = rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("c"))
+    by_set = materialize(reps.select("digest", "rep").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("c")), "labels")
+    # rows without shingles share a digest that is no set's
+    linked = looked_up(rows.select("doc_id", "n", "digest"), by_set, ["digest"])
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
