@@ -12,11 +12,15 @@ candidates seen.  Survivors are scored exactly, in double precision, on the
 original vectors.  A query left with fewer than k goes through all lists once
 more, without abandoning any.
 
-Without clusters in the data near neighbours are spread over most lists, so
-``probe_share`` is high by default; on clustered data a tenth of it does.
+How many lists a query probes is measured when the index is fitted: the fewest that
+hold ``probe_recall`` of the true neighbours which sample vectors have in the sample.
+On clustered data those are few; without clusters near neighbours are spread over
+most lists, and no choice of lists would save much.
 
-Lists are dealt in blocks of ``block_rows`` and their queries in blocks of
-``block_queries``, so no task gets a whole hot list.
+Lists that lie next to each other are dealt together, in groups of about
+``block_rows`` vectors, so a query is copied once for each group that it probes and
+not for each list.  Larger groups are cut in blocks of ``block_rows`` by row and their
+queries in blocks of ``block_queries``, so no task gets a whole hot list.
 
 Edge cases: vectors null, zero, empty, of another dimension, or with a null or
 non-finite component take no part, nor do null ids; equal scores go to the
@@ -45,14 +49,16 @@ MAX_LISTS = 4096
 @dataclass(frozen=True)
 class Params:
     k: int = 20
-    #: Share of all lists that a query probes, and the least number.
-    probe_share: float = 0.75
+    #: Share of true neighbours in the sample that the probed lists have to hold, and the least number of lists.
+    probe_recall: float = 0.97
     least_probes: int = 24
     column_block: int = 16
     epsilon: float = 2.6
     bound_sample: int = 8192
-    block_rows: int = 4096
-    block_queries: int = 512
+    #: Sample vectors that are looked up to choose the number of probes.
+    measured: int = 512
+    block_rows: int = 8192
+    block_queries: int = 2048
     seed: int = 7
 
 
@@ -64,6 +70,7 @@ class Index:
     sample_ids: np.ndarray
     sample: np.ndarray
     sample_lists: np.ndarray
+    probes: int = 0
 
     def lifted(self, x: np.ndarray, data: bool) -> np.ndarray:
         """``x`` with its further component, rotated."""
@@ -94,14 +101,38 @@ def fit(rows: DataFrame, total: int, dimension: int, p: Params) -> Index:
     some = rng.permutation(len(ids))[: p.bound_sample]
     index = Index(rotation, np.zeros((0, dimension + 1)), largest, ids[some], sample[some], np.zeros(0, dtype=np.int64))
     centroids = _centroids(index.lifted(sample, data=True), int(min(MAX_LISTS, max(1, total**0.5))), rng)
-    return replace(index, centroids=centroids, sample_lists=_squared(index.lifted(index.sample, data=True), centroids).argmin(axis=1))
+    index = replace(index, centroids=centroids, sample_lists=_squared(index.lifted(index.sample, data=True), centroids).argmin(axis=1))
+    return replace(index, probes=_probes_needed(index, p))
 
 
-def scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray, exact, p: Params, rows: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) that survive; ``x``, ``q`` are rotated, ``bound`` squared, ``exact(query, row)`` gives squared distances and scores."""
+def _probes_needed(index: Index, p: Params) -> int:
+    """The least number of nearest lists that hold ``probe_recall`` of the true neighbours of some sample vectors."""
+    x = index.sample[: p.measured]
+    scores = x @ index.sample.T
+    scores[index.sample_ids[: len(x), None] == index.sample_ids[None, :]] = -np.inf
+    near = np.argpartition(-scores, min(p.k, len(index.sample)) - 1, axis=1)[:, : p.k]
+    order = _squared(index.lifted(x, data=False), index.centroids).argsort(axis=1).argsort(axis=1)
+    place = np.take_along_axis(order, index.sample_lists[near], axis=1)[np.isfinite(np.take_along_axis(scores, near, axis=1))]
+    needed = int(np.quantile(place, p.probe_recall, method="higher")) + 1 if len(place) else 1
+    return min(len(index.centroids), max(p.least_probes, needed))
+
+
+def _groups(centroids: np.ndarray, counts: np.ndarray, block_rows: int) -> np.ndarray:
+    """The group of each list: neighbours along the centroids' main direction, until they hold ``block_rows`` vectors."""
+    middle = centroids - centroids.mean(axis=0)
+    order = np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")
+    before = np.cumsum(counts[order]) - counts[order]
+    out = np.zeros(len(centroids), dtype=np.int64)
+    out[order] = np.unique(before // block_rows, return_inverse=True)[1]
+    return out
+
+
+def scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray, seen: np.ndarray, exact, p: Params, rows: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) that survive; ``x``, ``q`` are rotated, ``exact(query, row)`` gives squared distances and scores.
+
+    ``bound`` (squared) and ``seen`` (the k least squared distances of each query) are brought up to date.
+    """
     dims, out = x.shape[1], []
-    bound = bound.copy()
-    seen = np.full((len(q), p.k), np.inf)
     for at in range(0, len(x), rows):
         part = x[at : at + rows]
         partial, alive = np.zeros((len(q), len(part))), None
@@ -134,8 +165,8 @@ def scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray, exact, p: Params, rows
             use = place < p.k
             best = np.full((len(q), p.k), np.inf)
             best[i[order][use], place[use]] = distance[order][use]
-            seen = np.sort(np.concatenate([seen, best], axis=1), axis=1)[:, : p.k]
-            bound = np.minimum(bound, seen[:, -1])
+            seen[:] = np.sort(np.concatenate([seen, best], axis=1), axis=1)[:, : p.k]
+            np.minimum(bound, seen[:, -1], out=bound)
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
@@ -158,17 +189,20 @@ def search(table: DataFrame, is_query: Column, params: Params | None = None, *,
 
     data = materialize(rows.mapInArrow(listed, "vec_id long, vector array<double>, list int"), "lists")
     queries = materialize(one_row_each(rows.where(is_query)), "queries")
-    found = materialize(_searched(data, queries, shared, lists, int(min(lists, max(p.least_probes, np.ceil(p.probe_share * lists)))), p), "found")
+    counts = {r["list"]: r["n"] for r in data.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS
+    groups = _groups(index.centroids, np.array([counts.get(k, 0) for k in range(lists)]), p.block_rows)
+    found = materialize(_searched(data, queries, shared, groups, index.probes, p), "found")
     enough = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")).where(F.col("n") >= min(p.k, total - 1)).select("vec_id")
     short = queries.join(enough, "vec_id", "left_anti")
     if not short.isEmpty():
-        more = _searched(data, short, shared, lists, lists, replace(p, epsilon=np.inf))
+        more = _searched(data, short, shared, groups, lists, replace(p, epsilon=np.inf))
         found = found.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(more)
     return ranked(found, p.k)
 
 
-def _searched(data: DataFrame, queries: DataFrame, shared, lists: int, probes: int, p: Params) -> DataFrame:
+def _searched(data: DataFrame, queries: DataFrame, shared, groups: np.ndarray, probes: int, p: Params) -> DataFrame:
     """``query_id``, ``vec_id``, ``score``: up to k of every block that a query probes."""
+    lists = len(groups)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -184,37 +218,61 @@ def _searched(data: DataFrame, queries: DataFrame, shared, lists: int, probes: i
                 scores[~looked[:, index.sample_lists]] = -np.inf
                 best = kth_best(scores, p.k)
                 bound = np.where(np.isfinite(best), (x * x).sum(axis=1) + index.largest**2 - 2 * best + 1e-9 * index.largest**2, np.inf)
-                take = pa.array(np.repeat(np.arange(len(ids)), probes))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.repeat(bound, probes)), pa.array(near.ravel().astype(np.int32))], names=["vec_id", "vector", "bound", "list"])
-
-    asked = materialize(queries.mapInArrow(probed, "vec_id long, vector array<double>, bound double, list int"), "probes")
+                query, at_list = np.nonzero(looked)
+                order = np.lexsort((groups[at_list], query))
+                query, at_list = query[order], at_list[order].astype(np.int32)
+                starts = np.flatnonzero(np.diff(query, prepend=-1) | np.diff(groups[at_list], prepend=-1))
+                take = query[starts]
+                of_group = pa.ListArray.from_arrays(pa.array(np.append(starts, len(query)).astype(np.int32)), pa.array(at_list))
+                columns = [part.column(0).take(pa.array(take)), part.column(1).take(pa.array(take)), pa.array(bound[take]), pa.array(groups[at_list[starts]].astype(np.int32)), of_group]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "vector", "bound", "group", "lists"])
+
+    asked = materialize(queries.mapInArrow(probed, "vec_id long, vector array<double>, bound double, group int, lists array<int>"), "probes")
+    group = F.element_at(F.array(*[F.lit(int(g)) for g in groups]), F.col("list") + 1)
+    grouped = data.withColumn("group", group)
 
     def block_counts(df: DataFrame, size: int) -> Column:
-        """Blocks of each list: at most ``MAX_LISTS`` numbers."""
-        counts = {r["list"]: -(-r["n"] // size) for r in df.groupBy("list").agg(F.count("*").alias("n")).collect()}
-        return F.element_at(F.array(*[F.lit(int(counts.get(i, 1))) for i in range(lists)]), F.col("list") + 1)
+        """Blocks of each group: no more numbers than lists."""
+        counts = {r["group"]: -(-r["n"] // size) for r in df.groupBy("group").agg(F.count("*").alias("n")).collect()}
+        return F.element_at(F.array(*[F.lit(int(counts.get(i, 1))) for i in range(int(groups.max()) + 1)]), F.col("group") + 1)
 
-    n_data, n_asked = block_counts(data, p.block_rows), block_counts(asked, p.block_queries)
-    dealt = data.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_data).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), n_asked - 1)))
+    n_data, n_asked = block_counts(grouped, p.block_rows), block_counts(asked, p.block_queries)
+    dealt = grouped.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), n_data).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), n_asked - 1)))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_asked).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), n_data - 1)))
 
     def local(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         index = shared.value
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        left = left.sort_values("vec_id")
+        left = left.sort_values(["list", "vec_id"])
         x, q = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
-        names, asking = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        names, asking, own = left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), left["list"].to_numpy()
         spare = index.largest**2 + (q * q).sum(axis=1)
-
-        def exact(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            score = np.concatenate([(q[i[s : s + 65536]] * x[j[s : s + 65536]]).sum(axis=1) for s in range(0, len(i), 65536)] or [np.zeros(0)])
-            return np.where(names[j] == asking[i], np.inf, spare[i] - 2 * score), score
-
-        i, j, score = scan(index.lifted(x, data=True), index.lifted(q, data=False), right["bound"].to_numpy(), exact, p)
-        other = names[j] != asking[i]
-        found = pd.DataFrame({"query_id": asking[i[other]], "vec_id": names[j[other]], "score": score[other]})
-        return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(p.k)
-
-    keys = ["list", "block", "part"]
+        lifted_x, lifted_q = index.lifted(x, data=True), index.lifted(q, data=False)
+        bound, seen = right["bound"].to_numpy().copy(), np.full((len(q), p.k), np.inf)
+        looked = np.zeros((len(q), lists), dtype=bool)
+        for i, some in enumerate(right["lists"]):
+            looked[i, some] = True
+        cuts, out = [*np.flatnonzero(np.diff(own, prepend=-1)), len(own)], []
+        for lo, hi in zip(cuts, cuts[1:]):
+            here = np.flatnonzero(looked[:, own[lo]])
+            if not len(here):
+                continue
+
+            def exact(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                i, j = here[i], j + lo
+                score = np.concatenate([(q[i[s : s + 65536]] * x[j[s : s + 65536]]).sum(axis=1) for s in range(0, len(i), 65536)] or [np.zeros(0)])
+                return np.where(names[j] == asking[i], np.inf, spare[i] - 2 * score), score
+
+            best, kept = bound[here], seen[here]
+            i, j, score = scan(lifted_x[lo:hi], lifted_q[here], best, kept, exact, p)
+            bound[here], seen[here] = best, kept
+            i, j = here[i], j + lo
+            good = (names[j] != asking[i]) & (spare[i] - 2 * score <= bound[i] + 1e-9 * index.largest**2)
+            out.append(pd.DataFrame({"query_id": asking[i[good]], "vec_id": names[j[good]], "score": score[good]}))
+        if not out:
+            return local(left[:0], right)
+        return pd.concat(out).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(p.k)
+
+    keys = ["group", "block", "part"]
     return dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(local, "query_id long, vec_id long, score double")

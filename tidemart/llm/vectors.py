@@ -31,9 +31,11 @@ def valid_rows(table: DataFrame, id_col: str, vector_col: str, *, zero: bool) ->
 
 
 def sample_of(rows: DataFrame, total: int, limit: int = SAMPLE_ROWS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of about ``limit`` rows (all, if there are fewer), picked by a hash of the id."""
-    some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, limit / max(total, 1)) * (1 << 30))).limit(2 * limit)
-    found = some.toArrow()
+    """Ids and vectors of about ``limit`` rows (all, if there are fewer), picked by a hash of id and vector; one at least."""
+    picked = F.pmod(F.xxhash64("vec_id", "vector", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, limit / max(total, 1)) * (1 << 30))
+    found = rows.where(picked).limit(2 * limit).toArrow()
+    if not found.num_rows:  # few different rows, and none of their hashes small enough
+        found = rows.limit(1).toArrow()
     order = np.argsort(found["vec_id"].to_numpy(), kind="stable")
     return found["vec_id"].to_numpy()[order], matrix(found["vector"])[order]
 
