@@ -13,7 +13,7 @@ a null id is kept as null; rows repeated have their findings each; texts of any
 length are scanned whole; an empty table gives an empty result; columns of the
 input called like an output column don't matter.  Candidates never overlap: the
 leftmost is taken, and of those the first alternative of ``CANDIDATE``.  Each row
-is redacted by its own findings, with or without an id.
+is redacted at the places of its own findings, with or without an id.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ TRAINING_ROWS = 6000
 CONTEXT_CHARS = 60
 REDACTED = "[SECRET]"
 
-PEM_HEADER = "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+PEM_HEADER = "-----BEGIN [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
 #: All up to the END line; without one, headers and lines of base64 (line feeds may be escaped).
-PEM_REST = r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:(?:\s|\\[rn])++(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[0-9A-Za-z+/]{16,}+={0,2}+))*+(?:(?:\s|\\[rn])++[0-9A-Za-z+/]{1,15}+={1,2}+)?+)"
+PEM_REST = r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[rn])++(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash):[^\r\n\\]*+|[0-9A-Za-z+/]{16,}+={0,2}+))*+(?:(?:\s|\\[rn])++[0-9A-Za-z+/]{1,15}+={1,2}+)?+)"
 #: Public formats of credentials; the last two are general.
 FORMATS = {
     "aws_key_id": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
@@ -46,7 +46,7 @@ FORMATS = {
     "jwt": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
     "private_key": PEM_HEADER + PEM_REST,
     "assignment": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}[\"']?(?!" + PEM_HEADER + r")[^\s\"']{6,}",
-    "long_token": r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[0-9A-Za-z+/_=-]{20,}",
+    "long_token": r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[0-9A-Za-z+/_=-]{20,}",
 }
 CANDIDATE = "|".join(FORMATS.values())
 #: What stands between a name and its value in an assignment.
@@ -95,7 +95,7 @@ def described(findings: DataFrame) -> DataFrame:
         "f_upper": _share(count("[A-Z]"), n),
         "f_lower": _share(count("[a-z]"), n),
         "f_other": _share(count("[^0-9A-Za-z]"), n),
-        "f_distinct": _share(F.size(F.array_distinct(F.split(F.substring(own, 1, 256), ""))), F.least(n, F.lit(256))),
+        "f_distinct": F.size(F.array_distinct(F.split(own, ""))),
         "f_to_digit": _share(count("[^0-9](?=[0-9])"), n),
         "f_from_digit": _share(count("[0-9](?=[^0-9])"), n),
         "f_case_up": _share(count("[a-z](?=[A-Z])"), n),
@@ -129,6 +129,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     ids = ["getUserAccountSettingsForRegion2", "test_model_output_layer_norm_1", "articles/2021/a-long-walk-under-the-sky", "request_response_message_version_2", "default_config_for_server_node_10"]
     pem = lambda kind, body: F.concat_ws("\n", F.concat(F.lit("-----BEGIN "), kind, F.lit("PRIVATE KEY-----")), body, F.concat(F.lit("-----END "), kind, F.lit("PRIVATE KEY-----")))
     kind = pick(50, ["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "])
+    pgp = lambda part: F.lit(f"-----{part} PGP PRIVATE KEY BLOCK-----")
     lines = F.concat_ws("\n", *[mixed(51 + k, 64) for k in range(4)], mixed(55, 30))
     jwt = lambda k, tail: F.concat(F.lit("eyJ"), mixed(k, 33), F.lit(".eyJ"), mixed(k + 1, 50), F.lit("."), tail)
     filler = pick(64, ["xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "XXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXX", "0000000000000000000000000000000000000000", "ExampleExampleExampleExampleExampleExample"])
@@ -152,6 +153,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
         (0, F.concat(name, join, hexa(47, 18)), F.concat_ws(" ", plain_before, pick(48, ["example", "dummy", "fake", "sample"])), plain_after, test_path),
         (1, pem(kind, lines), plain_before, plain_after, plain_path),
         (1, F.concat_ws("\n", F.concat(F.lit("-----BEGIN "), kind, F.lit("PRIVATE KEY-----")), lines), plain_before, plain_after, plain_path),
+        (1, F.concat_ws("\n", pgp("BEGIN"), F.lit("Version: 1\n"), lines, F.concat(F.lit("="), mixed(67, 4)), pgp("END")), plain_before, plain_after, plain_path),
         (1, jwt(56, mixed(58, 43)), plain_before, plain_after, plain_path),
         (1, F.concat_ws("-", pick(59, ["xoxb", "xoxp", "xoxa"]), F.translate(hexa(60, 12), "abcdef", "012345"), mixed(61, 24)), plain_before, plain_after, plain_path),
         (1, F.concat(F.lit("AIza"), mixed(62, 35)), plain_before, plain_after, plain_path),
@@ -205,11 +207,20 @@ def scan(docs: DataFrame, model: PipelineModel, *, id_col: str = "doc_id", text_
 
 
 def redact(docs: DataFrame, model: PipelineModel, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``REDACTED`` in place of every secret found; all rows stay."""
+    """``docs`` with ``REDACTED`` in the place of every secret found; all rows and columns stay."""
     # what a row's findings depend on, and its id so that equal texts are dealt apart; rows with equal keys have equal findings
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in (id_col, text_col, path_col) if c]))
-    hits = scan(keyed, model, id_col="_row", text_col=text_col, path_col=path_col, threshold=threshold).where("is_secret")
-    per_row = hits.groupBy(F.col("doc_id").alias("_row")).agg(F.collect_set("value").alias("_values"))
-    joined = keyed.join(per_row, "_row", "left")
-    clean = F.aggregate(F.array_sort("_values", lambda x, y: F.length(y) - F.length(x)), F.col(text_col), lambda text, value: F.replace(text, value, F.lit(REDACTED)))
-    return joined.select(*[F.when(F.col("_values").isNull(), F.col(text_col)).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    key = F.xxhash64(*[F.col(c) for c in (id_col, text_col, path_col) if c])
+    own = docs.select(key.alias("key"), F.col(text_col).alias("text"), *([F.col(path_col).alias("path")] if path_col else []))
+    hits = scan(own, model, id_col="key", text_col="text", path_col="path" if path_col else None, threshold=threshold).where("is_secret")
+    spans = materialize(hits.groupBy(F.col("doc_id").alias("key")).agg(F.collect_set(F.struct("start", "length")).alias("spans")), "secret-spans")
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), F.col(text_col).alias("text")).join(spans, "key", "left")
+    # what stands between the secrets, from the end of each to the start of the next
+    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("kept"))
+    kept = F.aggregate(
+        F.array_sort("spans"),
+        zero,
+        lambda s, x: F.struct((x["start"] + x["length"]).alias("end"), F.concat(s["kept"], F.array(F.substring(F.col("text"), s["end"] + 1, x["start"] - s["end"]))).alias("kept")),
+        lambda s: F.array_join(F.concat(s["kept"], F.array(F.substr(F.col("text"), s["end"] + 1))), REDACTED),
+    )
+    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)
+    return joined.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
