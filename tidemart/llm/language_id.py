@@ -35,13 +35,21 @@ MAX_DOCS_PER_LANGUAGE = 2000
 MAX_LANGUAGES = 512
 SLICE = 1 << 17
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L; some numbers count as parts of words too."""
+    return any(m[0].isalpha() for m in _WORD.finditer(text))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages in code-point order, log priors, and log-probabilities by bucket and language."""
+    """Languages in code-point order, log priors, and log-probabilities by bucket and language.
+
+    The last row is for what is no n-gram, all zeros.
+    """
 
     languages: tuple[str, ...]
     log_prior: np.ndarray
@@ -49,7 +57,7 @@ class LanguageModel:
 
     @property
     def buckets(self) -> int:
-        return len(self.log_prob)
+        return len(self.log_prob) - 1
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,7 +122,7 @@ def fit(
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = tuple(sorted(totals))
     if not languages:
-        return LanguageModel((), np.zeros(0), np.zeros((buckets, 0)))
+        return LanguageModel((), np.zeros(0), np.zeros((buckets + 1, 0)))
     share = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, max_docs_per_language / totals[l]))])
     sample = known.where(F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1_000_000)) < share[F.col("l")] * 1_000_000)
 
@@ -135,21 +143,20 @@ def fit(
     counts[found["bucket"].to_numpy(dtype=np.int64), found["lang"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
     counts += smoothing
     prior = np.array([totals[l] for l in languages], dtype=np.float64)
-    return LanguageModel(languages, np.log(prior / prior.sum()), np.log(counts / counts.sum(axis=0)))
+    return LanguageModel(languages, np.log(prior / prior.sum()), np.vstack([np.log(counts / counts.sum(axis=0)), np.zeros(len(languages))]))
 
 
 def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], list[float]]:
     """Language and posterior probability of each whole text."""
-    use = [i for i, t in enumerate(texts) if model.languages and t is not None and _LETTER.search(t)]
+    use = [i for i, t in enumerate(texts) if model.languages and t is not None and has_letter(t)]
     langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     if not use:
         return langs, scores
     total = np.tile(model.log_prior, (len(use), 1))
-    padded = np.vstack([model.log_prob, np.zeros((1, len(model.languages)))])
     for codes, owner, starts, own in _slices([texts[i] for i in use]):
         gathered = None
         for bucket in _hashed(codes, starts, own, model.buckets):
-            gathered = padded[bucket] if gathered is None else gathered + padded[bucket]
+            gathered = model.log_prob[bucket] if gathered is None else gathered + model.log_prob[bucket]
         np.add.at(total, owner, np.add.reduceat(gathered, starts, axis=0))
     best = total.argmax(axis=1)
     odds = np.exp(total - total.max(axis=1, keepdims=True))
