@@ -7,9 +7,10 @@ single line break inside it is white space, so wrapped notices, headings and men
 on a line of their own are all found.  Comment marks (what is no letter or digit at
 the start of a line) are taken off first, and a line with nothing else is blank.
 The identifiers left, in order, are matched against rules, longest sequences
-first: a rule takes every place where its identifiers stand side by side, and
-those are then gone for later rules.  DataFrame functions only; the tables are
-constants of this module.
+first: a rule takes every place where its identifiers stand side by side, with at
+most ``words_between`` other words between two of them, and those are then gone for
+later rules.  DataFrame functions only.  Sentences and rules are a parameter
+(``RuleTable``, some hundreds of each); ``PUBLIC`` holds common public licenses.
 
 Edge cases: a null or empty text has no license; a sentence repeated counts each
 time; equal rows give equal results each; null ids stay null; an empty table
@@ -19,6 +20,8 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +44,13 @@ SENTENCES = {
     "apache_notice": "licensed under the apache license version 2 0 the license",
     "apache_comply": "you may not use this file except in compliance with the license",
     "apache_obtain": "you may obtain a copy of the license at",
+    "apache_unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "boost_grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib_as_is": "this software is provided as is without any express or implied warranty",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "epl_notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    "lgpl_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "agpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl3_named": "this work is licensed under the gnu general public license version 3",
     "gpl3_licensed": "licensed under the gnu general public license version 3",
     "gpl2_named": "this work is licensed under the gnu general public license version 2",
@@ -66,10 +76,17 @@ RULES = [
     ("MIT", ["mit_grant", "mit_notice", "as_is"]),
     ("Apache-2.0", ["apache_notice", "apache_comply", "apache_obtain"]),
     ("Apache-2.0", ["apache_named", "apache_comply", "apache_obtain"]),
+    ("AGPL-3.0-or-later", ["agpl_free", "gpl_hope"]),
+    ("Zlib", ["zlib_as_is", "zlib_grant"]),
     ("GPL-3.0-or-later", ["gpl_free", "gpl_hope"]),
     ("GPL-2.0-or-later", ["gpl2_free", "gpl_hope"]),
     ("MIT", ["mit_grant", "mit_notice"]),
     ("ISC", ["isc_grant"]),
+    ("BSL-1.0", ["boost_grant"]),
+    ("Zlib", ["zlib_grant"]),
+    ("EPL-2.0", ["epl_notice"]),
+    ("LGPL-2.1-or-later", ["lgpl_free"]),
+    ("AGPL-3.0-or-later", ["agpl_free"]),
     ("MIT", ["mit_grant"]),
     ("MIT", ["mit_named"]),
     ("MIT", ["mit_licensed"]),
@@ -100,7 +117,7 @@ HINT = r"[Ll][Ii][Cc][Ee][Nn][Ss]|[Pp][Ee][Rr][Mm][Ii][Ss][Ss][Ii][Oo][Nn]|[Nn][
 #: For the SQL, which takes each line for itself: equal where every known sentence stands on one line.
 SENTENCE_END = r"[.!?;:][\x20\x09-\x0D]+|[\x0A\x0D]{2,}|[.!?;:]$|\x0A"
 #: Sentences whose public text has a colon, semicolon or full stop inside, after these words.
-INNER_ENDS = {"gpl_free": "this program is free software", "gpl2_free": "this program is free software", "gpl_hope": "without any warranty", "mpl_notice": "public license v"}
+INNER_ENDS = {"gpl_free": "this program is free software", "gpl2_free": "this program is free software", "agpl_free": "this program is free software", "lgpl_free": "this library is free software", "gpl_hope": "without any warranty", "mpl_notice": "public license v"}
 #: Steps of ``marked``: afterwards E is a sentence's end, B a blank line, L a line break (no other capitals are left).
 MARKS = [(r"\r\n?", "\n"), (r"(^|\n)[^a-z0-9\n]++", "$1"), (r"[.!?;:](?:[\x20\x09-\x0D]++|$)", "E"), (r"\n{2,}", "B"), (r"\n", "L"), (r"[^a-z0-9BEL]+", " "), (r" ?([BEL]) ?", "$1")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,30 +135,52 @@ def marked(text: Column) -> Column:
     return F.trim(out)
 
 
-def _sentence_pattern(name: str) -> str:
-    sentence, inner = SENTENCES[name], INNER_ENDS.get(name)
-    if inner:
-        sentence = sentence.replace(f"{inner} ", f"{inner}[ LE]")
-    return re.sub(r" (?!LE\])", "[ L]", sentence)
+@dataclass(frozen=True)
+class RuleTable:
+    """``sentences`` by identifier, normalised; ``rules`` in order; ``inner_ends``: the words before an end inside a sentence.
 
+    Each sentence has to match ``hint``, if there is one, so that texts without it need no cutting.
+    """
 
-#: Any known sentence in a marked text, the longest first.
-KNOWN = "(?<![a-z0-9 ])(?:" + "|".join(map(_sentence_pattern, sorted(SENTENCES, key=lambda n: -len(SENTENCES[n])))) + ")(?![a-z0-9 ])"
+    sentences: Mapping[str, str]
+    rules: Sequence[tuple[str, Sequence[str]]]
+    inner_ends: Mapping[str, str] = field(default_factory=dict)
+    hint: str | None = None
+    words_between: int = 50
 
+    def _pattern(self, name: str) -> str:
+        sentence, inner = self.sentences[name], self.inner_ends.get(name)
+        if inner:
+            sentence = sentence.replace(f"{inner} ", f"{inner}[ LE]")
+        return re.sub(r" (?!LE\])", "[ L]", sentence)
 
-def sentence_ids(text: Column) -> Column:
-    """The identifiers of the known sentences of ``text``, in order, as one string of tags."""
-    known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, _tag(name))])
-    found = F.regexp_extract_all(marked(text), F.lit(KNOWN), F.lit(0))
-    return F.array_join(F.transform(found, lambda s: F.element_at(known, F.translate(s, "LE", "  "))), "")
+    @property
+    def known(self) -> str:
+        """Any known sentence in a marked text, the longest first."""
+        longest = sorted(self.sentences, key=lambda n: -len(self.sentences[n]))
+        return "(?<![a-z0-9 ])(?:" + "|".join(map(self._pattern, longest)) + ")(?![a-z0-9 ])"
 
 
-def recognise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+PUBLIC = RuleTable(SENTENCES, RULES, INNER_ENDS, HINT)
+
+
+def sentence_ids(marked_text: str, table: RuleTable) -> Column:
+    """The identifiers of the known sentences in that column, in order, as one string of tags, with a bar where too much stands between two."""
+    known = F.create_map(*[F.lit(x) for name, s in table.sentences.items() for x in (s, _tag(name))])
+    found, rest = F.regexp_extract_all(marked_text, F.lit(table.known), F.lit(0)), F.split(marked_text, table.known, -1)
+    tags = F.transform(found, lambda s: F.element_at(known, F.translate(s, "LE", "  ")))
+    barred = F.transform(F.slice(rest, 1, F.size(found)), lambda r, k: F.when((k > 0) & (F.regexp_count(r, F.lit("[a-z0-9]+")) > table.words_between), F.lit("|")).otherwise(F.lit("")))
+    return F.array_join(F.zip_with(barred, tags, lambda bar, tag: F.concat(bar, tag)), "")
+
+
+def recognise(docs: DataFrame, table: RuleTable = PUBLIC, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document and rule that matched: doc_id, license, rule (from 1), matches, sentences known in all."""
-    rows = docs.where(F.col(text_col).rlike(HINT)).select(F.col(id_col).alias("doc_id"), sentence_ids(F.col(text_col)).alias("left"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.where(F.col("text").rlike(table.hint)) if table.hint else rows.where("text is not null")
+    rows = rows.select("doc_id", marked(F.col("text")).alias("marked")).select("doc_id", sentence_ids("marked", table).alias("left"))
     rows = rows.where("left <> ''").withColumn("known_sentences", F.regexp_count("left", F.lit("<")).cast("long"))
     found = []
-    for k, (name, ids) in enumerate(RULES, 1):
+    for k, (name, ids) in enumerate(table.rules, 1):
         tags = "".join(map(_tag, ids))
         count = F.expr(f"cast((length(`left`) - length(replace(`left`, '{tags}', ''))) / {len(tags)} as long)")
         rows = rows.withColumn(f"n{k}", count).withColumn("left", F.expr(f"replace(`left`, '{tags}', '#')"))
@@ -150,20 +189,22 @@ def recognise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return each.select("doc_id", "m.license", "m.rule", "m.matches", "known_sentences")
 
 
-def oracle_sql() -> str:
-    """The same in DuckDB SQL."""
-    pairs = ", ".join(f"('{s}', '{_tag(n)}')" for n, s in SENTENCES.items())
+def oracle_sql(table: RuleTable = PUBLIC) -> str:
+    """The same in DuckDB SQL, for texts whose known sentences aren't wrapped."""
+    pairs = ", ".join(f"('{s}', '{_tag(n)}')" for n, s in table.sentences.items())
     sql = f"""WITH known(s, tag) AS (VALUES {pairs}),
 parts AS (
   SELECT rid, doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS k
   FROM (SELECT row_number() OVER () AS rid, doc_id, regexp_split_to_array(text, '{SENTENCE_END}') AS p FROM documents WHERE text IS NOT NULL)),
-n0 AS (
-  SELECT rid, any_value(doc_id) AS doc_id, string_agg(tag, '' ORDER BY k) AS l0, count(*) AS known_sentences
-  FROM (SELECT rid, doc_id, k, trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS s FROM parts) JOIN known USING (s)
-  GROUP BY rid)"""
+named AS (
+  SELECT rid, doc_id, k, tag, CASE WHEN tag IS NULL AND s <> '' THEN len(string_split(s, ' ')) ELSE 0 END AS others
+  FROM (SELECT rid, doc_id, k, trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS s FROM parts) LEFT JOIN known USING (s)),
+placed AS (SELECT rid, doc_id, k, tag, sum(others) OVER (PARTITION BY rid ORDER BY k) AS upto FROM named),
+barred AS (SELECT rid, doc_id, k, CASE WHEN upto - lag(upto) OVER (PARTITION BY rid ORDER BY k) > {table.words_between} THEN '|' ELSE '' END || tag AS tag FROM placed WHERE tag IS NOT NULL),
+n0 AS (SELECT rid, any_value(doc_id) AS doc_id, string_agg(tag, '' ORDER BY k) AS l0, count(*) AS known_sentences FROM barred GROUP BY rid)"""
     unions = []
-    for k, (name, ids) in enumerate(RULES, 1):
+    for k, (name, ids) in enumerate(table.rules, 1):
         tags = "".join(map(_tag, ids))
         sql += f",\nn{k} AS (SELECT *, replace(l{k - 1}, '{tags}', '#') AS l{k}, CAST((length(l{k - 1}) - length(replace(l{k - 1}, '{tags}', ''))) // {len(tags)} AS BIGINT) AS c{k} FROM n{k - 1})"
-        unions.append(f"SELECT doc_id, '{name}' AS license, CAST({k} AS BIGINT) AS rule, c{k} AS matches, CAST(known_sentences AS BIGINT) AS known_sentences FROM n{len(RULES)} WHERE c{k} > 0")
+        unions.append(f"SELECT doc_id, '{name}' AS license, CAST({k} AS BIGINT) AS rule, c{k} AS matches, CAST(known_sentences AS BIGINT) AS known_sentences FROM n{len(table.rules)} WHERE c{k} > 0")
     return sql + "\n" + "\nUNION ALL ".join(unions)
