@@ -8,7 +8,8 @@ has room.  Documents above the capacity are first cut at it; where no sequence
 has room left for a whole piece, the piece is cut at the roomiest one.  A pack's
 capacity is exactly its number of tokens, so no sequence is padded: all are of
 full length, but for the last pack of a partition, whose rest fills sequences
-with a power of two of tokens each, which need no padding either.
+with a power of two of tokens each, which need no padding either (at most as many
+as the capacity has bits, for each partition that is read).
 
 No shuffle takes place and no more than one pack is held.  Sequence ids carry
 the partition's number, so they never clash; a lost task is simply run again.
@@ -37,7 +38,8 @@ CAPACITY = 4096
 PACK_SEQUENCES = 256
 MAX_TOKENIZER_BYTES = 64 << 20
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: ``document`` numbers the rows that were packed, so that pieces of repeated rows can be told apart.
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, document long"
 
 
 def room_of(tokens: int, capacity: int, last: bool) -> list[int]:
@@ -106,8 +108,8 @@ def pack(
         encoder = remembered(("words", key), lambda: WordEncoder(shared.value))
         kind, width = encoder.kind, encoder.width
         end = np.array([end_id], dtype=kind).tobytes()
-        sequence = TaskContext.get().partitionId() << 40
-        held: list[tuple[int | None, int, int, bytes]] = []  # id, ids before, ids of the document, ids
+        sequence = number = TaskContext.get().partitionId() << 40
+        held: list[tuple[int | None, int, int, bytes, int]] = []  # id, ids before, ids of the document, ids, number
         tokens = 0
 
         def emit(last: bool) -> pa.RecordBatch:
@@ -116,32 +118,33 @@ def pack(
             rest = tokens - sum(rooms)
             keep = []
             while rest:  # goes to the next pack
-                doc, before, total, ids = held.pop()
+                doc, before, total, ids, own = held.pop()
                 n = len(ids) // width
                 cut = max(0, n - rest)
-                keep.append((doc, before + cut, total, ids[cut * width :]))
+                keep.append((doc, before + cut, total, ids[cut * width :], own))
                 if cut:
-                    held.append((doc, before, total, ids[: cut * width]))
+                    held.append((doc, before, total, ids[: cut * width], own))
                 rest -= n - cut
-            cols: list[list] = [[] for _ in range(8 if with_ids else 7)]
+            cols: list[list] = [[] for _ in range(9 if with_ids else 8)]
             for d, start, n, k, offset in _merged(assign([len(h[3]) // width for h in held], rooms, linear, quadratic)):
-                doc, before, total, ids = held[d]
+                doc, before, total, ids, own = held[d]
                 piece = np.frombuffer(ids, dtype=kind)[start : start + n]
-                row = [doc, before + start, n, zlib.crc32(piece.astype("<u4").tobytes()), total, sequence + k, offset]
+                row = [doc, before + start, n, zlib.crc32(piece.astype("<u4").tobytes()), total, sequence + k, offset, own]
                 for col, value in zip(cols, [*row, piece.astype(np.int32)] if with_ids else row):
                     col.append(value)
             sequence += len(rooms)
             held = keep[::-1]
             tokens = sum(len(h[3]) // width for h in held)
-            arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + ([pa.array(cols[7], pa.list_(pa.int32()))] if with_ids else [])
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(arrays)])
+            arrays = [pa.array(c, pa.int64()) for c in cols[:8]] + ([pa.array(cols[8], pa.list_(pa.int32()))] if with_ids else [])
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "document", "ids"][: len(arrays)])
 
         for batch in batches:
             names = batch.column(0).to_pylist()
             for at, texts in zip(range(0, len(names), 400), parts(batch.column(1), 400)):
                 for doc, ids in zip(names[at : at + 400], encoder.encode([t or "" for t in texts])):
                     ids += end
-                    held.append((doc, 0, len(ids) // width, ids))
+                    held.append((doc, 0, len(ids) // width, ids, number))
+                    number += 1
                     tokens += len(ids) // width
                     if tokens >= capacity * pack_sequences:
                         yield emit(last=False)
