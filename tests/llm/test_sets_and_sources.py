@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemart.llm import components, mixing, near_duplicates
+from tidemart.llm.common import looked_up
 from tidemart.llm.near_duplicates import Params, shingle_set
 
 
@@ -110,12 +111,49 @@ def test_parities_leave_no_link_out():
                 assert not may or not (percent >= 80 and size == 90 and share == 0.3)
 
 
-def test_more_levels_for_more_sets():
-    sig = np.random.default_rng(0).integers(0, 1 << 32, (10, 72), dtype=np.uint32)
-    sig[1] = sig[0]
+def test_more_levels_for_more_documents():
     for depth in (2, 3, 5):
-        leaves = near_duplicates._tree_leaves(sig, Params(), depth)
-        assert leaves.shape == (10, 4 * 2**depth) and (leaves[0] == leaves[1]).all() and not (leaves[0] == leaves[2]).any()
+        p = Params(depth=depth)
+        assert p.coordinates == 5 * (2 ** (depth + 1) - 2)
+        sig = np.random.default_rng(0).integers(0, 1 << 32, (10, p.coordinates), dtype=np.uint32)
+        sig[1] = sig[0]
+        leaves = near_duplicates._tree_leaves(sig, p)
+        assert leaves.shape == (10, 5 * 2**depth) and (leaves[0] == leaves[1]).all() and not (leaves[0] == leaves[2]).any()
+
+
+def test_no_link_at_the_limit_is_lost(spark):
+    rng, rows = np.random.default_rng(21), []
+    for k in range(20_000):  # 80 of 100 words in common
+        words = [f"w{w}" for w in rng.integers(0, 1 << 40, 100)]
+        rows += [(2 * k, " ".join(words[:90])), (2 * k + 1, " ".join(words[10:]))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Params(shingle_words=1))
+    assert got.where("component_id <> doc_id - doc_id % 2").count() == 0
+
+
+def test_groups_are_bounded_in_shingles(spark):
+    rows = [r for r in synthetic() if len(r[1].split()) > 60]
+    p = Params(shingle_words=2, node_shingles=400)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_force(rows, 2)
+
+
+def test_hot_keys_are_looked_up(spark):
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 1, None).otherwise(F.col("id")).alias("k"), "id")
+    facts = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = {tuple(r) for r in looked_up(rows, facts, ["k"]).collect()}
+    assert got == {tuple(r) for r in rows.join(facts, "k", "left").collect()} and len(got) == 9000
+
+
+def test_stage_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    same, other = "some words that are the same in all of these", "other words that are only found in one of these"
+    rows = [(5, same, "a"), (5, other, "a"), (5, same, "b"), (9, same, "c"), (2, "one more text that nothing else is like", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own string").withColumn("row", F.lit("clash")).withColumn("given", F.lit(1))
+    kept = [corpus_pipeline.drop_near_duplicates(spark, d, "") for d in (df, df.orderBy(F.desc("own")), df.where("false"))]
+    found = [sorted(map(tuple, k.select("doc_id", "text").collect())) for k in kept]
+    assert found[0] == found[1] and sorted(t for _, t in found[0]) == sorted([same, other, rows[4][1]]) and found[2] == []
+    assert kept[0].columns == df.columns
 
 
 def test_stage_takes_rows_without_ids(spark):
@@ -140,26 +178,72 @@ def test_components(spark):
 # mixing
 
 
-def test_water_fill_by_resharing():
-    sizes, weights = [100, 1000, 50, 0, 700], [5, 2, 1, 5, 2]
-    total = 1.5 * sum(sizes)
-    targets, free, left = [0.0] * 5, {0, 1, 2, 4}, total
-    while True:  # as it is told: share out by weight, cap, share the excess again
-        share = {i: targets[i] + left * weights[i] / sum(weights[j] for j in free) for i in free}
-        left = sum(max(0, share[i] - 2 * sizes[i]) for i in free)
-        for i in free:
-            targets[i] = min(share[i], 2 * sizes[i])
-        free = {i for i in free if targets[i] < 2 * sizes[i]}
-        if left < 1e-9 or not free:
-            break
-    assert np.allclose(mixing.water_fill(sizes, weights, total, 2.0), targets)
-    assert mixing.water_fill([], [], 0, 2) == [] and mixing.water_fill([0, 0], [1, 1], 0, 2) == [0, 0]
+def test_targets_by_resharing(spark):
+    for sizes, share in (([100, 1000, 50, 0, 700], 1.5), ([5, 5000, 30, 40, 1], 1.5), ([100, 100, 100, 100, 100], 3.0), ([1 << k for k in range(5)], 0.5)):
+        weights = [5.0, 2.0, 1.0, 5.0, 2.0]
+        targets, free, left = [0.0] * 5, {i for i in range(5) if sizes[i]}, min(share, 2) * sum(sizes)
+        while free and left > 1e-9:  # as it is told: share out by weight, cap, share the excess again
+            given = {i: targets[i] + left * weights[i] / sum(weights[j] for j in free) for i in free}
+            left = sum(max(0, given[i] - 2 * sizes[i]) for i in free)
+            for i in free:
+                targets[i] = min(given[i], 2 * sizes[i])
+            free = {i for i in free if targets[i] < 2 * sizes[i]}
+        df = spark.createDataFrame(list(zip(range(5), sizes, weights)), "i int, size long, weight double")
+        assert np.allclose([r.target for r in mixing.with_targets(df, share, 2.0).orderBy("i").collect()], targets)
+    none = spark.createDataFrame([(0, 0, 1.0)], "i int, size long, weight double")
+    assert mixing.with_targets(none, 1.5, 2.0).first().target == 0 and mixing.with_targets(none.where("false"), 1.5, 2.0).isEmpty()
 
 
 def test_split_quotas_are_exact():
-    out = mixing.split_quotas([100, 7, 0, 1000], 6, 1)
+    out = mixing.split_quotas([100, 7, 0, 1000], 6, np.random.default_rng(1))
     assert out.sum(axis=0).tolist() == [100, 7, 0, 1000] and abs(out.sum(axis=1) - 1107 / 6).max() <= 3
-    assert (out == mixing.split_quotas([100, 7, 0, 1000], 6, 1)).all()
+    assert (out == mixing.split_quotas([100, 7, 0, 1000], 6, np.random.default_rng(1))).all()
+
+
+def test_draws_are_as_of_a_plain_dealer():
+    """Blocks shuffled and dealt by hand have the same mean and spread in every shard."""
+    rng, quotas, shards, n = np.random.default_rng(3), np.array([40, 25, 3, 60]), 4, 4000
+    deck = np.repeat(np.arange(4), quotas)
+    plain, tree = np.zeros((n, 4, shards)), np.zeros((n, 4, shards))
+    for k in range(n):
+        dealt = rng.permutation(deck).reshape(shards, -1)
+        plain[k] = [[(hand == s).sum() for hand in dealt] for s in range(4)]
+        slots = mixing.split_quotas([65, 63], shards, rng)  # two groups of two sources
+        tree[k] = [*mixing.deal(quotas[:2], slots[:, 0], rng), *mixing.deal(quotas[2:], slots[:, 1], rng)]
+    assert (tree.sum(axis=2) == quotas).all() and (tree.sum(axis=1) == 32).all()
+    assert np.allclose(plain.mean(axis=0), tree.mean(axis=0), atol=0.25) and np.allclose(plain.std(axis=0), tree.std(axis=0), rtol=0.08)
+
+
+def test_takes_are_what_the_shards_draw(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    blocked, decided = mixing.plan_for(docs, shards=7, block_docs=3)
+    rows, dealt, chosen = blocked.collect(), decided.dealt.collect(), {(r.key, r.h) for r in decided.chosen.collect()}
+    held = {}
+    for d in dealt:
+        assert 0 <= d.shard < 7
+        held.setdefault((d.key, d.block), []).append(d)
+    assert all(len({d["round"] for d in ds}) == len(ds) for ds in held.values())  # a block once a round, in one shard
+    sizes = np.bincount([d.shard for d in dealt], minlength=7)
+    assert sizes.max() - sizes.min() <= 3
+    expected = sorted((r.doc_id, r.size * sum(not d["last"] or (r.key, r.h) in chosen for d in held.get((r.key, r.block), []))) for r in rows)
+    assert sorted((r.doc_id, r.taken) for r in mixing.report(blocked, decided).collect()) == expected
+
+
+def test_last_blocks_by_strides(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = [(k, int(b), int(w)) for k in "abc" for b, w in enumerate(rng.integers(0, 50, 100)) if w]
+    rest = {"a": 700.0, "b": 0.0, "c": 1999.5}
+    expected = {}
+    for k, r in rest.items():
+        upto = 0
+        for key, b, w in words:
+            if key == k and k not in expected and upto + w > r:
+                expected[k] = (b, r - upto)
+            upto += w if key == k else 0
+    for stride in (7, 1 << 16):
+        monkeypatch.setattr(mixing, "STRIDE", stride)
+        got = mixing.last_blocks(spark.createDataFrame(words, "key string, block long, words long"), spark.createDataFrame(list(rest.items()), "key string, rest double"))
+        assert {r.key: (r.cut, r.room) for r in got.collect()} == expected
 
 
 def test_fitting_reaches_the_nearest_sum():
@@ -188,15 +272,26 @@ def test_mix_meets_targets(spark, folder):
 def test_mix_odd_rows(spark):
     rows = [(1, "a b", "s"), (1, "a b", "s"), (2, None, "s"), (3, "", None), (4, "c d e", None), (None, "f", "t"), (5, "g " * 100_000, "u"), (6, "h", "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("shard", F.lit("clash"))
-    sizes, decided = mixing.plan_for(df)
-    got = mixing.report(sizes, decided).collect()
+    for name in ("key", "h", "block", "row", "last", "chosen", "blocks"):
+        df = df.withColumn(name, F.lit("clash"))
+    blocked, decided = mixing.plan_for(df)
+    got = mixing.report(blocked, decided).collect()
     assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
     targets = {r.source: (r.source_size, r.target) for r in got}
     assert targets["s"][0] == 4 and targets[None][0] == 3 and all(t <= 2 * s for s, t in targets.values())
     mixed = mixing.mix(df, shards=2)
-    assert mixed.columns == ["doc_id", "text", "source", "size", "shard", "shard_order"]
+    assert sorted(mixed.columns) == sorted([*df.columns, "shard_order"]) and {r.key for r in mixed.collect()} == {"clash"}
     drawn = mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()
     taken = {r.doc_id: r.taken // r.size * (2 if r.doc_id == 1 else 1) for r in got if r.size and r.taken}
     assert {r.doc_id: r.n for r in drawn if r.doc_id != 2 and r.doc_id != 3} == taken
     none, plan = mixing.plan_for(df.where("false"))
     assert mixing.report(none, plan).isEmpty() and mixing.mix(df.where("false")).isEmpty()
+
+
+def test_mix_of_one_row_repeated(spark):
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    other = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("d e").alias("text"), F.lit("t").alias("source"))
+    got = mixing.plan_for(same.unionByName(other), share=0.5)
+    by_source = mixing.report(*got).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target")).collect()
+    assert all(abs(r.t - r.target) <= 3 for r in by_source)
+    assert got[0].groupBy("key", "block").count().agg(F.max("count")).first()[0] < 4 * mixing.BLOCK_DOCS

@@ -10,9 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemart.llm import ann, exact_topk, secrets, warc
+from tidemart.llm import ann, exact_topk, language_id, mixing, secrets, warc
 from tidemart.llm.common import materialize, shared_path
 from tidemart.llm.queries import ORACLE_SQL, QUERIES
+from tidemart.llm.vectors import sample_of, valid_rows
+
+
+from test_sets_and_sources import brute_force
 
 
 def vectors(spark, folder):
@@ -51,7 +55,7 @@ def test_adaptive_scan_abandons_and_keeps():
     x, q = rng.normal(size=(3000, 64)), rng.normal(size=(4, 64))
     full = ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
     bound = np.sort(full, axis=1)[:, 199]
-    i, j, _ = ann.scan(x, q, bound, lambda i, j: (full[i, j], -full[i, j]), ann.Params(k=20))
+    i, j, _ = ann.scan(x, q, bound, np.full((4, 20), np.inf), lambda i, j: (full[i, j], -full[i, j]), ann.Params(k=20))
     assert len(i) < 4 * 3000 * 0.3
     for k in range(4):
         assert len(set(np.argsort(full[k])[:20]) & set(j[i == k])) >= 19
@@ -71,7 +75,49 @@ def test_vector_odd_rows(spark):
         assert search(df.where("vec_id in (20, 21)"), F.col("vec_id") % 20 == 0).count() == 1
 
 
-@pytest.mark.parametrize("size", [{}, {"group_queries": 2, "block_queries": 3, "block_rows": 50}])
+def test_one_id_for_all_vectors(spark):
+    rng = np.random.default_rng(2)
+    several = [(60, [float(x) for x in rng.normal(size=8)]) for _ in range(40)]
+    for rows in (several, several[:1] * 40):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        more = df.unionByName(spark.createDataFrame([(7, rows[0][1])], df.schema))
+        for search in (ann.search, exact_topk.search):
+            assert search(df, F.col("vec_id") % 20 == 0).isEmpty()
+            assert [(r.query_id, r.rank, r.vec_id) for r in search(more, F.col("vec_id") % 20 == 0).collect()] == [(60, 1, 7)]
+
+
+def test_sample_is_never_empty(spark):
+    rows = spark.range(500).select(F.lit(5).cast("long").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    for seed in range(5):
+        ids, sample = sample_of(rows, 500, limit=1, seed=seed)
+        assert 1 <= len(ids) == len(sample)
+
+
+def test_groups_are_as_many_as_move_least():
+    rng = np.random.default_rng(4)
+    spread = rng.normal(size=(2000, 64))
+    centres = rng.normal(size=(32, 8)) * 100
+    clustered = np.repeat(centres, 60, axis=0) + rng.normal(size=(1920, 8))
+    for x, many in ((spread, False), (clustered, True)):
+        sure = np.sort(x @ x.T, axis=1)[:, -5]
+        pivots, kept = exact_topk.grouping(x, x, sure, 200_000, exact_topk.Params())
+        assert (len(pivots) > 8 and kept < 0.5) if many else kept > 0.9
+
+
+def test_fewer_probes_on_clusters(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 10
+    rows = [(i, [float(v) for v in centres[i % 40] + rng.normal(size=16)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    p = ann.Params(k=20, least_probes=2, block_rows=512, block_queries=64)
+    valid, total, dimension = valid_rows(df, "vec_id", "embedding", zero=False)
+    assert ann.fit(valid, total, dimension, p).probes < 0.4 * 63
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, F.col("vec_id") % 100 == 0, p).collect()}
+    expected = {(q, v) for q, _, v in nearest(rows, 100, 20, lambda x, q: x @ q)}
+    assert len(got) == len(expected) and len(got & expected) / len(expected) >= 0.9
+
+
+@pytest.mark.parametrize("size", [{}, {"groups": 4, "block_queries": 3, "block_rows": 50}])
 def test_exact_topk_same_as_sql(spark, folder, size):
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
@@ -127,7 +173,43 @@ def test_archives_are_of_the_format(spark, tmp_path):
         assert lines[0] == "WARC/1.1" and rest[n : n + 4] == b"\r\n\r\n"
         kinds.append(headers["WARC-Type"])
         data = rest[n + 4 :]
-    assert sorted(kinds) == ["continuation", "response", "revisit"]
+    assert sorted(kinds) == ["response", "revisit"]
+
+
+def test_chunks_carry_sizes_and_digests(spark):
+    html = "é漢𝒳x" * 40
+    rows = warc.chunk_table(spark.createDataFrame([(5, "u", html), (6, None, None)], "page_id long, url string, html string"), chunk_chars=50).orderBy("page_id", "chunk").collect()
+    assert [(r.page_id, r.chunk, r.whole) for r in rows] == [(5, 0, False), (5, 1, False), (5, 2, False), (5, 3, True), (6, 0, True)]
+    assert "".join(r.data for r in rows) == html and len({r.record for r in rows}) == 2
+    for k, r in enumerate(rows[:4]):
+        raw = html[: 50 * (k + 1)].encode()
+        assert (r.bytes, r.digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    def record(headers, block):
+        lines = ["WARC/1.0", *headers, f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")  # a member for each record
+
+    body = b"line\r\n\r\nWARC/1.1\r\n\xff\x00 raw \r\n\r"
+    b32 = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    plain = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5;x=y\r\nab\r\nc\r\n3\r\n\r\nd\r\n0\r\nTrailer: t\r\n\r\n"
+    http = "Content-Type: application/http; msgtype=response"
+    data = record(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>"], b"software: x\r\n") + record(["WARC-Type: response", "WARC-Record-ID: <urn:page:4>", http], plain)
+    data += record(["WARC-Type: response", "WARC-Record-ID: <urn:page:6>", http], chunked) + record(["WARC-Type: resource", "WARC-Record-ID: <urn:uuid:2>"], b"")
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    got = {(r.record_type, r.page_id, r.payload_bytes, r.payload_digest) for r in warc.read(spark, str(tmp_path)).collect()}
+    assert got == {("warcinfo", None, 13, b32(b"software: x\r\n")), ("response", 4, len(body), b32(body)), ("response", 6, 8, b32(b"ab\r\nc\r\nd")), ("resource", None, 0, b32(b""))}
+
+
+def test_damaged_archives_are_refused(spark, tmp_path):
+    head = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:1>\r\n"
+    for k, rest in enumerate([b"Content-Length: 9\r\n\r\nabc\r\n\r\n", b"Content-Length: 2\r\n\r\nabc\r\n\r\n", b"WARC-Payload-Digest: sha1:AAAA\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"]):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "a.gz").write_bytes(gzip.compress(head + rest))
+        with pytest.raises(Exception, match="ValueError"):
+            warc.read(spark, str(tmp_path / str(k)))
 
 
 # the pipeline
@@ -154,6 +236,64 @@ def test_pipeline_stages(spark, folder):
 
 
 def test_pipeline_runs_and_repeats(spark, folder):
-    rows = lambda: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, folder).collect())
+    rows = lambda: sorted(tuple(r)[:7] for r in corpus_pipeline.run(spark, folder).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "document").collect())
     first = rows()
-    assert sum(n for _, _, n, _ in first) > 0 and {d for d, *_ in first} == {d for d, *_ in rows()}
+    assert sum(r[2] for r in first) > 0 and first == rows()
+
+
+def test_stages_equal_plain_versions(spark, folder):
+    """Each stage against what a few lines of Python keep of its own input."""
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        kept[name] = [r.asDict() for r in docs.collect()], materialize(stage(spark, docs, folder), "plain-stage")
+        docs = kept[name][1]
+    out = {name: [r.asDict() for r in df.collect()] for name, (_, df) in kept.items()}
+
+    given = kept["language_id"][0]
+    model = language_id.fit(spark.createDataFrame(given, kept["language_id"][1].schema))
+    langs, scores = language_id.score_texts([r["text"] for r in given], model)
+    assert {r["doc_id"] for r in out["language_id"]} == {r["doc_id"] for r, l, s in zip(given, langs, scores) if l != "und" and s >= 0.5}
+
+    given = kept["near_duplicates"][0]
+    components = brute_force([(r["doc_id"], r["text"]) for r in given], 5)
+    assert {r["doc_id"] for r in out["near_duplicates"]} == {d for d, (_, c) in components.items() if d == c}
+
+    given, forest = kept["secret_scan"][0], secrets.fit(secrets.labelled_findings(spark))
+    texts = {r["doc_id"]: r["text"] for r in given}
+    found = secrets.scan(kept["near_duplicates"][1], forest).where("is_secret").orderBy(F.desc("start")).collect()
+    for r in found:
+        t = texts[r.doc_id]
+        assert t[r.start : r.start + r.length] == r.value
+        texts[r.doc_id] = t[: r.start] + secrets.REDACTED + t[r.start + r.length :]
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out["secret_scan"]} == {d: (t, len(t)) for d, t in texts.items()}
+
+    given, words = kept["source_mix"][0], lambda r: len((r["text"] or "").encode().split())
+    sizes, taken = {}, {}
+    for r in given:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + words(r)
+    for r in out["source_mix"]:
+        taken[r["source"]] = taken.get(r["source"], 0) + words(r)
+    df = spark.createDataFrame([(s, n, (5.0, 2.0, 1.0)[k % 3]) for k, (s, n) in enumerate(sorted(sizes.items()))], "s string, size long, weight double")
+    targets = {r.s: r.target for r in mixing.with_targets(df, 1.5, 2.0).collect()}
+    assert all(abs(taken.get(s, 0) - t) <= 0.05 * t for s, t in targets.items())  # a source has a handful of documents
+
+    drawn = {}
+    for r in out["packing"]:
+        drawn.setdefault(r["document"], []).append(r)
+    assert sorted(p[0]["doc_id"] for p in drawn.values()) == sorted(r["doc_id"] for r in out["source_mix"])
+    assert all(sum(x["length"] for x in p) == p[0]["doc_tokens"] for p in drawn.values())
+
+
+def test_stages_with_odd_rows(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (5, "12 34", None, "", 5), (5, docs.first().text, "en", "src0", 9), (None, docs.first().text, None, "src1", None)], docs.schema)
+    for df in (docs.unionByName(odd), docs.where("false")):
+        for name in ("score", "lang_pred", "shard", "shard_order", "row", "key", "own", "kept", "sequence_id"):
+            df = df.withColumn(name, F.lit(f"own {name}"))
+        for name, stage in corpus_pipeline.STAGES:
+            after = materialize(stage(spark, df, folder), "odd-stage")
+            if name != "packing":
+                assert after.columns == df.columns
+                for c in df.columns[5:]:
+                    assert after.where(F.col(c) != f"own {c}").isEmpty()
+            df = after
