@@ -2,10 +2,10 @@
 
 from .arrays import cosine, dot, is_subset, jaccard, l2_norm, sorted_distinct, string_array
 from .stats import f_measure, ratio_or, wilson
-from .text import blank_to_null, contains_non_ascii, content_hash, has_mojibake, normalize_text, surrogate_key
+from .text import blank_to_null, contains_non_ascii, content_hash, fingerprint, has_mojibake, human_bytes, normalize_text, qualified_name, strip_fences, surrogate_key
 from .time import day_diff, month_start
 
 __all__ = [
-    "blank_to_null", "contains_non_ascii", "content_hash", "cosine", "day_diff", "dot", "f_measure", "has_mojibake", "is_subset", "jaccard",
-    "l2_norm", "month_start", "normalize_text", "ratio_or", "sorted_distinct", "string_array", "surrogate_key", "wilson",
+    "blank_to_null", "contains_non_ascii", "content_hash", "cosine", "day_diff", "dot", "f_measure", "fingerprint", "has_mojibake", "human_bytes", "is_subset", "jaccard",
+    "l2_norm", "month_start", "normalize_text", "qualified_name", "ratio_or", "sorted_distinct", "string_array", "strip_fences", "surrogate_key", "wilson",
 ]

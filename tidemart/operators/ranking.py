@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cosine
+from ..functions import dot, l2_norm
 from ..session import written
 
 
@@ -28,12 +28,10 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "posit
 
 def global_ntile(df: DataFrame, n: int, order: Sequence[Column], name: str) -> DataFrame:
     """``ntile(n)`` over the whole table: the first ``rows % n`` groups get one row more."""
-    placed = global_row_number(df, order, "_position")
-    total = placed.agg(F.count("*").alias("_total"))
-    small, rest = F.floor(F.col("_total") / n), F.col("_total") % n
+    small, rest = divmod(df.count(), n)
     at = F.col("_position") - 1
-    tile = F.when(at < rest * (small + 1), F.floor(at / (small + 1))).otherwise(rest + F.floor((at - rest * (small + 1)) / F.greatest(small, F.lit(1)))) + 1
-    return placed.crossJoin(F.broadcast(total)).withColumn(name, tile.cast("long")).drop("_position", "_total")
+    tile = F.when(at < rest * (small + 1), F.floor(at / (small + 1))).otherwise(rest + F.floor((at - rest * (small + 1)) / max(small, 1))) + 1
+    return global_row_number(df, order, "_position").withColumn(name, tile.cast("long")).drop("_position")
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col: str) -> DataFrame:
@@ -44,18 +42,21 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str,
     anything is shuffled.  More are dealt in blocks of about that many, vectors in
     blocks of about ``BLOCK_VECTORS``, and each block of one meets each of the other.
     """
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
+    # norms once a row: only the product is left for each pair
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("_q"), l2_norm(F.col(vector_col)).alias("_qn"))
+    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("_v"), l2_norm(F.col(vector_col)).alias("_vn"))
     n = queries.count()
     if n <= MAX_QUERIES:
-        pairs = vectors.crossJoin(F.broadcast(q))
+        pairs = v.crossJoin(F.broadcast(q))
     else:
         across, down = -(-n // MAX_QUERIES), max(1, -(-vectors.count() // BLOCK_VECTORS))
         block = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
         every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         q = q.withColumn("_across", block("query_id", across)).withColumn("_down", every(down))
-        v = vectors.select(id_col, vector_col).withColumn("_down", block(id_col, down)).withColumn("_across", every(across))
+        v = v.withColumn("_down", block("vec_id", down)).withColumn("_across", every(across))
         pairs = v.hint("shuffle_hash").join(q, ["_across", "_down"])
-    scored = pairs.where(F.col(id_col) != F.col("query_id")).select("query_id", F.col(id_col).alias("vec_id"), cosine(F.col(vector_col), F.col("_q")).alias("score")).where("score is not null")
+    score = F.try_divide(dot(F.col("_v"), F.col("_q")), F.col("_vn") * F.col("_qn"))
+    scored = pairs.where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score")).where("score is not null")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", best.cast("long")).where(F.col("rank") <= k)
 
@@ -64,6 +65,14 @@ MAX_QUERIES = 1000
 BLOCK_VECTORS = 10_000
 
 
+def batched(df: DataFrame, size: int, group: str, order: str, name: str = "batch") -> DataFrame:
+    """``df`` with the number, from 0, of each row's batch of ``size`` inside its group; a group of any size is numbered by ranges."""
+    placed = global_row_number(df, [F.asc(group), F.asc(order)], "_place")
+    first = placed.groupBy(group).agg(F.min("_place").alias("_first"))
+    joined = placed.join(first, placed[group].eqNullSafe(first[group])).drop(first[group])
+    return joined.withColumn(name, F.floor((F.col("_place") - F.col("_first")) / size)).drop("_place", "_first")
+
+
 def seeded_sample(df: DataFrame, n: int, id_col: str, seed: int = 0) -> DataFrame:
     """``n`` rows without replacement, the same ones on every run."""
     return df.orderBy(F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed)))), id_col).limit(n)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import day_diff
+from ..session import written
 from .ranking import global_ntile
 
 #: Segment, range of recency scores, range of monetary scores; the first that fits counts.
@@ -35,7 +36,7 @@ def per_customer(orders: DataFrame, key: str, at: str, value: str) -> DataFrame:
 
 def rfm(orders: DataFrame, key: str, at: str, value: str, groups: int = 5) -> DataFrame:
     """``per_customer`` with scores by quantile group, ties by key, and the segment."""
-    people = per_customer(orders, key, at, value)
+    people = written(per_customer(orders, key, at, value), "customers")
     scored = global_ntile(people, groups, [F.desc("recency_days"), F.asc(key)], "r_score")
     scored = global_ntile(scored, groups, [F.asc("monetary_value"), F.asc(key)], "m_score")
     return scored.withColumn("rfm_segment", segment(F.col("r_score"), F.col("m_score")))

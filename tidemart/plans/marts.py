@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import day_diff, normalize_text, ratio_or, surrogate_key
 from ..operators import history, segments
+from ..session import written
 
 Tables = dict[str, DataFrame]
 MONEY = "decimal(28,6)"
@@ -55,16 +56,21 @@ def dim_suppliers(t: Tables) -> DataFrame:
     return joined.select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier_name"), F.coalesce("n_name", F.lit("unknown")).alias("nation"), (F.col("s_name") != normalize_text(F.col("s_name"))).alias("name_was_normalized"))
 
 
+def set_size(column: str) -> Column:
+    """Distinct values in a group that is small, as an order's lines are: one pass, no copy of the rows for each column."""
+    return F.size(F.collect_set(column)).cast("long")
+
+
 def order_economics(t: Tables) -> DataFrame:
     return stg_lines(t).groupBy("order_id").agg(
-        F.count("*").alias("item_count"), F.countDistinct("supplier_id").alias("seller_count"), F.countDistinct("part_id").alias("product_count"), F.sum("price").alias("items_value"), F.sum("quantity").alias("units"), F.max("shipped_at").alias("last_shipped_at")
+        F.count("*").alias("item_count"), set_size("supplier_id").alias("seller_count"), set_size("part_id").alias("product_count"), F.sum("price").alias("items_value"), F.sum("quantity").alias("units"), F.max("shipped_at").alias("last_shipped_at")
     )
 
 
-def fct_orders(t: Tables) -> DataFrame:
+def fct_orders(t: Tables, customers: DataFrame | None = None) -> DataFrame:
     """One row an order, with the customer version valid when it was placed; times
-    that can't be (shipped before ordered is kept as a negative number) stay."""
-    dated = history.asof_join(stg_orders(t).withColumnRenamed("priority", "_own"), dim_customers(t), "customer_id", "ordered_at")
+    that can't be (shipped before ordered is kept as a negative number) stay.  ``customers``: the dimension, if it is there already."""
+    dated = history.asof_join(stg_orders(t).withColumnRenamed("priority", "_own"), customers or dim_customers(t), "customer_id", "ordered_at")
     joined = dated.join(order_economics(t), "order_id", "left")
     return joined.select(
         "order_id", "customer_id", F.col("sk").alias("customer_sk"), "version_number", "order_status", "ordered_at", "order_value",
@@ -84,15 +90,23 @@ def order_aspects(t: Tables) -> DataFrame:
 
 
 def fct_segment_aspect(t: Tables) -> DataFrame:
-    """Every segment with every aspect, zeros filled in, over both denominators."""
-    people = customer_rfm(t).select("customer_id", "rfm_segment")
-    reviewed = stg_lines(t).groupBy("order_id").agg(F.bool_or(F.col("l_discount") > 0.05).alias("has_review_text"))
-    orders = stg_orders(t).select("order_id", "customer_id").join(reviewed, "order_id", "left")
-    owned = orders.join(people, "customer_id")
-    totals = owned.groupBy("rfm_segment").agg(F.countDistinct("customer_id").alias("customers_in_segment"), F.count("order_id").alias("orders_in_segment"), F.sum(F.when(F.coalesce("has_review_text", F.lit(False)), 1).otherwise(0)).alias("orders_with_review_text"))
-    grid = segments.complete_grid(totals.select("rfm_segment"), taxonomy(t))
-    mentions = order_aspects(t).join(owned.select("order_id", "rfm_segment"), "order_id").groupBy("rfm_segment", "aspect").agg(F.countDistinct("order_id").alias("m"), F.countDistinct("order_id", "part_id").alias("l"))
-    full = grid.join(totals, "rfm_segment").join(mentions, ["rfm_segment", "aspect"], "left")
+    """Every segment with every aspect, zeros filled in, over both denominators.
+
+    One pass over orders and their lines: an order gives a row without an aspect for its segment's totals and
+    one for each aspect that its reviewed lines mention.  What is left, a row for each segment and aspect, is written.
+    """
+    people = written(customer_rfm(t).select("customer_id", "rfm_segment"), "segments")
+    seen = order_aspects(t).groupBy("order_id").agg(F.collect_set(F.struct("aspect", "part_id")).alias("seen"))
+    owned = stg_orders(t).select("order_id", "customer_id").join(people, "customer_id").join(seen, "order_id", "left")
+    mentioned = F.array_distinct(F.transform(F.coalesce("seen", F.array().cast("array<struct<aspect:string,part_id:bigint>>")), lambda x: x["aspect"]))
+    rows = owned.select("rfm_segment", "seen", F.explode(F.concat(F.array(F.lit(None).cast("string")), mentioned)).alias("aspect"))
+    lines = F.size(F.filter("seen", lambda x: x["aspect"] == F.col("aspect")))
+    counted = rows.groupBy("rfm_segment", "aspect").agg(F.count("*").alias("orders"), F.count_if(F.col("seen").isNotNull()).alias("reviewed"), F.sum(F.when(F.col("aspect").isNotNull(), lines)).alias("lines"))
+    counted = written(counted, "segment-aspects")
+    customers = written(people.groupBy("rfm_segment").agg(F.count("*").alias("customers_in_segment")), "segment-sizes")
+    totals = counted.where("aspect is null").join(F.broadcast(customers), "rfm_segment").select("rfm_segment", "customers_in_segment", F.col("orders").alias("orders_in_segment"), F.col("reviewed").alias("orders_with_review_text"))
+    mentions = counted.where("aspect is not null").select("rfm_segment", "aspect", F.col("orders").alias("m"), F.col("lines").alias("l"))
+    full = segments.complete_grid(totals, taxonomy(t)).join(F.broadcast(mentions), ["rfm_segment", "aspect"], "left")
     m = F.coalesce("m", F.lit(0))
     return full.select(
         "rfm_segment", "aspect", "aspect_group", "is_complaint", F.lit("v1").alias("label_version"), "customers_in_segment", "orders_in_segment", "orders_with_review_text",
