@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import types as T
 
-from tidemart.operators.windows import plan, reconciled
+from tidemart.operators.windows import covered, distinct_places, plan, reconciled
 from tidemart.sources import files
 
 
@@ -23,7 +23,8 @@ def test_snapshot_and_manifest(spark, tmp_path):
     counts = files.write_snapshot({"a": spark.range(5), "b": spark.range(0)}, str(tmp_path / "s"))
     assert counts == {"a": 5, "b": 0}
     files.write_manifest(spark, str(tmp_path / "m"), counts)
-    assert json.loads(spark.read.text(str(tmp_path / "m")).first()[0]) == counts
+    assert json.loads(spark.read.text(str(tmp_path / "m")).first()[0]) == counts == files.read_manifest(spark, str(tmp_path / "m"))
+    assert files.catalogue({"b": spark.range(1), "a": spark.range(1).selectExpr("id", "'x' as s")}) == [("a", 1, "id", "bigint"), ("a", 2, "s", "string"), ("b", 1, "id", "bigint")]
     assert files.frozen_schema(spark.range(1))["fields"][0]["name"] == "id"
 
 
@@ -37,5 +38,15 @@ def test_window_plan():
     assert plan(d(2018, 2, 1), d(2018, 1, 1)) == []
 
 
+def test_coverage():
+    d = dt.date
+    assert covered(d(2018, 11, 1), d(2018, 12, 1), d(2018, 10, 17)) == [] and covered(d(2018, 10, 1), d(2018, 12, 1), d(2018, 10, 17)) == [(d(2018, 10, 1), d(2018, 10, 18))]
+    with pytest.raises(ValueError):
+        covered(d(2018, 2, 1), d(2018, 1, 1), d(2018, 10, 17))
+    distinct_places(raw="a", marts="b")
+    with pytest.raises(ValueError):
+        distinct_places(raw="a", marts="a")
+
+
 def test_reconcile():
     assert reconciled({"orders": 3, "items": 2, "none": 0}, {"orders": 3, "items": 1}) == ["items", "none"]

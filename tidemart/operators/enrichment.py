@@ -67,7 +67,14 @@ def token_cost(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out:
     return F.coalesce(cost, F.lit(0.0))
 
 
-def folded(counts: DataFrame, parents: DataFrame, threshold: int) -> DataFrame:
+def accounted(rows: DataFrame, pending: DataFrame, run: str, tokens: Column, cost: Column) -> DataFrame:
+    """What each run over ``rows`` comes to: the contents still ``pending``, their tokens and cost; a run that finds all in the cache has a row of zeros."""
+    spent = pending.groupBy(run).agg(F.count("*").alias("reviews"), F.sum(tokens).alias("input_tokens"), F.sum(cost).alias("cost_usd"))
+    joined = rows.select(run).distinct().join(spent, run, "left")
+    return joined.select(run, F.coalesce("reviews", F.lit(0)).alias("reviews"), F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"))
+
+
+def folded(counts: DataFrame, parents: DataFrame, threshold: Column | float) -> DataFrame:
     """Aspects below ``threshold`` become their parent, or go without one."""
     joined = counts.join(F.broadcast(parents), "aspect", "left")
     return joined.select("aspect", F.when(F.col("n") >= threshold, F.col("aspect")).otherwise(F.col("parent_aspect")).alias("folded_into"), "n")

@@ -28,6 +28,25 @@ def scores(counts: DataFrame) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in [*named, "f1"]})
 
 
+def overall(counts: DataFrame) -> DataFrame:
+    """One row from ``confusion``: micro figures from the sums, macro ones as means over the labels that have them; 0 where there is nothing to divide by."""
+    share = lambda part, whole: F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+    mean = lambda part, whole: F.coalesce(F.avg(F.try_divide(part.cast("double"), whole.cast("double"))), F.lit(0.0))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    summed = counts.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), mean(tp, tp + fp).alias("macro_precision"), mean(tp, tp + fn).alias("macro_recall"), mean(2 * tp, 2 * tp + fp + fn).alias("macro_f1"))
+    micro = summed.withColumns({"micro_precision": share(tp, tp + fp), "micro_recall": share(tp, tp + fn), "micro_f1": share(2 * tp, 2 * tp + fp + fn)})
+    return micro.withColumns({c: F.round(c, 6) for c in micro.columns if c.startswith(("micro", "macro"))})
+
+
+def fitted_total(sample: DataFrame, y: str, x: str, whole: DataFrame) -> DataFrame:
+    """Line of ``y`` over ``x`` in a sample, the deviation of its residuals, and a 95 % interval of the sum of ``y`` over ``whole``, one row with ``n`` rows and their sum of ``x``."""
+    squares = F.greatest(F.regr_syy(y, x) - F.try_divide(F.regr_sxy(y, x) * F.regr_sxy(y, x), F.regr_sxx(y, x)), F.lit(0.0))
+    fit = sample.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.sqrt(squares / (F.count("*") - 1)).alias("residual_sd"))
+    both = fit.crossJoin(F.broadcast(whole.toDF("_n", "_x")))
+    total, half = F.col("intercept") * F.col("_n") + F.col("slope") * F.col("_x"), 1.96 * F.col("residual_sd") * F.sqrt("_n")
+    return both.select("slope", "intercept", "residual_sd", total.alias("total"), (total - half).alias("low"), (total + half).alias("high"))
+
+
 def set_agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Exact matches and mean Jaccard of two array columns."""
     same = (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import written
+
+#: The column of a merge table's partitions.
+MERGE_PART = "_part"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -42,22 +46,86 @@ def window_of(rows: DataFrame, at: str, start: str, end: str | None = None) -> D
     return out.where(F.col(at) < F.lit(end).cast("timestamp_ntz")) if end else out
 
 
-def merge_table(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Merge into a Parquet table: the new state is written aside and then takes its place."""
+def merge_table(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str], parts: int = 64) -> None:
+    """Merge into a Parquet table that is partitioned by a hash of its keys.
+
+    Only partitions that hold a key of ``batch`` are written again, each put in place as a whole when all of them
+    have been written aside; the others aren't touched.  A merge that was broken off is repeated as it is.
+    """
+    hashed = batch.withColumn(MERGE_PART, F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(parts)).cast("int"))
     if not exists(spark, path):
-        batch.write.parquet(path)
+        hashed.repartition(MERGE_PART).write.partitionBy(MERGE_PART).parquet(path)
         return
-    aside = shared_path(spark, "merge")
-    merged(spark.read.parquet(path), batch, keys).write.parquet(aside)
-    spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    target = spark.read.parquet(path)
+    touched = [r[0] for r in hashed.select(MERGE_PART).distinct().collect()]  # at most ``parts``
+    after = written(merged(target.where(F.col(MERGE_PART).isin(touched)), hashed, [MERGE_PART, *keys]), "merge")
+    after.repartition(MERGE_PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MERGE_PART).parquet(path)
+
+
+def merge_state(spark: SparkSession, path: str) -> DataFrame:
+    """What ``merge_table`` keeps at ``path``."""
+    return spark.read.parquet(path).drop(MERGE_PART)
+
+
+def replace_reference(rows: DataFrame, path: str) -> DataFrame:
+    """Put ``rows`` in place of a whole reference table; the table as it is read back."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def create_once(rows: DataFrame, path: str) -> bool:
+    """Write ``rows`` unless there is a table at ``path``; whether they were written."""
+    if exists(rows.sparkSession, path):
+        return False
+    rows.write.parquet(path)
+    return True
+
+
+def restore_snapshot(spark: SparkSession, source: str, target: str, keys: Sequence[str]) -> DataFrame:
+    """A merge table again from a snapshot: keys have to be unique there, and merging the table into itself has to change nothing."""
+    rows = spark.read.parquet(source)
+    if not (bad := rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(5)).isEmpty():
+        raise ValueError(f"keys are repeated: {bad.collect()}")
+    if exists(spark, target):
+        raise ValueError(f"{target} is there already")
+    merge_table(spark, rows, target, keys)
+    before = spark.read.parquet(target).count()
+    merge_table(spark, merge_state(spark, target).where(F.pmod(F.xxhash64(*keys), F.lit(64)) == 0), target, keys)
+    if spark.read.parquet(target).count() != before:
+        raise ValueError("merging rows into their own table changed it")
+    return merge_state(spark, target)
+
+
+def with_wider_key(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct rows of ``table`` in a new key: what a migration to more key columns keeps."""
+    return table.select(*keys).distinct()
+
+
+def slice_counts(tables: dict[str, str], spark: SparkSession, column: str) -> DataFrame:
+    """``name``, ``slice``, ``n``: the rows of each slice of each table, counted where they are stored."""
+    counted = [spark.read.parquet(path).groupBy(F.col(column).cast("string").alias("slice")).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "slice", "n") for name, path in tables.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def unreconciled(owed: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Of ``name``, ``slice``, ``n`` as owed: what isn't loaded, or not with the rows it should have."""
+    return owed.join(loaded.withColumnRenamed("n", "loaded"), ["name", "slice"], "left").where(~F.col("n").eqNullSafe(F.col("loaded")))
+
+
+def mark_slices(counts: DataFrame, path: str) -> None:
+    """Record, last of all, which slices are loaded, from ``slice_date``, ``name`` and ``n`` of their tables.
+
+    A slice without tables has one row whose ``name`` is null; marking a slice again restates it.
+    """
+    facts = F.map_from_entries(F.filter(F.array_sort(F.collect_list(F.struct("name", "n"))), lambda x: x["name"].isNotNull()))
+    marked = counts.groupBy(F.col("slice_date").cast("date").alias("slice_date")).agg(F.current_timestamp().alias("loaded_at"), F.count("name").cast("int").alias("table_count"), F.to_json(facts).alias("row_counts"))
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice_date").parquet(path)
 
 
 def mark_complete(spark: SparkSession, path: str, slice_date: str, counts: dict[str, int]) -> None:
-    """Record, last of all, that a slice is loaded; an empty one counts too."""
-    row = spark.range(1).select(
-        F.lit(slice_date).cast("date").alias("slice_date"), F.current_timestamp().alias("loaded_at"), F.lit(len(counts)).alias("table_count"), F.to_json(F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, v)]) if counts else F.create_map()).alias("row_counts")
-    )
-    replace_slice(row, path, "slice_date", slice_date)
+    """Mark one slice; an empty one counts too."""
+    rows = [(slice_date, name, n) for name, n in counts.items()] or [(slice_date, None, None)]
+    mark_slices(spark.createDataFrame(rows, "slice_date string, name string, n long"), path)
 
 
 def missing_slices(spark: SparkSession, path: str, planned: Sequence[str]) -> list[str]:

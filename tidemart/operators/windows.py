@@ -22,6 +22,19 @@ def plan(start: dt.date, end: dt.date, daily_from: dt.date | None = None) -> lis
     return out
 
 
+def covered(start: dt.date, end: dt.date, last: dt.date) -> list[tuple[dt.date, dt.date]]:
+    """The plan of a window, none if it begins after the ``last`` covered day; one that ends before it begins is refused."""
+    if end <= start:
+        raise ValueError(f"{end} isn't after {start}")
+    return [] if start > last else plan(start, min(end, last + dt.timedelta(days=1)))
+
+
+def distinct_places(**places: str) -> None:
+    """Refuse two names for one place, as of raw and derived tables."""
+    if len(set(places.values())) < len(places):
+        raise ValueError(f"places have to differ: {places}")
+
+
 def reconciled(owed: dict[str, int], loaded: dict[str, int]) -> list[str]:
     """Tables that are owed and weren't loaded, or not with the rows they should have."""
     return sorted(name for name, n in owed.items() if loaded.get(name) != n)

@@ -116,10 +116,10 @@ def _(t):
     return set_agreement(roles, "a", "b")
 
 
-@query("a24_regression", "SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (count(*) - 2)), 6) AS residual_sd FROM (SELECT n_chars::DOUBLE AS y, length(text)::DOUBLE + doc_id % 5 AS x FROM documents)")
+@query("a24_regression", "SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (count(*) - 1)), 6) AS residual_sd FROM (SELECT n_chars::DOUBLE AS y, length(text)::DOUBLE + doc_id % 5 AS x FROM documents)")
 def _(t):
     xy = t["documents"].select(F.col("n_chars").cast("double").alias("y"), (F.length("text") + F.col("doc_id") % 5).cast("double").alias("x"))
-    rest = F.sqrt((F.regr_syy("y", "x") - F.regr_sxy("y", "x") * F.regr_sxy("y", "x") / F.regr_sxx("y", "x")) / (F.count("*") - 2))
+    rest = F.sqrt((F.regr_syy("y", "x") - F.regr_sxy("y", "x") * F.regr_sxy("y", "x") / F.regr_sxx("y", "x")) / (F.count("*") - 1))
     return xy.agg(F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"), F.round(rest, 6).alias("residual_sd"))
 
 

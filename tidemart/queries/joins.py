@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import seeded_sample, stratified_sample
+from ..operators.ranking import batched, seeded_sample, stratified_sample
 from ..operators.segments import complete_grid
 from .registry import query
 
@@ -129,8 +129,7 @@ def _(t):
 
 @query("o10_batches", "SELECT source, b AS batch, count(*) AS size, min(doc_id) AS first_doc FROM (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS b FROM documents) GROUP BY 1, 2")
 def _(t):
-    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return t["documents"].withColumn("batch", F.floor(at / 20)).groupBy("source", "batch").agg(F.count("*").alias("size"), F.min("doc_id").alias("first_doc"))
+    return batched(t["documents"].select("source", "doc_id"), 20, "source", "doc_id").groupBy("source", "batch").agg(F.count("*").alias("size"), F.min("doc_id").alias("first_doc"))
 
 
 @query("o11_union_all", "SELECT n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_name, 'region' FROM region")

@@ -1,10 +1,14 @@
 """Dimensions, facts, marts, and questions asked of them."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import surrogate_key
+from ..operators.segments import OTHER_SEGMENT, SEGMENTS
 from ..plans import marts as M
 from ..plans import quality as Q
+from ..session import written
 from .registry import query
 
 
@@ -28,7 +32,8 @@ FACT = f"""(SELECT o_orderkey AS order_id, o_custkey AS customer_id, d.sk AS cus
 FROM orders JOIN {CUSTOMER_DIM} d ON o_custkey = d.k AND o_orderdate >= d.valid_from AND o_orderdate < d.valid_to
 LEFT JOIN (SELECT l_orderkey, count(*) AS item_count, count(DISTINCT l_suppkey) AS seller_count, count(DISTINCT l_partkey) AS product_count, sum(CAST(l_extendedprice AS DECIMAL(28,6))) AS items_value, sum(CAST(l_quantity AS DECIMAL(28,6))) AS units, max(l_shipdate) AS last_shipped_at FROM lineitem GROUP BY 1) e ON e.l_orderkey = o_orderkey)"""
 PEOPLE = """(SELECT o_custkey AS customer_id, count(*) AS order_count, count(*) > 1 AS is_repeat, CAST(sum(CAST(o_totalprice AS DECIMAL(28,6))) AS DOUBLE) AS monetary_value, max(o_orderdate) AS last_order_at, date_diff('day', max(o_orderdate), (SELECT max(o_orderdate) FROM orders)) AS recency_days FROM orders GROUP BY o_custkey)"""
-RFM = f"""(SELECT *, CASE WHEN r_score >= 4 AND m_score >= 4 THEN 'champions' WHEN r_score <= 2 AND m_score >= 4 THEN 'high_value_lapsed' WHEN r_score >= 4 AND m_score <= 2 THEN 'recent_low_value' WHEN r_score <= 2 AND m_score <= 2 THEN 'hibernating' WHEN r_score >= 3 AND m_score >= 3 THEN 'loyal' ELSE 'needs_attention' END AS rfm_segment
+LADDER = "".join(f" WHEN r_score BETWEEN {r[0]} AND {r[1]} AND m_score BETWEEN {m[0]} AND {m[1]} THEN '{name}'" for name, r, m in SEGMENTS)
+RFM = f"""(SELECT *, CASE{LADDER} ELSE '{OTHER_SEGMENT}' END AS rfm_segment
 FROM (SELECT *, ntile(5) OVER (ORDER BY recency_days DESC, customer_id) AS r_score, ntile(5) OVER (ORDER BY monetary_value, customer_id) AS m_score FROM {PEOPLE}))"""
 TAXONOMY = "(VALUES " + ", ".join(f"('{a}', '{g}', {str(c).lower()})" for a, g, c in M.TAXONOMY) + ") x(aspect, aspect_group, is_complaint)"
 MART = f"""(WITH people AS (SELECT customer_id, rfm_segment FROM {RFM}), reviewed AS (SELECT l_orderkey, bool_or(l_discount > 0.05) AS has FROM lineitem GROUP BY 1),
@@ -168,24 +173,55 @@ def _(t):
 
 @query("t01_to_t08_checks", "SELECT * FROM (VALUES ('t01_grain', 0::BIGINT), ('t02_overlap', 0), ('t03_current', 0), ('t04_reconciled', 0), ('t05_keys', 0), ('t06_ascii', 0), ('t07_boundaries', 0), ('t08_provenance', 0)) v(name, offending)")
 def _(t):
-    dim, mart = M.dim_customers(t), M.fct_segment_aspect(t)
-    orders = M.stg_orders(t)
-    upper = orders.withColumn("raw", F.upper("priority")).withColumn("normal", F.lower("priority"))
-    found = {
-        "t01_grain": Q.same_grain(M.fct_orders(t).select("order_id"), orders),
+    dim, mart, orders = written(M.dim_customers(t), "dim-customers"), M.fct_segment_aspect(t), M.stg_orders(t)
+    return _counted(_checks(dim, written(M.fct_orders(t, dim).select("order_id"), "fct-orders"), orders, M.stg_customers(t), mart, orders.withColumn("raw", F.upper("priority")).withColumn("normal", F.lower("priority"))))
+
+
+def _checks(dim, facts, orders, customers, mart, cased):
+    return {
+        "t01_grain": Q.same_grain(facts, orders),
         "t02_overlap": Q.no_overlap(dim, "customer_id"),
         "t03_current": Q.one_current(dim, "customer_id"),
         "t04_reconciled": Q.reconciled(dim, orders),
         "t05_keys": Q.unique(dim.select(surrogate_key(F.col("customer_id"), F.col("version_number")).alias("sk")), "sk"),
-        "t06_ascii": Q.ascii_only(M.stg_customers(t), "customer_name_normalized"),
-        "t07_boundaries": Q.same_boundaries(upper, "customer_id", ["ordered_at", "order_id"], ["raw"], ["normal"]),
+        "t06_ascii": Q.ascii_only(customers, "customer_name_normalized"),
+        "t07_boundaries": Q.same_boundaries(cased, "customer_id", ["ordered_at", "order_id"], ["raw"], ["normal"]),
         "t08_provenance": Q.single_provenance(mart, {"label_version": "v1"}),
     }
-    out = None
-    for name, bad in found.items():
-        row = bad.agg(F.count("*").alias("offending")).select(F.lit(name).alias("name"), "offending")
-        out = row if out is None else out.unionByName(row)
-    return out
+
+
+def _counted(found):
+    rows = [bad.agg(F.count("*").alias("offending")).select(F.lit(name).alias("name"), "offending") for name, bad in found.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+#: Offenders by plain SQL: versions that reach a day into the next, customers with every version current, versions that are there twice.
+PLANTED = f"""WITH d AS (SELECT * FROM {CUSTOMER_DIM}), two AS (SELECT k FROM d GROUP BY k HAVING count(*) > 1),
+c AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) ELSE o_orderpriority END AS raw, lower(o_orderpriority) AS normal, o_orderdate AS a, o_orderkey AS tie FROM orders),
+b AS (SELECT raw IS DISTINCT FROM lag(raw) OVER w AS x, normal IS DISTINCT FROM lag(normal) OVER w AS y FROM c WINDOW w AS (PARTITION BY k ORDER BY a, tie))
+SELECT 't01_grain' AS name, count(*) AS offending FROM (SELECT 1 FROM orders WHERE o_orderstatus = 'F' LIMIT 1)
+UNION ALL SELECT 't02_overlap', count(*) FILTER (NOT is_current) FROM d
+UNION ALL SELECT 't03_current', count(*) FROM two
+UNION ALL SELECT 't04_reconciled', 1
+UNION ALL SELECT 't05_keys', count(*) FILTER (version_number = 1) FROM d
+UNION ALL SELECT 't06_ascii', count(*) FILTER (c_mktsegment = 'BUILDING') FROM customer
+UNION ALL SELECT 't07_boundaries', CASE WHEN count(*) FILTER (x) <> count(*) FILTER (y) THEN 1 ELSE 0 END FROM b
+UNION ALL SELECT 't08_provenance', count(DISTINCT is_complaint) FILTER (is_complaint) FROM {TAXONOMY}"""
+
+
+@query("t01_to_t08_planted", PLANTED)
+def _(t):
+    """The same checks on tables that break each of them."""
+    orders, dim = M.stg_orders(t), written(M.dim_customers(t), "dim-customers")
+    broken = dim.withColumn("valid_to", F.when(F.col("is_current"), F.col("valid_to")).otherwise(F.col("valid_to") + F.expr("INTERVAL 1 DAY"))).withColumn("is_current", F.lit(True))
+    mart = M.fct_segment_aspect(t).withColumn("label_version", F.when(F.col("is_complaint"), "v2").otherwise("v1"))
+    cased = orders.withColumn("raw", F.when(F.col("order_id") % 2 == 0, F.upper("priority")).otherwise(F.col("priority"))).withColumn("normal", F.lower("priority"))
+    customers = M.stg_customers(t).withColumn("customer_name_normalized", F.when(F.col("market_segment") == "BUILDING", F.concat("customer_name_normalized", F.lit("é"))).otherwise(F.col("customer_name_normalized")))
+    found = _checks(broken, orders.where("order_status <> 'F'"), orders, customers, mart, cased)
+    twice = dim.unionByName(dim.where("version_number = 1"))
+    found["t04_reconciled"] = Q.reconciled(twice, orders)
+    found["t05_keys"] = Q.unique(twice, "sk")
+    return _counted(found)
 
 
 @query("gold_customers_by_class", f"SELECT v AS priority, count(*) AS customers FROM {CUSTOMER_DIM} WHERE is_current GROUP BY v")

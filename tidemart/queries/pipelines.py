@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import enrichment as E
-from ..operators.loading import consistent_slice, merged, replace_slice, window_of, without_marker
+from ..operators.loading import consistent_slice, mark_slices, merged, replace_slice, window_of, without_marker
 from ..plans import marts as M
 from ..session import shared_path
 from .registry import query
@@ -12,11 +12,11 @@ from .registry import query
 BATCH_IDS = 1000
 
 
-@query("m01_incremental_merge", "SELECT o_orderkey AS order_id, CASE WHEN o_orderdate >= TIMESTAMP '1999-01-01' THEN 'restated' ELSE o_orderstatus END AS order_status FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderdate >= TIMESTAMP '1999-01-01'")
+@query("m01_incremental_merge", "SELECT o_orderkey AS order_id, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'restated' ELSE o_orderstatus END AS order_status FROM orders")
 def _(t):
     rows = M.stg_orders(t).select("order_id", "order_status", "ordered_at")
-    target = rows.where("order_id % 5 <> 0")
-    batch = window_of(rows, "ordered_at", "1999-01-01 00:00:00").withColumn("order_status", F.lit("restated"))
+    target = rows.where(F.col("ordered_at") < F.lit("1998-06-01").cast("timestamp_ntz"))
+    batch = window_of(rows, "ordered_at", "1998-01-01 00:00:00").withColumn("order_status", F.lit("restated"))  # restates five months, adds the rest
     return merged(target, batch, ["order_id"]).select("order_id", "order_status")
 
 
@@ -47,10 +47,12 @@ def _(t):
     return merged(t["labels"].select("doc_id", "quality"), new, ["doc_id"])
 
 
-@query("m08_missing_slices", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events GROUP BY 1")
+@query("m08_missing_slices", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events GROUP BY CAST(ts AS DATE) HAVING day(CAST(ts AS DATE)) % 2 = 0")
 def _(t):
-    days = t["events"].select(F.to_date("ts").cast("string").alias("day")).distinct()
-    return without_marker(t.spark, shared_path(t.spark, "markers"), days, "day")
+    days = t["events"].select(F.to_date("ts").alias("slice_date")).distinct()
+    path = shared_path(t.spark, "markers")
+    mark_slices(days.where(F.day("slice_date") % 2 == 1).select("slice_date", F.lit("events").alias("name"), F.lit(1).cast("long").alias("n")), path)
+    return without_marker(t.spark, path, days.select(F.col("slice_date").cast("string").alias("day")), "day")
 
 
 @query("m10_dedup_by_content", "SELECT sha256(text || chr(0) || 'v1' || chr(0) || 'base') AS content_hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY text")
@@ -92,9 +94,8 @@ def _(t):
     from ..sources.files import seed
 
     counts = t["events"].groupBy(F.col("event_type").alias("aspect")).agg(F.count("*").alias("n"))
-    mean = counts.agg(F.avg("n")).first()[0]
     parents = seed(t.spark, [("click", "engagement"), ("view", "engagement"), ("error", None)], "aspect string, parent_aspect string")
-    return E.folded(counts, parents, mean or 0)
+    return E.folded(counts, parents, counts.agg(F.avg("n")).scalar())
 
 
 @query("m19_parity_seed", "SELECT DISTINCT p_type AS raw_value, nullif(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')), '') AS normalized FROM part")
@@ -149,4 +150,4 @@ def _(t):
 
     t["orders"].createOrReplaceTempView("guarded_orders")
     sql = "SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM guarded_orders GROUP BY o_orderstatus HAVING count(*) > 1"
-    return guard.query(t.spark, guard.check(t.spark, sql, {"guarded_orders"}))
+    return guard.guarded(t.spark, sql, {"guarded_orders"})

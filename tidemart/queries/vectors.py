@@ -7,11 +7,11 @@ from ..operators.ranking import vector_topk
 from .registry import query
 
 TOP = """(SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings v JOIN embeddings q ON q.vec_id < 5 AND q.vec_id <> v.vec_id)) WHERE rank <= 10)"""
+SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)) WHERE rank <= 10)"""
 
 
 def _top(t):
-    return vector_topk(t["embeddings"], t["embeddings"].where("vec_id < 5"), 10, id_col="vec_id", vector_col="embedding")
+    return vector_topk(t["embeddings"], t["embeddings"].where("vec_id % 100 = 0"), 10, id_col="vec_id", vector_col="embedding")
 
 
 @query("v06_vector_topk", f"SELECT query_id, rank, vec_id, round(score, 6) AS score FROM {TOP}")

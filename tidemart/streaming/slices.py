@@ -11,7 +11,7 @@ from ..operators.loading import latest_by, merge_table
 
 
 def merge_arrivals(spark: SparkSession, folder: str, schema: T.StructType, target: str, checkpoint: str, keys: Sequence[str], order: Sequence) -> None:
-    """Merge every file not yet seen and stop.  No watermark: it would drop late rows."""
+    """Merge every file not yet seen into ``target`` (see ``merge_state``) and stop.  No watermark: it would drop late rows."""
 
     def each(batch: DataFrame, _: int) -> None:
         merge_table(batch.sparkSession, latest_by(batch, keys, order), target, keys)
