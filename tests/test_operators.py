@@ -163,10 +163,10 @@ def test_same_results():
 
 
 def test_models_stop_at_a_failed_check(spark):
-    plan = {"a": models.Model(lambda t: t["src"].where("id > 2"), ("src",), table=True), "b": models.Model(lambda t: t["a"].selectExpr("id * 2 as id"), ("a",), checks=(lambda df: quality.holds(df, F.col("id") > 6),))}
+    plan = {"a": models.Model(lambda t: t["src"].where("id > 2"), table=True), "b": models.Model(lambda t: t["a"].selectExpr("id * 2 as id"), checks=(lambda df: quality.holds(df, F.col("id") > 6),))}
     with pytest.raises(models.FailedCheck):
-        models.build(spark, {"src": spark.range(5)}, plan)
-    assert models.build(spark, {"src": spark.range(4, 9)}, plan)["b"].count() == 5
+        models.build({"src": spark.range(5)}, plan)
+    assert models.build({"src": spark.range(4, 9)}, plan)["b"].count() == 5
 
 
 def test_checks_find_what_breaks_them(spark):

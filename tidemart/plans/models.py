@@ -1,12 +1,11 @@
-"""Models in dependency order, each built once, checked, and given to those that follow."""
+"""Models built one after another, each once, checked, and given to those that follow."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from graphlib import TopologicalSorter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from ..session import written
 
@@ -14,20 +13,18 @@ from ..session import written
 @dataclass(frozen=True)
 class Model:
     build: Callable[[dict[str, DataFrame]], DataFrame]
-    needs: tuple[str, ...] = ()
     table: bool = False
     checks: tuple[Callable[[DataFrame], DataFrame], ...] = field(default=())
 
 
 class FailedCheck(RuntimeError):
-    """A check returned rows, so what depends on its model isn't built."""
+    """A check returned rows, so what follows its model isn't built."""
 
 
-def build(spark: SparkSession, sources: dict[str, DataFrame], models: dict[str, Model]) -> dict[str, DataFrame]:
-    """All ``models``; tables are written and read back, the others stay lazy."""
+def build(sources: dict[str, DataFrame], models: dict[str, Model]) -> dict[str, DataFrame]:
+    """All ``models`` in their order; tables are written and read back, the others stay lazy."""
     done = dict(sources)
-    for name in TopologicalSorter({k: [d for d in m.needs if d in models] for k, m in models.items()}).static_order():
-        model = models[name]
+    for name, model in models.items():
         df = model.build(done)
         done[name] = written(df, name) if model.table else df
         for check in model.checks:
