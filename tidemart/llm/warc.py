@@ -129,7 +129,7 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
                         out += ["0", "", "", ""] if refers is None else ["", ""]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    chunks = materialize(chunk_table(pages, id_col=id_col, url_col=url_col, html_col=html_col, chunk_chars=chunk_chars), "chunks")
+    chunks = materialize(chunk_table(pages, id_col=id_col, url_col=url_col, html_col=html_col, chunk_chars=chunk_chars), "chunks", compression="zstd")
     rows = chunks.repartition("record").join(_records(chunks, min_revisit_bytes), "record").where("refers_to is null or chunk = 0")
     rows = rows.select("record", "page_id", "url", "chunk", "data", "data_bytes", F.col("whole") | F.col("refers_to").isNotNull(), "whole_body", "whole_digest", "refers_to")
     rows.sortWithinPartitions("record", "chunk").mapInArrow(lines, "value string").write.option("lineSep", LINE).option("compression", "gzip").text(path)
