@@ -85,8 +85,7 @@ def customer_rfm(t: Tables) -> DataFrame:
 
 def order_aspects(t: Tables) -> DataFrame:
     """Aspects mentioned by an order's discounted lines, once a line: the fan-out is meant."""
-    lines = stg_lines(t).where("l_discount > 0.05").withColumn("aspects", F.to_json(F.array("aspect")))
-    return lines.select("order_id", "part_id", F.explode(F.from_json("aspects", "array<string>")).alias("aspect"))
+    return stg_lines(t).where("l_discount > 0.05").select("order_id", "part_id", "aspect")
 
 
 def fct_segment_aspect(t: Tables) -> DataFrame:
@@ -96,12 +95,13 @@ def fct_segment_aspect(t: Tables) -> DataFrame:
     one for each aspect that its reviewed lines mention.  What is left, a row for each segment and aspect, is written.
     """
     people = written(customer_rfm(t).select("customer_id", "rfm_segment"), "segments")
-    seen = order_aspects(t).groupBy("order_id").agg(F.collect_set(F.struct("aspect", "part_id")).alias("seen"))
+    lines = order_aspects(t).repartition("order_id")  # all that follows keeps to this partitioning
+    lines = lines.distinct().groupBy("order_id", "aspect").agg(F.count("*").alias("lines"))
+    seen = lines.groupBy("order_id").agg(F.collect_list(F.struct("aspect", "lines")).alias("seen"))
     owned = stg_orders(t).select("order_id", "customer_id").join(people, "customer_id").join(seen, "order_id", "left")
-    mentioned = F.array_distinct(F.transform(F.coalesce("seen", F.array().cast("array<struct<aspect:string,part_id:bigint>>")), lambda x: x["aspect"]))
-    rows = owned.select("rfm_segment", "seen", F.explode(F.concat(F.array(F.lit(None).cast("string")), mentioned)).alias("aspect"))
-    lines = F.size(F.filter("seen", lambda x: x["aspect"] == F.col("aspect")))
-    counted = rows.groupBy("rfm_segment", "aspect").agg(F.count("*").alias("orders"), F.count_if(F.col("seen").isNotNull()).alias("reviewed"), F.sum(F.when(F.col("aspect").isNotNull(), lines)).alias("lines"))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("aspect"), F.lit(None).cast("long").alias("lines")))
+    rows = owned.select("rfm_segment", F.col("seen").isNotNull().alias("reviewed"), F.explode(F.concat(whole, F.coalesce("seen", F.array().cast("array<struct<aspect:string,lines:bigint>>")))).alias("x"))
+    counted = rows.groupBy("rfm_segment", "x.aspect").agg(F.count("*").alias("orders"), F.count_if("reviewed").alias("reviewed"), F.sum("x.lines").alias("lines"))
     counted = written(counted, "segment-aspects")
     customers = written(people.groupBy("rfm_segment").agg(F.count("*").alias("customers_in_segment")), "segment-sizes")
     totals = counted.where("aspect is null").join(F.broadcast(customers), "rfm_segment").select("rfm_segment", "customers_in_segment", F.col("orders").alias("orders_in_segment"), F.col("reviewed").alias("orders_with_review_text"))
