@@ -4,8 +4,8 @@ Large-star links every larger neighbour of a vertex to the smallest vertex next
 to it; small-star does so for the smaller ones.  Both keep components as they
 are, and repeated they leave one star around the smallest vertex of each.  Edges
 stay in tables throughout; only one number a round reaches the driver.  Minima
-are pre-aggregated before each shuffle, so a vertex with very many edges costs
-no single task; its join side is left to Spark's skew handling.
+are pre-aggregated before each shuffle and the edges of a vertex with very many of
+them stay where they are, so it costs no single task.
 
 Edge cases: null ends and loops are ignored; repeated edges count once; vertices
 without an edge aren't returned; an empty table gives an empty result.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import looked_up, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:  # a vertex and its smaller neighbours
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = near.join(least, "u")
+    joined = looked_up(near, least, ["u"]) if large else near.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
     else:

@@ -271,7 +271,7 @@ def _links_across(involved: DataFrame, full: DataFrame, p: Params) -> DataFrame:
         pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    rows = involved.join(full.select(F.col("id").alias("rep"), "shingles"), "rep")
+    rows = involved.join(full.select(F.col("id").alias("rep"), "shingles").hint("merge"), "rep")
     return materialize(_grouped(rows, solve, "a long, b long"), "links")
 
 
@@ -286,9 +286,14 @@ def _open_nodes(members: DataFrame, parts: DataFrame, reps: DataFrame) -> tuple[
     return rows.select("node", "rep", "component"), nodes.select("node", "size", "shingles", F.col("major.component").alias("major"), *minor)
 
 
-def _stars(members: DataFrame) -> DataFrame:
+def _stars(members: DataFrame, p: Params) -> DataFrame:
     """``a`` < ``b``: the leaders of each node with its other members."""
-    pairs = members.select("rep", F.explode("leaders").alias("leader")).where("rep <> leader")
+    masks = [int(x) for x in np.random.default_rng(p.seed).integers(0, 1 << 40, p.leaders)]
+    first = members.groupBy("node").agg(F.array(F.min("rep")).alias("leaders"))
+    led = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in masks]  # a mask gives an order of ids, and can be taken off again
+    more = members.where(F.col("size") > p.led_from).groupBy("node").agg(F.array(*led).alias("leaders"))
+    leaders = materialize(first.unionByName(more).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders")), "leaders")
+    pairs = looked_up(members.select("node", "rep"), leaders, ["node"]).select("rep", F.explode("leaders").alias("leader")).where("rep <> leader")
     return pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
@@ -331,7 +336,9 @@ def _confirmed(pairs: DataFrame, full: DataFrame, p: Params) -> DataFrame:
                 keep.append(100 * common >= p.percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    # sets are large, in memory much more so than in their files, and are never broadcast
+    x, y = (full.select(F.col("id").alias(c), F.col("shingles").alias(s)).hint("merge") for c, s in (("a", "x"), ("b", "y")))
+    both = pairs.join(x, "a").join(y, "b")
     return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
@@ -359,15 +366,11 @@ def near_duplicates(docs: DataFrame, params: Params | None = None, *, id_col: st
         "distinct-sets",
     )
     leaves = materialize(_leaves(reps, p), "leaves")
-    masks = [int(x) for x in np.random.default_rng(p.seed).integers(0, 1 << 40, p.leaders)]
-    led = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).alias(f"l{c}") for c, m in enumerate(masks)]  # a mask gives an order of ids, and can be taken off again
-    shared = leaves.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("first"), *led).where("size > 1")
-    more = F.when(F.col("size") > p.led_from, F.array(*[F.col(f"l{c}").bitwiseXOR(F.lit(m)) for c, m in enumerate(masks)])).otherwise(F.array().cast("array<long>"))
-    shared = materialize(shared.select("node", "size", F.array_distinct(F.concat(F.array("first"), more)).alias("leaders")), "shared-nodes")
-    members = materialize(looked_up(leaves, shared, ["node"]).where("size is not null"), "nodes")
+    members = looked_up(leaves, leaves.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), ["node"]).where("size is not null")
+    members = materialize(members, "nodes")
 
     a, b = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in ("a", "b"))
-    stars = materialize(_stars(members), "stars")
+    stars = materialize(_stars(members, p), "stars")
     likely = materialize(_allowed(looked_up(stars, a, ["a"]).join(b, "b"), p), "pairs")
     full = _sets(_ends(likely), docs, p, id_col, text_col)
     links = _confirmed(likely, full, p)
