@@ -31,7 +31,7 @@ def _as_csv(df: DataFrame, path: str) -> None:
 def _(t):
     path = shared_path(t.spark, "csv")
     _as_csv(t["nation"].select(F.col("n_nationkey").alias("﻿n_nationkey"), "n_name"), path)
-    return files.read_csv(t.spark, path, T.StructType([T.StructField("n_nationkey", T.LongType()), T.StructField("n_name", T.StringType())]))
+    return files.read_csv(t.spark, path, T.StructType([t["nation"].schema[c] for c in ("n_nationkey", "n_name")]))
 
 
 @query("s04_csv_columns", "SELECT s_suppkey, s_acctbal FROM supplier")
