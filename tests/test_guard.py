@@ -44,6 +44,19 @@ def test_budget(spark, folder):
         guard.answer(guard.guarded(spark, "select * from lines_g", TABLES), max_bytes=100)
 
 
+def test_budget_of_a_user(spark):
+    asked = guard.guarded(spark, "select count(*) from lines_g", TABLES)
+    n = guard.scanned_bytes(asked)
+    budget = guard.Budget(max_bytes=3 * n, usual_bytes=n + 1)
+    for _ in range(2):
+        guard.answer(asked, budget=budget)
+    with pytest.raises(PermissionError, match="questions"):
+        guard.answer(asked, budget=budget)
+    with pytest.raises(PermissionError, match="exceed"):
+        guard.Budget(max_bytes=2 * n, usual_bytes=1, spent_bytes=n + 1).spend(n)
+    assert guard.Budget().max_bytes // guard.Budget().usual_bytes == 11
+
+
 def test_timeout(spark):
     spark.range(0, 3_000_000, 1, 4).selectExpr("id as k", "id % 5 as g").createOrReplaceTempView("orders_g")
     with pytest.raises(TimeoutError):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import threading
 import uuid
+from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -87,10 +88,29 @@ def scanned_bytes(df: DataFrame) -> int:
     return sum(int(str(leaf.stats().sizeInBytes())) for leaf in _seq(leaves))
 
 
-def answer(question: DataFrame, *, max_bytes: int = 1 << 30, seconds: float = 10.0) -> list:
+@dataclass
+class Budget:
+    """What all questions of one user may scan together; one of ``usual_bytes`` could be asked ``max_bytes // usual_bytes`` times."""
+
+    max_bytes: int = 5 << 30
+    usual_bytes: int = 435 << 20
+    spent_bytes: int = 0
+    asked: int = 0
+
+    def spend(self, n: int) -> None:
+        if self.asked >= self.max_bytes // self.usual_bytes:
+            raise PermissionError(f"{self.asked} questions were asked, and no more are allowed")
+        if self.spent_bytes + n > self.max_bytes:
+            raise PermissionError(f"{self.spent_bytes} bytes were scanned; {n} more exceed {self.max_bytes}")
+        self.spent_bytes, self.asked = self.spent_bytes + n, self.asked + 1
+
+
+def answer(question: DataFrame, *, max_bytes: int = 1 << 30, seconds: float = 10.0, budget: Budget | None = None) -> list:
     """The rows of a guarded question, within a budget of scanned bytes and of time."""
     if (n := scanned_bytes(question)) > max_bytes:
         raise PermissionError(f"it would scan {n} bytes; {max_bytes} are allowed")
+    if budget is not None:
+        budget.spend(n)
     context, tag, late = question.sparkSession.sparkContext, f"guard-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
