@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemart.llm import components, mixing, near_duplicates
-from tidemart.llm.common import looked_up
+from tidemart.llm.common import looked_up, materialize, scratch
 from tidemart.llm.near_duplicates import Params, shingle_set
 
 
@@ -144,6 +144,15 @@ def test_hot_keys_are_looked_up(spark):
     assert got == {tuple(r) for r in rows.join(facts, "k", "left").collect()} and len(got) == 9000
 
 
+def test_scratch_tables_go(spark):
+    with scratch(spark):
+        gone, kept = materialize(spark.range(3), "gone"), materialize(spark.range(4), "kept", keep=True)
+        assert gone.count() == 3
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="FAILED_READ_FILE|does not exist|PATH_NOT_FOUND"):
+        gone.selectExpr("sum(id)").collect()
+
+
 def test_stage_keeps_different_texts_of_one_id(spark):
     import corpus_pipeline
 

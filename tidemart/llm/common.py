@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +20,27 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside go when it ends, but for those to ``keep``; what is returned may only need these."""
+    folder = shared_path(spark, "scratch")
+    outer = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(outer)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, *, keep: bool = False, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there,
     and losing an executor costs only what it was computing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
+    spark, folder = df.sparkSession, _SCRATCH.get()
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder and not keep else shared_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -35,15 +54,17 @@ HOT_SHARE = 10_000
 HOT_ROWS = 256
 
 
-def looked_up(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def looked_up(rows: DataFrame, facts: DataFrame, keys: Sequence[str], counted: str | None = None) -> DataFrame:
     """``rows`` left-joined with ``facts``, which has one row for each of its keys, without dealing a hot key to one task.
 
     At most ``HOT_SHARE`` keys are hot: their facts are broadcast and their rows stay where they are.  All other
-    keys are joined as Spark sees fit.  ``rows`` is read more than once, so it should be a table.
+    keys are joined as Spark sees fit.  ``rows`` is read more than once, so it should be a table; they are counted
+    by key, unless facts say in ``counted`` how many rows their key has.
     """
     keys = list(keys)
     most = max(rows.count() // HOT_SHARE, HOT_ROWS)
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys)).collect()
+    counts = facts.select(*keys, F.col(counted).alias("_n")) if counted else rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = counts.where(F.col("_n") > most).select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys)).collect()
     if not hot:
         return rows.join(facts, keys, "left")
     named = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
@@ -63,7 +84,7 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 #: Bytes of an Arrow batch that a Python worker is given at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -92,3 +113,4 @@ def held(key: Hashable, make: Callable[[], object]) -> object:
 def let_go() -> None:
     """Give back what the worker keeps, for work that needs the memory."""
     _HELD.clear()
+    pa.default_memory_pool().release_unused()

@@ -25,20 +25,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:  # a vertex and its smaller neighbours
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = looked_up(near, least, ["u"]) if large else near.join(least, "u")
+    joined = looked_up(near, least, ["u"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
     else:
         out = joined.where("v <> m").select(F.col("v").alias("b"), F.col("m").alias("a")).union(least.select(F.col("u").alias("b"), F.col("m").alias("a")))
-    out = out.where("a <> b").select("a", "b")
-    return out if large else out.distinct()
+    return out.where("a <> b").select("a", "b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``vertex``, ``component`` (its smallest vertex) for every vertex on an edge of ``a``, ``b``."""
     now = materialize(edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while True:  # each round shrinks some component's distance to its smallest vertex
-        after = materialize(_star(_star(now, large=True), large=False), "edges")
+        after = materialize(_star(materialize(_star(now, large=True), "edges"), large=False), "edges")
         # one star a component: no vertex is both a centre and a leaf, or a leaf twice
         centres = after.select(F.col("a").alias("x")).distinct()
         again = after.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select(F.col("b").alias("x"))

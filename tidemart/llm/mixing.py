@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_row_number
-from .common import looked_up, materialize, without, word_count
+from .common import looked_up, materialize, scratch, without, word_count
 
 BLOCK_DOCS = 64
 GROUPS = 512
@@ -170,7 +170,7 @@ def plan(sizes: DataFrame, weights: Sequence[float], *, share: float, cap: float
     spark = sizes.sparkSession
     rows, words = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block_docs = max(block_docs, -(-rows * (int(cap) + 1) // MAX_BLOCKS))
-    crowded = materialize(sizes.groupBy("key", "h").agg(F.count("*").alias("n")).where(F.col("n") > block_docs).select("key", "h"), "crowded")
+    crowded = materialize(sizes.groupBy("key", "h").agg(F.count("*").alias("n")).where(F.col("n") > block_docs).select("key", "h"), "crowded", keep=True)
 
     found = sizes.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("size"), F.count("*").alias("n"))
     placed = global_row_number(found, [F.asc("key")], "place")  # the key of a null source comes last
@@ -178,10 +178,10 @@ def plan(sizes: DataFrame, weights: Sequence[float], *, share: float, cap: float
     weighed = materialize(placed.withColumn("weight", weight), "sources")
     rounds = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long")
     decided = with_targets(weighed, share, cap).withColumn("rounds", rounds).withColumn("rest", F.col("target") - F.col("rounds") * F.col("size")).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / block_docs)).cast("long"))
-    decided = materialize(decided.withColumnRenamed("size", "source_size"), "targets")
+    decided = materialize(decided.withColumnRenamed("size", "source_size"), "targets", keep=True)
 
     blocked = looked_up(told_apart(sizes, crowded), decided.select("key", "source_size", "target", "blocks"), ["key"])
-    blocked = materialize(blocked.withColumn("block", _block(F.col("h"), F.col("blocks"))), "blocks")
+    blocked = materialize(blocked.withColumn("block", _block(F.col("h"), F.col("blocks"))), "blocks", keep=True)
     per_block = materialize(blocked.groupBy("key", "block").agg(F.sum("size").alias("words")), "words")
     ends = materialize(last_blocks(per_block, decided), "ends")
 
@@ -190,7 +190,7 @@ def plan(sizes: DataFrame, weights: Sequence[float], *, share: float, cap: float
         return docs.loc[fitting(docs["size"].tolist(), float(docs["room"].iloc[0])), ["key", "h"]]
 
     last = blocked.join(ends.withColumnRenamed("cut", "block"), ["key", "block"]).select("key", "h", "size", "room")
-    chosen = materialize(last.groupBy("key").applyInPandas(fill, "key string, h long"), "chosen")
+    chosen = materialize(last.groupBy("key").applyInPandas(fill, "key string, h long"), "chosen", keep=True)
 
     each = decided.join(ends, "key", "left")
     quota = F.col("rounds") * F.col("blocks") + F.coalesce("cut", F.lit(0)) + F.coalesce(F.col("room") > 0, F.lit(False)).cast("int")
@@ -211,13 +211,14 @@ def plan(sizes: DataFrame, weights: Sequence[float], *, share: float, cap: float
     place = runs.withColumn("place", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
     drawn = place.select("key", (F.col("place") % F.col("blocks")).alias("block"), F.floor(F.col("place") / F.col("blocks")).alias("round"), "shard", "rounds", "cut")
     dealt = drawn.select("key", "block", "round", "shard", ((F.col("round") == F.col("rounds")) & (F.col("block") == F.col("cut"))).alias("last"))
-    return blocked, Mix(decided.select("key", "source_size", "target", "blocks"), materialize(dealt, "dealt"), chosen, crowded, n, seed)
+    return blocked, Mix(decided.select("key", "source_size", "target", "blocks"), materialize(dealt, "dealt", keep=True), chosen, crowded, n, seed)
 
 
 def plan_for(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int | None = None, words_per_shard: int = 5_000_000, block_docs: int = BLOCK_DOCS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, Mix]:
     """The sizes and blocks of all rows, and the mix decided from them."""
     sizes = docs.select(*described(docs, seed, id_col, text_col, source_col), F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"))
-    return plan(materialize(sizes, "sizes"), weights, share=share, cap=cap, shards=shards, words_per_shard=words_per_shard, block_docs=block_docs, seed=seed)
+    with scratch(docs.sparkSession):
+        return plan(materialize(sizes, "sizes"), weights, share=share, cap=cap, shards=shards, words_per_shard=words_per_shard, block_docs=block_docs, seed=seed)
 
 
 def report(blocked: DataFrame, mix: Mix) -> DataFrame:
@@ -233,7 +234,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     _, decided = plan_for(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     kept = without(docs, ["shard", "shard_order"]).columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *described(docs, decided.seed, id_col, text_col, source_col))
-    rows = looked_up(told_apart(rows, decided.crowded), decided.sources.select("key", "blocks"), ["key"]).withColumn("block", _block(F.col("h"), F.col("blocks")))
+    rows = told_apart(looked_up(rows, decided.sources.select("key", "blocks"), ["key"]), decided.crowded).withColumn("block", _block(F.col("h"), F.col("blocks")))
     drawn = rows.join(decided.dealt, ["key", "block"]).join(decided.chosen.withColumn("chosen", F.lit(True)), ["key", "h"], "left")
     drawn = drawn.where(~F.col("last") | F.coalesce("chosen", F.lit(False)))
     order = F.xxhash64("h", "round", F.lit(decided.seed + 1))

@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, let_go, looked_up, materialize, parts
+from .common import ASCII_LOWER, bounded_batches, let_go, looked_up, materialize, parts, scratch
 from .components import connected_components
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -289,11 +289,11 @@ def _open_nodes(members: DataFrame, parts: DataFrame, reps: DataFrame) -> tuple[
 def _stars(members: DataFrame, p: Params) -> DataFrame:
     """``a`` < ``b``: the leaders of each node with its other members."""
     masks = [int(x) for x in np.random.default_rng(p.seed).integers(0, 1 << 40, p.leaders)]
-    first = members.groupBy("node").agg(F.array(F.min("rep")).alias("leaders"))
-    led = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in masks]  # a mask gives an order of ids, and can be taken off again
-    more = members.where(F.col("size") > p.led_from).groupBy("node").agg(F.array(*led).alias("leaders"))
-    leaders = materialize(first.unionByName(more).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders")), "leaders")
-    pairs = looked_up(members.select("node", "rep"), leaders, ["node"]).select("rep", F.explode("leaders").alias("leader")).where("rep <> leader")
+    # a mask gives an order of ids, and can be taken off again; small nodes have the first order alone
+    led = [F.min(F.when(F.col("size") > p.led_from, F.col("rep").bitwiseXOR(F.lit(m)))).bitwiseXOR(F.lit(m)) for m in masks]
+    chosen = members.groupBy("node").agg(F.count("*").alias("size"), F.array(F.min("rep"), *led).alias("leaders"))
+    leaders = materialize(chosen.select("node", "size", F.array_distinct(F.filter("leaders", lambda x: x.isNotNull())).alias("leaders")), "leaders")
+    pairs = looked_up(members.select("node", "rep"), leaders, ["node"], counted="size").select("rep", F.explode("leaders").alias("leader")).where("rep <> leader")
     return pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
@@ -349,10 +349,10 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _parts(links: DataFrame) -> DataFrame:
     """``rep``, ``component``: connected reps with the smallest they are seen to reach; not always the component's."""
     near = links.select(F.col("a").alias("rep"), F.col("b").alias("m")).union(links.select("b", "a"))
-    least = near.groupBy("rep").agg(F.min("m").alias("m")).select("rep", F.least("rep", "m").alias("m"))
+    least = materialize(near.groupBy("rep").agg(F.min("m").alias("m")).select("rep", F.least("rep", "m").alias("m")), "parts")
     for _ in range(2):
         further = least.select(F.col("rep").alias("m"), F.col("m").alias("further"))
-        least = materialize(least.join(further, "m", "left").select("rep", F.least("m", "further").alias("m")), "parts")
+        least = materialize(looked_up(least, further, ["m"]).select("rep", F.least("m", "further").alias("m")), "parts")
     return least.withColumnRenamed("m", "component")
 
 
@@ -360,30 +360,32 @@ def near_duplicates(docs: DataFrame, params: Params | None = None, *, id_col: st
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs``."""
     p = params or Params()
     p = replace(p, depth=p.depth or 3 + max(0, math.ceil(math.log(max(1, docs.count()) / p.docs_at_three) / math.log(20))))
-    rows = materialize(sketch(bounded_batches(docs), p, id_col=id_col, text_col=text_col), "sketches")
-    reps = materialize(
-        rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig", "parity")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.sig", "r.parity"),
-        "distinct-sets",
-    )
-    leaves = materialize(_leaves(reps, p), "leaves")
-    members = looked_up(leaves, leaves.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), ["node"]).where("size is not null")
-    members = materialize(members, "nodes")
-
-    a, b = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in ("a", "b"))
-    stars = materialize(_stars(members, p), "stars")
-    likely = materialize(_allowed(looked_up(stars, a, ["a"]).join(b, "b"), p), "pairs")
-    full = _sets(_ends(likely), docs, p, id_col, text_col)
-    links = _confirmed(likely, full, p)
-
-    rows_left, nodes = _open_nodes(members, _parts(links), reps)
-    involved = materialize(_involved(_dealt(rows_left, materialize(nodes, "open-nodes"), reps, p), p), "involved")
-    if not involved.isEmpty():
-        missing = involved.select(F.col("rep").alias("id")).distinct().join(full.select("id").distinct(), "id", "left_anti")
-        links = links.unionByName(_links_across(involved, full.unionByName(_sets(missing, docs, p, id_col, text_col)), p))
-    labels = connected_components(links)
-
-    by_set = materialize(reps.select("digest", "rep").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("c")), "labels")
+    with scratch(docs.sparkSession):
+        rows = materialize(sketch(bounded_batches(docs), p, id_col=id_col, text_col=text_col), "sketches")
+        reps = materialize(
+            rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig", "parity")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.sig", "r.parity"),
+            "distinct-sets",
+        )
+        leaves = materialize(_leaves(reps, p), "leaves")
+        sizes = materialize(leaves.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        members = materialize(looked_up(leaves, sizes, ["node"], counted="size").where("size is not null"), "nodes")
+
+        a, b = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in ("a", "b"))
+        stars = materialize(_stars(members, p), "stars")
+        likely = materialize(_allowed(looked_up(stars, a, ["a"]).join(b, "b"), p), "pairs")
+        full = _sets(_ends(likely), docs, p, id_col, text_col)
+        links = _confirmed(likely, full, p)
+
+        rows_left, nodes = _open_nodes(members, _parts(links), reps)
+        involved = materialize(_involved(_dealt(rows_left, materialize(nodes, "open-nodes"), reps, p), p), "involved")
+        if not involved.isEmpty():
+            missing = involved.select(F.col("rep").alias("id")).distinct().join(full.select("id").distinct(), "id", "left_anti")
+            links = links.unionByName(_links_across(involved, full.unionByName(_sets(missing, docs, p, id_col, text_col)), p))
+        labels = connected_components(links)
+
+        by_set = materialize(reps.select("digest", "rep").join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("c")), "labels", keep=True)
+        known = materialize(rows.select("doc_id", "n", "digest"), "known", keep=True)
     # rows without shingles share a digest that is no set's
-    linked = looked_up(rows.select("doc_id", "n", "digest"), by_set, ["digest"])
+    linked = looked_up(known, by_set, ["digest"])
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
