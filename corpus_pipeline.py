@@ -87,7 +87,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens."""
-    return packing.pack(docs, tokenizer_path(WORD_BPE), end_id=2, capacity=4096)
+    # executors are full of what the stages before have left, so workers remember less than they might
+    return packing.pack(docs, tokenizer_path(WORD_BPE), end_id=2, capacity=4096, cache_words=100_000)
 
 
 STAGES = [

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, parts
 from .common import held as remembered
-from .tokens import WordEncoder
+from .tokens import CACHE_WORDS, WordEncoder
 
 CAPACITY = 4096
 PACK_SEQUENCES = 256
@@ -95,8 +95,12 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1.0 / CAPACITY,
     with_ids: bool = False,
+    cache_words: int = CACHE_WORDS,
 ) -> DataFrame:
-    """One row for each piece: see ``PIECES``; ``with_ids`` adds the piece's ids as ``ids array<int>``."""
+    """One row for each piece: see ``PIECES``; ``with_ids`` adds the piece's ids as ``ids array<int>``.
+
+    ``cache_words``: how many words' ids a worker remembers, twice; more take memory, fewer take time.
+    """
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = f.read()
     if len(tokenizer) > MAX_TOKENIZER_BYTES:
@@ -105,7 +109,7 @@ def pack(
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = remembered(("words", key), lambda: WordEncoder(shared.value))
+        encoder = remembered(("words", key, cache_words), lambda: WordEncoder(shared.value, cache_words))
         kind, width = encoder.kind, encoder.width
         end = np.array([end_id], dtype=kind).tobytes()
         sequence = number = TaskContext.get().partitionId() << 40
