@@ -58,8 +58,7 @@ def synthetic():
     return [(int(i), texts[j]) for i, j in enumerate(order)]
 
 
-@pytest.mark.parametrize("words", [2, 5])
-@pytest.mark.parametrize("limit", [2048, 16])
+@pytest.mark.parametrize(("words", "limit"), [(2, 2048), (2, 16), (5, 16)])
 def test_equals_brute_force(spark, words, limit):
     rows = synthetic()
     got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Params(shingle_words=words, node_limit=limit)).collect()
