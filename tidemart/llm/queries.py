@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_topk, language_id, licenses, mixing, near_duplicates, packing, secrets, token_counts, warc
+from . import ann, direct_codes, exact_topk, language_id, licenses, mixing, near_duplicates, packing, secrets, token_counts, warc
 from .common import shared_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -74,6 +74,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    direct_codes.write(table(spark, sf_dir, "documents"), path, tokenizer_path(WORD_BPE), end_id=2)
+    return direct_codes.read(spark, path)
+
+
 #: Brute force over all rows, as SQL.
 EXACT_TOPK_SQL = """WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_exact_topk": op9_exact_topk,
     "op10_language_id": op10_language_id,
+    "op11_direct_codes": op11_direct_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op5_warc": WARC_SQL, "op8_license_scan": licenses.oracle_sql(), "op9_exact_topk": EXACT_TOPK_SQL}
