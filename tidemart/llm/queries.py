@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, direct_codes, exact_topk, language_id, licenses, mixing, near_duplicates, packing, secrets, token_counts, warc
+from . import ann, collocations, direct_codes, exact_topk, language_id, licenses, mixing, near_duplicates, packing, secrets, token_counts, warc
 from .common import shared_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -80,6 +80,10 @@ def op11_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct_codes.read(spark, path)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), collocations.Params(min_count=30, top=2000))
+
+
 #: Brute force over all rows, as SQL.
 EXACT_TOPK_SQL = """WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
@@ -118,6 +122,23 @@ least_of AS (SELECT a AS rep, min(b) AS c FROM reach GROUP BY a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(r.rep, c), doc_id) AS component_id, coalesce(least(r.rep, c), doc_id) = doc_id AS kept
 FROM s LEFT JOIN r USING (s) LEFT JOIN least_of USING (rep)"""
 
+#: All phrases by lists, cuts and inner phrases by ranges of each candidate's words.
+COLLOCATIONS_SQL = r"""WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) x(k) WHERE len(w) >= k),
+f AS (SELECT lang, w[i:i + k - 1] AS w, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, w, k, f AS a FROM f WHERE k > 1),
+cut AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+s AS (
+  SELECT cut.lang, cut.w, any_value(a) AS a, min({'score': CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT), 'j': j, 'l': x.f, 'r': y.f}) AS m
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.w = cut.w[1:j] JOIN f y ON y.lang = cut.lang AND y.w = cut.w[j + 1:] GROUP BY cut.lang, cut.w),
+inner_of AS (SELECT lang, a, w, k, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) x(m) WHERE m < k),
+longest AS (SELECT lang, w[i:i + m - 1] AS w, max(a) AS longer FROM inner_of GROUP BY 1, 2),
+kept AS (SELECT s.lang, array_to_string(s.w, ' ') AS phrase, a, m.l AS l, m.r AS r, m.score AS score FROM s LEFT JOIN longest USING (lang, w) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)) WHERE rank <= 2000"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_source_mix": op2_source_mix,
@@ -130,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_topk": op9_exact_topk,
     "op10_language_id": op10_language_id,
     "op11_direct_codes": op11_direct_codes,
+    "op12_collocations": op12_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op5_warc": WARC_SQL, "op8_license_scan": licenses.oracle_sql(), "op9_exact_topk": EXACT_TOPK_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op5_warc": WARC_SQL, "op8_license_scan": licenses.oracle_sql(), "op9_exact_topk": EXACT_TOPK_SQL, "op12_collocations": COLLOCATIONS_SQL}
