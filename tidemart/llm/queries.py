@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, collocations, direct_codes, exact_topk, language_id, licenses, mixing, near_duplicates, packing, secrets, token_counts, warc
+from . import ann, collocations, direct_codes, exact_topk, language_id, licenses, mixing, near_duplicates, packing, prefix_trie, secrets, token_counts, warc
 from .common import shared_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -84,6 +84,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"), collocations.Params(min_count=30, top=2000))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, conversations = prefix_trie.rebuilt(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(turns, conversations)
+
+
 #: Brute force over all rows, as SQL.
 EXACT_TOPK_SQL = """WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
@@ -152,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_direct_codes": op11_direct_codes,
     "op12_collocations": op12_collocations,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES_SQL, "op5_warc": WARC_SQL, "op8_license_scan": licenses.oracle_sql(), "op9_exact_topk": EXACT_TOPK_SQL, "op12_collocations": COLLOCATIONS_SQL}
