@@ -8,9 +8,10 @@ chunks are those that take least space for the segment's own ids, in multiples o
 
 Files.  Documents in ascending order of id (null first, then by their ids) are cut into segments of
 about ``SEGMENT_TOKENS`` tokens, never inside a document.  A segment is a line of ASCII,
-``DAC1 start tokens docs bytes``, where ``start`` counts the tokens of all documents before it, then
-``bytes`` bytes and a line feed.  A file holds at most ``SEGMENTS_A_FILE`` segments; their order
-is in ``start`` alone.  The bytes are arrays, each behind its size as an unsigned 32-bit integer:
+``DAC1 range before tokens docs bytes``, where ``before`` counts the tokens of its range of documents before
+it, then ``bytes`` bytes and a line feed.  A file below ``segments`` holds at most ``SEGMENTS_A_FILE`` segments of one range, and
+``index``, written last, has the tokens before each range (a Parquet row each).  The bytes are arrays, each behind its
+size as an unsigned 32-bit integer:
 
     widths of the levels (8 bits each) | document ids (64 bits) | which of them are null (bits)
     | ends of documents (64 bits, relative) | for each level: chunks, bitmap, directory (32 bits)
@@ -31,6 +32,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -142,7 +144,7 @@ class Segment:
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """``doc_id``, ``ids`` (unsigned little-endian integers of ``width`` bytes, the end id last), ``row`` of every document."""
+    """``doc_id``, ``ids`` (unsigned little-endian integers of ``width`` bytes, the end id last, as Zstandard frames), ``row`` of every document."""
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = f.read()
     if len(tokenizer) > MAX_TOKENIZER_BYTES:
@@ -151,10 +153,11 @@ def encoded(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = remembered(("words", key, cache_words), lambda: WordEncoder(shared.value, cache_words))
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         end, row = np.array([end_id], dtype=encoder.kind).tobytes(), TaskContext.get().partitionId() << 40
         for batch in batches:
             for names, texts in zip(parts(batch.column(0), 400), parts(batch.column(1), 400)):
-                ids = [i + end for i in encoder.encode([t or "" for t in texts])]
+                ids = [squeeze(i + end) for i in encoder.encode([t or "" for t in texts])]
                 columns = [pa.array(names, pa.int64()), pa.array(ids, pa.binary()), pa.array([encoder.width] * len(ids), pa.int32()), pa.array(range(row, row + len(ids)), pa.int64())]
                 row += len(ids)
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "width", "row"])
@@ -164,10 +167,11 @@ def encoded(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", tex
 
 
 def _segments(rows: DataFrame, segment_tokens: int) -> DataFrame:
-    """Segments of sorted documents; ``before`` counts the tokens of their range before them."""
+    """Segments of sorted documents; a partition is a range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, before = TaskContext.get().partitionId(), 0
+        loosen = zstandard.ZstdDecompressor().decompress
         names: list[int | None] = []
         held: list[np.ndarray] = []
         tokens = 0
@@ -178,56 +182,71 @@ def _segments(rows: DataFrame, segment_tokens: int) -> DataFrame:
             widths, *levels = encode_levels(np.concatenate(held))
             null = np.packbits([n is None for n in names], bitorder="little").tobytes()
             body = framed([widths, np.array([n or 0 for n in names], "<i8").tobytes(), null, ends.tobytes(), *levels])
-            row = [piece, before, tokens, len(names), body]
+            head = f"{MAGIC} {piece} {before} {tokens} {len(names)} {len(body)}\n".encode()
             names, held, before, tokens = [], [], before + tokens, 0
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["piece", "before", "tokens", "docs", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([head + body], pa.binary())], names=["segment"])
 
         for batch in batches:
             for name, ids, width in zip(*(c.to_pylist() for c in batch.columns)):
                 names.append(name)
-                held.append(np.frombuffer(ids, f"<u{width}"))
+                held.append(np.frombuffer(loosen(ids), f"<u{width}"))
                 tokens += len(held[-1])
                 if tokens >= segment_tokens:
                     yield emit()
         if names:
             yield emit()
 
-    return rows.mapInArrow(run, "piece long, before long, tokens long, docs long, body binary")
+    return rows.mapInArrow(run, "segment binary")
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encode all documents and write their segments below ``path``."""
-    rows = materialize(encoded(docs, tokenizer_path, id_col=id_col, text_col=text_col, end_id=end_id), "ids")
+    rows = materialize(encoded(docs, tokenizer_path, id_col=id_col, text_col=text_col, end_id=end_id), "ids", compression="none")
     order = [F.asc_nulls_first("doc_id"), F.asc("_h"), F.asc("row")]
     dealt = rows.withColumn("_h", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order)
-    cut = materialize(_segments(dealt.select("doc_id", "ids", "width"), segment_tokens), "segments")
-    sizes = cut.groupBy("piece").agg(F.sum("tokens").alias("_n"))  # a row for each partition of the shuffle
-    earlier = F.coalesce(F.sum("_n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = cut.join(F.broadcast(sizes.select("piece", earlier.alias("_start"))), "piece")
-    head = F.format_string(f"{MAGIC} %d %d %d %d\n", F.col("_start") + F.col("before"), "tokens", "docs", F.length("body"))
-    content = F.concat(head.cast("binary"), F.col("body"))
+    segments = _segments(dealt.select("doc_id", "ids", "width"), segment_tokens)
     # the text sink writes a row's bytes as they are, and a line feed
-    placed.select(content.cast("string").alias("value")).write.option("maxRecordsPerFile", SEGMENTS_A_FILE).option("compression", "none").text(path)
+    segments.select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", SEGMENTS_A_FILE).option("compression", "none").text(f"{path}/segments")
+    sizes = _parsed(docs.sparkSession, path).groupBy("piece").agg(F.sum("tokens").alias("_n"))  # a row for each partition of the shuffle
+    earlier = F.coalesce(F.sum("_n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes.select("piece", earlier.alias("first")).write.parquet(f"{path}/index")
 
 
-def _parsed(content: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """``start``, ``tokens``, ``docs`` and the bytes of each segment in a file."""
+def _cut(content: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """Range, tokens before, tokens, documents and the bytes of each segment in a file."""
     at = 0
     while at < len(content):
-        end = content.find(b"\n", at, at + 128)
+        end = content.find(b"\n", at, at + 160)
         head = content[at:end].split() if end >= 0 else []
-        if len(head) != 5 or head[0] != MAGIC.encode():
+        if len(head) != 6 or head[0] != MAGIC.encode():
             raise ValueError("no segment begins where one should")
-        start, tokens, docs, size = map(int, head[1:])
+        *numbers, size = map(int, head[1:])
         if content[end + 1 + size : end + 2 + size] != b"\n":
             raise ValueError("a segment doesn't end where it should")
-        yield start, tokens, docs, content[end + 1 : end + 1 + size]
+        yield *numbers, content[end + 1 : end + 1 + size]
         at = end + 2 + size
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return bounded_batches(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)).select("content")
+    return bounded_batches(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{path}/segments")).select("content")
+
+
+def _parsed(spark: SparkSession, path: str, with_body: bool = False) -> DataFrame:
+    """``piece``, ``before``, ``tokens``, ``docs`` (and ``body``) of every segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["piece", "before", "tokens", "docs", *["body"] * with_body]
+        for batch in batches:
+            for content in batch.column(0):
+                for row in _cut(content.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if k == 4 else pa.int64()) for k, v in enumerate(row[: len(names)])], names=names)
+
+    return _files(spark, path).mapInArrow(run, "piece long, before long, tokens long, docs long" + ", body binary" * with_body)
+
+
+def _placed(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """``rows`` of a ``piece`` with ``first``, the tokens before it; the index has a row for each range."""
+    return rows.join(F.broadcast(spark.read.schema("piece long, first long").parquet(f"{path}/index")), "piece")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -236,16 +255,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                for start, tokens, docs, body in _parsed(content.as_py()):
+                for piece, before, tokens, docs, body in _cut(content.as_py()):
                     segment = Segment(body, tokens, docs)
                     ids = segment.all().astype("<u4")
                     ends = segment.ends.tolist()
                     starts = [0, *ends[:-1]]
                     sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends)]
-                    columns = [segment.doc_ids, pa.array(np.array(starts, np.int64) + start), pa.array(np.array(ends, np.int64) - np.array(starts, np.int64)), pa.array(sums, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    columns = [pa.array([piece] * docs, pa.int64()), segment.doc_ids, pa.array(np.array(starts, np.int64) + before), pa.array(np.diff([0, *ends])), pa.array(sums, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["piece", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _files(spark, path).mapInArrow(run, DOCUMENTS)
+    found = _files(spark, path).mapInArrow(run, "piece long, " + DOCUMENTS)
+    return _placed(spark, path, found).select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokens_at(spark: SparkSession, path: str, positions: DataFrame, column: str = "position") -> DataFrame:
@@ -255,13 +275,6 @@ def tokens_at(spark: SparkSession, path: str, positions: DataFrame, column: str
     very often is copied once for each ``REQUESTS_A_COPY`` requests.
     """
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                for start, tokens, docs, body in _parsed(content.as_py()):
-                    row = [start, tokens, docs, body]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int64()] * 3 + [pa.binary()])], names=["start", "tokens", "docs", "body"])
-
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, first = None, 0
         for batch in batches:
@@ -279,8 +292,9 @@ def tokens_at(spark: SparkSession, path: str, positions: DataFrame, column: str
                 yield pa.RecordBatch.from_arrays([pa.array(wanted), pa.array(segment.at(wanted - first).astype(np.int64))], names=["position", "token"])
                 at = to
 
-    segments = _files(spark, path).mapInArrow(split, "start long, tokens long, docs long, body binary")
-    spans = segments.select("start", "tokens")
+    start = (F.col("first") + F.col("before")).alias("start")
+    spans = _placed(spark, path, _parsed(spark, path)).select(start, "tokens")
+    segments = _placed(spark, path, _parsed(spark, path, with_body=True)).select(start, "tokens", "docs", "body")
     block = lambda c: F.floor(c / F.lit(SEGMENT_TOKENS)).cast("long")
     spread = spans.withColumn("_block", F.explode(F.sequence(block(F.col("start")), block(F.col("start") + F.col("tokens") - 1))))
     asked = positions.select(F.col(column).cast("long").alias("position")).where("position is not null").distinct().withColumn("_block", block(F.col("position")))
