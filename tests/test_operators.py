@@ -4,7 +4,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tidemart.operators import enrichment, evaluation, history, joining, loading, ranking, segments
+from tidemart.operators import enrichment, evaluation, history, joining, loading, merging, ranking, segments
 from tidemart.plans import models, quality
 from tidemart.session import shared_path
 
@@ -57,30 +57,11 @@ def test_loads_are_idempotent(spark):
     assert spark.read.parquet(path).count() == 1
 
 
-def test_merge_restates_and_adds(spark):
-    path = shared_path(spark, "m")
-    loading.merge_table(spark, spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, ["k"])
-    for _ in range(2):
-        loading.merge_table(spark, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), path, ["k"])
-    assert sorted(map(tuple, loading.merge_state(spark, path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
-
-
-def test_merge_writes_touched_partitions_only(spark):
-    path = shared_path(spark, "m")
-    loading.merge_table(spark, spark.range(1000).withColumn("v", F.lit("a")), path, ["id"], parts=16)
-    files = lambda: {r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}
-    before = files()
-    loading.merge_table(spark, spark.createDataFrame([(7, "b"), (5000, "b")], "id long, v string"), path, ["id"], parts=16)
-    assert len(before - files()) <= 2 and len(before) == 16
-    rows = loading.merge_state(spark, path)
-    assert rows.count() == 1001 and rows.where("v = 'b'").count() == 2
-
-
 def test_restore_refuses_repeated_keys(spark):
     source = shared_path(spark, "snapshot")
     spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string").write.parquet(source)
     with pytest.raises(ValueError, match="repeated"):
-        loading.restore_snapshot(spark, source, shared_path(spark, "target"), ["k"])
+        merging.restore_snapshot(spark, source, shared_path(spark, "target"), ["k"])
 
 
 def test_overall_figures(spark):
@@ -185,7 +166,7 @@ def test_stream_of_slices_keeps_late_rows(spark, tmp_path):
     put = lambda rows: spark.createDataFrame(rows, "k int, t int, v string").write.mode("append").parquet(source)
     put([(1, 5, "a"), (2, 5, "b")])
     schema = spark.read.parquet(source).schema
-    merge_arrivals(spark, source, schema, target, at, ["k"], [F.desc("t")])
+    merge_arrivals(spark, source, schema, target, at, ["k"], ["t"])
     put([(2, 1, "late"), (3, 1, "c"), (3, 2, "d")])
-    merge_arrivals(spark, source, schema, target, at, ["k"], [F.desc("t")])
-    assert sorted(map(tuple, loading.merge_state(spark, target).collect())) == [(1, 5, "a"), (2, 1, "late"), (3, 2, "d")]
+    merge_arrivals(spark, source, schema, target, at, ["k"], ["t"])
+    assert sorted(map(tuple, merging.merge_state(spark, target).collect())) == [(1, 5, "a"), (2, 1, "late"), (3, 2, "d")]

@@ -8,10 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import written
-
-#: The column of a merge table's partitions.
-MERGE_PART = "_part"
+from .scans import same
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -35,36 +32,29 @@ def latest_by(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def merged(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``target`` with the keys of ``batch`` restated by it."""
-    return target.join(batch.select(*keys).distinct(), list(keys), "left_anti").select(*target.columns).unionByName(batch)
+def deduplicated(batch: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row for each key, nulls being keys like others: the one with the largest ``order``, then the largest of all its columns."""
+    row = F.struct(*batch.columns)
+    last = F.max_by(row, F.struct(*order, *batch.columns)) if order else F.max(row)
+    return batch.groupBy(*keys).agg(last.alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in batch.columns])
 
 
-def window_of(rows: DataFrame, at: str, start: str, end: str | None = None) -> DataFrame:
-    """Rows at or after ``start`` and before ``end``."""
-    out = rows.where(F.col(at) >= F.lit(start).cast("timestamp_ntz"))
-    return out.where(F.col(at) < F.lit(end).cast("timestamp_ntz")) if end else out
-
+def conflicts(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys for which ``batch`` has different rows, with the numbers of rows and of different ones."""
+    different = F.count_distinct(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in batch.columns]))
+    return batch.groupBy(*keys).agg(F.count("*").alias("n"), different.alias("n_different")).where("n_different > 1")
 
-def merge_table(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str], parts: int = 64) -> None:
-    """Merge into a Parquet table that is partitioned by a hash of its keys.
 
-    Only partitions that hold a key of ``batch`` are written again, each put in place as a whole when all of them
-    have been written aside; the others aren't touched.  A merge that was broken off is repeated as it is.
-    """
-    hashed = batch.withColumn(MERGE_PART, F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(parts)).cast("int"))
-    if not exists(spark, path):
-        hashed.repartition(MERGE_PART).write.partitionBy(MERGE_PART).parquet(path)
-        return
-    target = spark.read.parquet(path)
-    touched = [r[0] for r in hashed.select(MERGE_PART).distinct().collect()]  # at most ``parts``
-    after = written(merged(target.where(F.col(MERGE_PART).isin(touched)), hashed, [MERGE_PART, *keys]), "merge")
-    after.repartition(MERGE_PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MERGE_PART).parquet(path)
+def merged(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """``target`` with the keys of ``batch`` restated by it; a rerun changes nothing, whatever keys are null or repeated in the batch."""
+    new = deduplicated(batch, keys, order)
+    return target.join(new, same(target, new, keys), "left_anti").select(*target.columns).unionByName(new)
 
 
-def merge_state(spark: SparkSession, path: str) -> DataFrame:
-    """What ``merge_table`` keeps at ``path``."""
-    return spark.read.parquet(path).drop(MERGE_PART)
+def window_of(rows: DataFrame, at: str, start: str, end: str | None = None) -> DataFrame:
+    """Rows at or after ``start`` and before ``end``."""
+    out = rows.where(F.col(at) >= F.lit(start).cast("timestamp_ntz"))
+    return out.where(F.col(at) < F.lit(end).cast("timestamp_ntz")) if end else out
 
 
 def replace_reference(rows: DataFrame, path: str) -> DataFrame:
@@ -81,21 +71,6 @@ def create_once(rows: DataFrame, path: str) -> bool:
     return True
 
 
-def restore_snapshot(spark: SparkSession, source: str, target: str, keys: Sequence[str]) -> DataFrame:
-    """A merge table again from a snapshot: keys have to be unique there, and merging the table into itself has to change nothing."""
-    rows = spark.read.parquet(source)
-    if not (bad := rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(5)).isEmpty():
-        raise ValueError(f"keys are repeated: {bad.collect()}")
-    if exists(spark, target):
-        raise ValueError(f"{target} is there already")
-    merge_table(spark, rows, target, keys)
-    before = spark.read.parquet(target).count()
-    merge_table(spark, merge_state(spark, target).where(F.pmod(F.xxhash64(*keys), F.lit(64)) == 0), target, keys)
-    if spark.read.parquet(target).count() != before:
-        raise ValueError("merging rows into their own table changed it")
-    return merge_state(spark, target)
-
-
 def with_wider_key(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The distinct rows of ``table`` in a new key: what a migration to more key columns keeps."""
     return table.select(*keys).distinct()

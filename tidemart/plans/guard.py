@@ -1,9 +1,14 @@
 """A read-only SQL surface: one query over allowed tables with allowed functions, a row
 limit on the whole result, a budget on what is scanned, and a timeout.
 
+A statement is put in brackets as the source of an outer query, so only a query can be one: Spark's own parser refuses all else.  It is
+analysed in a session whose only views are the allowed tables, so names are resolved by Spark, common table expressions
+by their scope; neither another view nor a path is there to be found.  What sessions share can be recognised by its names: a
+statement that names a catalogue's table, or ``global_temp``, is refused, and so are functions off the list.
+
 ``guarded`` gives a lazy DataFrame, so a question that passes can be looked at, counted
 or joined like any other; ``answer`` runs it.  What is refused raises PermissionError
-with the reason, what is no statement at all SyntaxError.
+with the reason, what is no query at all SyntaxError.
 """
 
 from __future__ import annotations
@@ -13,15 +18,12 @@ import threading
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .isolation import isolated
 
-#: Kinds of logical plan nodes that a query may have.
-NODES = {
-    "Project", "Filter", "UnresolvedHaving", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Union", "Distinct", "SubqueryAlias",
-    "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "WithCTE", "UnresolvedRelation", "WithWindowDefinition", "Window", "Generate",
-    "OneRowRelation", "UnresolvedInlineTable", "LateralJoin", "Pivot", "Except", "Intersect", "UnresolvedOrderBy", "Deduplicate",
-}
 #: Functions that a question about the marts can need, by Spark's names.
 FUNCTIONS = {
     "avg", "count", "max", "min", "sum", "variance", "any_value", "median", "mode", "stddev", "approx_count_distinct", "percentile_cont",
@@ -33,65 +35,68 @@ FUNCTIONS = {
     "date_trunc", "extract", "date_format", "to_date", "unix_date", "year", "month", "day", "quarter", "dayofweek", "hour", "minute", "second",
     "weekofyear", "timestampdiff", "date_part", "cast", "try_cast", "to_char", "bool_or", "bool_and", "count_if",
 }
+#: Words of SQL, and its types, that a bracket can follow.
+BEFORE_BRACKETS = {
+    "select", "distinct", "from", "join", "where", "on", "using", "and", "or", "not", "in", "exists", "as", "over", "filter", "group", "by", "order", "partition", "within",
+    "having", "union", "all", "except", "intersect", "minus", "lateral", "then", "else", "between", "like", "ilike", "rlike", "any", "some", "limit", "offset", "is", "null",
+    "cube", "rollup", "sets", "pivot", "unpivot", "for", "interval", "with", "values", "decimal", "numeric", "char", "varchar", "struct", "array",
+}
+#: Names that Spark takes for functions without brackets, and the one of global views.
+NEVER = {"current_user", "session_user", "user", "current_catalog", "current_database", "current_schema", "global_temp", "transform", "map", "reduce", "table", "identifier"}
 
-
-def _seq(xs) -> list:
-    return [xs.apply(i) for i in range(xs.size())]
+#: Comments, strings (which take no part), quoted names, names, and single signs.
+_TOKEN = re.compile(r"""(?P<skip>--[^\n]*|/\*.*?\*/|\s+)|(?P<string>[rR]?'(?:\\.|[^'\\])*'|[rR]?"(?:\\.|[^"\\])*")|`(?P<quoted>(?:``|[^`])*)`|(?P<name>[^\W\d]\w*)|(?P<number>[\w.]+)|(?P<sign>.)""", re.S)
 
 
-def _walk(spark: SparkSession, plan, nodes: set[str], functions: set[str], relations: set[str], names: set[str]) -> None:
-    kind = plan.getClass().getSimpleName()
-    nodes.add(kind)
-    if kind == "UnresolvedRelation":
-        relations.add(".".join(_seq(plan.multipartIdentifier())).lower())
-    if kind == "UnresolvedWith":
-        for pair in _seq(plan.cteRelations()):
-            names.add(pair._1().lower())
-            _walk(spark, pair._2(), nodes, functions, relations, names)
-    for e in _seq(plan.expressions()):
-        _expression(spark, e, nodes, functions, relations, names)
-    for child in _seq(plan.children()):
-        _walk(spark, child, nodes, functions, relations, names)
+def _tokens(sql: str) -> list[tuple[str, str]]:
+    """Kind and (lower-case) text of all but comments and white space."""
+    found = [(m.lastgroup, m[m.lastgroup].lower()) for m in _TOKEN.finditer(sql)]
+    return [("name" if kind == "quoted" else kind, text) for kind, text in found if kind != "skip"]
 
 
-def _expression(spark: SparkSession, e, nodes, functions, relations, names) -> None:
-    kind = e.getClass().getSimpleName()
-    if kind == "UnresolvedFunction":
-        functions.add(".".join(_seq(e.nameParts())).lower())
-    if kind == "InSubquery":  # its query is a part of its own
-        _walk(spark, e.query().plan(), nodes, functions, relations, names)
-        return
-    if re.search("Subquery|Exists|ListQuery", kind):
-        _walk(spark, e.plan(), nodes, functions, relations, names)
-    for child in _seq(e.children()):
-        _expression(spark, child, nodes, functions, relations, names)
+def _faults(spark: SparkSession, sql: str, allowed: set[str]) -> list[str]:
+    tokens = [("", ""), *_tokens(sql), ("", "")]
+    names = {text for kind, text in tokens if kind == "name"}
+    # a name before a bracket is a function's, or an alias of which columns are listed: one that no function has can only be that
+    called = {(text, before == ".") for (_, before), (kind, text), (_, after) in zip(tokens, tokens[1:], tokens[2:]) if kind == "name" and after == "("}
+    odd = {(text, qualified) for text, qualified in called if text not in FUNCTIONS | BEFORE_BRACKETS}
+    known = {f.name.lower().rpartition(".")[2] for f in spark.catalog.listFunctions()} if odd else set()
+    catalogued = {t.name.lower() for db in spark.catalog.listDatabases() for t in spark.catalog.listTables(db.name) if not t.isTemporary}
+    out = {
+        "functions": {text for text, qualified in odd if qualified or text in known},
+        "names": names & (NEVER | (catalogued - allowed)),
+        "scripts": {"using" for (_, text), (after, _) in zip(tokens, tokens[1:]) if text == "using" and after == "string"},
+    }
+    return [f"{what} that aren't allowed: {', '.join(sorted(bad))}" for what, bad in out.items() if bad]
 
 
 def guarded(spark: SparkSession, sql: str, tables: set[str], max_rows: int = 200) -> DataFrame:
-    """The result of ``sql``, at most ``max_rows`` rows of it, if it is one query over ``tables``."""
+    """The result of ``sql``, at most ``max_rows`` rows of it, if it is one query over ``tables`` (views or tables of ``spark``)."""
+    allowed = {t.lower() for t in tables}
+    if faults := _faults(spark, sql, allowed):
+        raise PermissionError("; ".join(faults))
+    if not allowed & {text for kind, text in _tokens(sql) if kind == "name"}:
+        raise PermissionError(f"no table is read; there are {', '.join(sorted(allowed))}")
+    session = isolated(spark, {t: spark.table(t) for t in tables})
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except PySparkException as e:
+        return session.sql(f"SELECT * FROM (\n{sql}\n) LIMIT {int(max_rows)}")
+    except ParseException as e:
         raise SyntaxError(str(e)[:200]) from e
-    nodes, functions, relations, names = set(), set(), set(), set()
-    _walk(spark, plan, nodes, functions, relations, names)
-    read, known = relations - names, {t.lower() for t in tables}
-    faults = {"kinds of statement or clause": nodes - NODES, "functions": functions - FUNCTIONS, f"tables (there are {', '.join(sorted(known))})": read - known}
-    if any(faults.values()) or not read:
-        raise PermissionError("; ".join(f"{what} that aren't allowed: {', '.join(sorted(bad))}" for what, bad in faults.items() if bad) or "no table is read")
-    return spark.sql(sql).limit(max_rows)
+    except AnalysisException as e:
+        raise PermissionError(f"{str(e)[:200]}; there are {', '.join(sorted(allowed))}") from e
 
 
 def scanned_bytes(df: DataFrame) -> int:
-    """Estimated bytes of all leaves of the optimized plan: joins above them don't count."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaf.stats().sizeInBytes())) for leaf in _seq(leaves))
+    """Bytes of all files below ``df``: what a scan of them reads at most."""
+    files = df.inputFiles()
+    return df.sparkSession.read.format("binaryFile").load(files).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] if files else 0
 
 
 @dataclass
 class Budget:
     """What all questions of one user may scan together; one of ``usual_bytes`` could be asked ``max_bytes // usual_bytes`` times."""
 
+    #: 5 GiB, and 435 MiB for a question.
     max_bytes: int = 5 << 30
     usual_bytes: int = 435 << 20
     spent_bytes: int = 0

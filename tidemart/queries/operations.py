@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import fingerprint, human_bytes, qualified_name, strip_fences
 from ..operators import enrichment as E
 from ..operators import loading as L
+from ..operators import merging as G
 from ..operators.evaluation import fitted_total, overall, same_results
 from ..operators.joining import excluding, suffixed_join
 from ..operators.windows import plan
@@ -103,7 +104,7 @@ def _(t):
 def _(t):
     snapshot = shared_path(t.spark, "snapshot")
     files.write_snapshot({"labels": t["labels"]}, snapshot)
-    restored = L.restore_snapshot(t.spark, f"{snapshot}/labels", shared_path(t.spark, "restored"), ["doc_id"])
+    restored = G.restore_snapshot(t.spark, f"{snapshot}/labels", shared_path(t.spark, "restored"), ["doc_id"])
     return restored.groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
@@ -120,14 +121,57 @@ def _(t):
     return L.replace_reference(L.with_wider_key(old, ["l_partkey", "l_suppkey"]), shared_path(t.spark, "rebuilt"))
 
 
-@query("k17_merge_table", "SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'restated' ELSE o_orderstatus END AS order_status FROM orders")
-def _(t):
+def _window_merged(t):
+    """Orders, of which a late window restates some months and adds others, three times."""
     path, rows = shared_path(t.spark, "merged"), t["orders"].select("o_orderkey", F.col("o_orderstatus").alias("order_status"), "o_orderdate")
-    L.merge_table(t.spark, rows.where(F.col("o_orderdate") < F.lit("1998-06-01").cast("timestamp_ntz")), path, ["o_orderkey"])
+    G.merge_table(t.spark, rows.where(F.col("o_orderdate") < F.lit("1998-06-01").cast("timestamp_ntz")), path, ["o_orderkey"], at="o_orderdate")
     late = L.window_of(rows, "o_orderdate", "1998-01-01 00:00:00").withColumn("order_status", F.lit("restated"))
-    for _ in range(2):  # a rerun changes nothing
-        L.merge_table(t.spark, late, path, ["o_orderkey"])
-    return L.merge_state(t.spark, path).select("o_orderkey", "order_status")
+    for _ in range(3):  # reruns change nothing
+        G.merge_table(t.spark, late, path, ["o_orderkey"])
+    return path
+
+
+@query("k17_merge_table", "SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'restated' ELSE o_orderstatus END AS order_status FROM orders")
+def _(t):
+    return G.merge_state(t.spark, _window_merged(t)).select("o_orderkey", "order_status")
+
+
+@query("k17_months_rewritten", "SELECT strftime(o_orderdate, 'm%Y-%m') AS part, count(*) AS n, o_orderdate >= TIMESTAMP '1998-01-01' AS is_rewritten FROM orders GROUP BY 1, 3")
+def _(t):
+    path = _window_merged(t)
+    first = G.partitions(t.spark, path, 1).select("part", F.col("run").alias("_run"))
+    return G.partitions(t.spark, path).join(first, "part", "left").select("part", "n", (~F.col("run").eqNullSafe(F.col("_run"))).alias("is_rewritten"))
+
+
+@query("k17_moved_keys", "SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 1000 = 1 THEN o_orderdate + INTERVAL 3 MONTH ELSE o_orderdate END, '%Y-%m') AS month FROM orders")
+def _(t):
+    path, rows = shared_path(t.spark, "moved"), t["orders"].select("o_orderkey", "o_orderdate")
+    G.merge_table(t.spark, rows, path, ["o_orderkey"], at="o_orderdate")
+    later = rows.where("o_orderkey % 1000 = 1").withColumn("o_orderdate", F.col("o_orderdate") + F.expr("interval 3 month"))
+    G.merge_table(t.spark, later, path, ["o_orderkey"])
+    return G.merge_state(t.spark, path).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+
+
+ODD_BATCH = "SELECT CASE WHEN doc_id % 5 > 0 THEN doc_id // 2 END AS doc_id, n_chars AS value, doc_id AS version FROM documents"
+
+
+def _odd_batch(t):
+    """Versions of documents under keys of which one is null and many are repeated."""
+    return t["documents"].select(F.when(F.col("doc_id") % 5 > 0, F.expr("doc_id div 2")).alias("doc_id"), F.col("n_chars").alias("value"), F.col("doc_id").alias("version"))
+
+
+@query("k07_upsert_odd_keys", f"WITH b AS ({ODD_BATCH}), n AS (SELECT doc_id, arg_max(value, version) AS value, max(version) AS version FROM b GROUP BY doc_id) SELECT * FROM n UNION ALL SELECT doc_id, quality, -1 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM n WHERE doc_id IS NOT NULL)")
+def _(t):
+    path = shared_path(t.spark, "upserted")
+    G.merge_table(t.spark, t["labels"].select("doc_id", F.col("quality").cast("long").alias("value"), F.lit(-1).cast("long").alias("version")), path, ["doc_id"])
+    for _ in range(3):  # reruns change nothing
+        G.merge_table(t.spark, _odd_batch(t).withColumn("value", F.col("value").cast("long")), path, ["doc_id"], order=["version"])
+    return G.merge_state(t.spark, path)
+
+
+@query("k07_conflicts", f"SELECT doc_id, count(*) AS n, count(*) AS n_different FROM ({ODD_BATCH}) GROUP BY doc_id HAVING count(*) > 1")
+def _(t):
+    return L.conflicts(_odd_batch(t), ["doc_id"])
 
 
 @query("p19_optional_filter", "SELECT 'all' AS asked, count(*) AS n FROM documents WHERE NULL IS NULL UNION ALL SELECT 'without src1', count(*) FROM documents WHERE source <> 'src1'")
