@@ -121,8 +121,8 @@ def test_more_queries_than_are_broadcast(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, v array<float>")
     top = lambda: sorted(map(tuple, ranking.vector_topk(df, df.where("id % 3 = 0"), 4, id_col="id", vector_col="v").collect()))
     whole = top()
-    monkeypatch.setattr(ranking, "MAX_QUERIES", 7)
-    monkeypatch.setattr(ranking, "BLOCK_VECTORS", 25)
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ranking, "VECTOR_BLOCK", 25)
     assert top() == whole and len(whole) == 39 * 4
 
 
@@ -137,10 +137,15 @@ def test_quarantine_reasons(spark):
     assert got == [(1, 1, ""), (1, 1, "duplicate"), (1, 2, "unknown_aspect"), (1, 3, "bad_sentiment"), (1, 4, "bad_severity"), (1, 5, "missing"), (1, 9, "out_of_range"), (2, 1, "unparseable")]
 
 
-def test_same_results():
-    assert evaluation.same_results([(1, "a"), (2.0, "b")], [(2, "b"), (1.0000000001, "a")])
-    assert not evaluation.same_results([(1,), (2,)], [(2,), (1,)], ordered=True)
-    assert not evaluation.same_results([(1,)], [(1,), (1,)])
+def test_same_results(spark):
+    frame = lambda rows, names="k, v": spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names.split(", "), ("double", "string"))))
+    same = lambda df: df.first().is_same
+    a = frame([(1.0, "a"), (2.0, "b"), (None, None)])
+    assert same(evaluation.compared(a, frame([(None, None), (2.0, "b"), (1.0000000001, "a")], "x, y")))
+    assert not same(evaluation.compared(a, frame([(None, "null"), (2.0, "b"), (1.0, "a")])))
+    assert not same(evaluation.compared(frame([(1.0, "a")]), frame([(1.0, "a"), (1.0, "a")]))) and same(evaluation.compared(a.where("false"), a.where("false")))
+    one, two = frame([(1.0, "a"), (2.0, "b")]), frame([(2.0, "b"), (1.0, "a")])
+    assert same(evaluation.compared_in_order(one, two, [F.asc("k")], [F.asc("k")])) and not same(evaluation.compared_in_order(one, two, [F.asc("k")], [F.desc("k")]))
 
 
 def test_models_stop_at_a_failed_check(spark):

@@ -12,6 +12,15 @@ def hashed(rows: DataFrame, text_col: str, version: str, model: str) -> DataFram
     return rows.withColumn("content_hash", content_hash(F.col(text_col), version, model))
 
 
+def mapped(rows: DataFrame, cached: DataFrame, id_col: str) -> DataFrame:
+    """``id_col``, ``content_hash``, ``is_cached``: a row for every text in scope, those too whose content has its result already.
+
+    Results are joined through it, so a text that costs nothing still has to point at one.
+    """
+    known = cached.select("content_hash").distinct().withColumn("_known", F.lit(True))
+    return rows.select(id_col, "content_hash").join(known, "content_hash", "left").select(id_col, "content_hash", F.col("_known").isNotNull().alias("is_cached"))
+
+
 def todo(rows: DataFrame, cached: DataFrame, text_col: str) -> DataFrame:
     """Each content not yet cached, once."""
     return rows.groupBy("content_hash").agg(F.min(text_col).alias(text_col)).join(cached.select("content_hash").distinct(), "content_hash", "left_anti")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import f_measure, jaccard, ratio_or, wilson
+from .ranking import global_row_number
 
 
 def confusion(rows: DataFrame, label: str, truth: str, guess: str) -> DataFrame:
@@ -53,18 +54,29 @@ def set_agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if(same).alias("exact"), F.round(F.avg(jaccard(F.col(a), F.col(b))), 6).alias("mean_jaccard"))
 
 
-def same_results(a: Sequence[Sequence], b: Sequence[Sequence], *, ordered: bool = False, tolerance: float = 1e-6) -> bool:
-    """Whether two small results hold equal values, whatever their columns are called."""
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
+    """``row``: all values of a row in its columns' order as text, numbers rounded to ``digits`` places."""
 
-    def key(row: Sequence) -> list[str]:
-        return [f"{x:.4f}" if isinstance(x, float) else str(x) for x in row]
+    def text(field: T.StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.IntegralType, T.DecimalType, T.FractionalType)):
+            number = c.cast("double")
+            c = F.when(F.isnan(number), F.lit("NaN")).otherwise((F.round(number, digits) + F.lit(0.0)).cast("string"))
+        return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
-    def equal(x, y) -> bool:
-        if isinstance(x, (int, float)) and isinstance(y, (int, float)) and not isinstance(x, bool) and not isinstance(y, bool):
-            return math.isclose(x, y, rel_tol=tolerance, abs_tol=tolerance)
-        return x == y
+    return df.select(F.to_json(F.array(*map(text, df.schema.fields))).alias("row"))
 
-    if len(a) != len(b):
-        return False
-    pairs = zip(a, b) if ordered else zip(sorted(a, key=key), sorted(b, key=key))
-    return all(len(x) == len(y) and all(map(equal, x, y)) for x, y in pairs)
+
+def compared(a: DataFrame, b: DataFrame, *, digits: int = 6) -> DataFrame:
+    """One row: ``n_a``, ``n_b`` and ``is_same``, whether two results of any size hold equal rows equally often, whatever their columns are called.
+
+    Rows are counted where they are; only counts of equal rows are joined.
+    """
+    sides = [_rounded(df, digits).groupBy("row").agg(F.count("*").alias(n)) for df, n in ((a, "_a"), (b, "_b"))]
+    both = sides[0].join(sides[1], "row", "full").select(F.coalesce("_a", F.lit(0)).alias("_a"), F.coalesce("_b", F.lit(0)).alias("_b"))
+    return both.agg(F.coalesce(F.sum("_a"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("_b"), F.lit(0)).alias("n_b"), (F.count_if(F.col("_a") != F.col("_b")) == 0).alias("is_same"))
+
+
+def compared_in_order(a: DataFrame, b: DataFrame, order_a: Sequence[Column], order_b: Sequence[Column], *, digits: int = 6) -> DataFrame:
+    """The same where order counts: rows are numbered, by ranges, and their numbers are compared with them."""
+    return compared(global_row_number(a, order_a, "_at"), global_row_number(b, order_b, "_at"), digits=digits)

@@ -1,13 +1,15 @@
-"""Global ranks, quantile groups, top-k and sampling without a single-task sort."""
+"""Global ranks, quantile groups, batches and vector search without a single-task sort."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dot, l2_norm
+from ..functions import l2_norm
 from ..session import written
 
 
@@ -34,51 +36,68 @@ def global_ntile(df: DataFrame, n: int, order: Sequence[Column], name: str) -> D
     return global_row_number(df, order, "_position").withColumn(name, tile.cast("long")).drop("_position")
 
 
+#: Queries and vectors of a block.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 16_384
+#: Products that are added up at a time, so that they stay in a processor's cache.
+TILE = 512
+
+
+def _block_topk(v: pa.Table, q: pa.Table, k: int) -> pa.Table:
+    """The ``k`` most similar vectors of a block for each query of a block, ties to the smaller id.
+
+    Products are added in the order of the components, so equal vectors have equal scores wherever they are.
+    """
+    v = v.sort_by("vec_id")
+    vectors, queries = (np.stack(t.column("x").to_numpy()) if t.num_rows else np.zeros((0, 0)) for t in (v, q))
+    ids, norms = v.column("vec_id").to_numpy(), v.column("norm").to_numpy()
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(queries), TILE):
+        some, own = queries[at : at + TILE], q.column("norm").to_numpy()[at : at + TILE]
+        scores = np.empty((len(some), len(vectors)))
+        for low in range(0, len(vectors), TILE):
+            block, total = vectors[low : low + TILE], np.zeros((len(some), len(vectors[low : low + TILE])))
+            for d in range(block.shape[1]):
+                total += np.multiply.outer(some[:, d], block[:, d])
+            scores[:, low : low + TILE] = total / np.multiply.outer(own, norms[low : low + TILE])
+        for name, row in zip(q.column("query_id").to_numpy()[at : at + TILE], scores):
+            row[(ids == name) | ~np.isfinite(row)] = -np.inf
+            least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+            near = np.flatnonzero(row >= least)
+            near = near[np.isfinite(row[near])]
+            near = near[np.argsort(-row[near], kind="stable")][:k]  # ids ascend
+            out.append((np.full(len(near), name), ids[near], row[near]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col: str) -> DataFrame:
-    """The ``k`` most similar other vectors of each query, by cosine, ties to the smaller id.
+    """The ``k`` most similar other vectors of each query, by cosine, ties to the smaller id; vectors are of one size.
 
-    At most ``MAX_QUERIES`` queries are broadcast against all vectors, and each
-    partition's candidates are cut to k for each query by a partial aggregate before
-    anything is shuffled.  More are dealt in blocks of about that many, vectors in
-    blocks of about ``BLOCK_VECTORS``, and each block of one meets each of the other.
+    Queries and vectors are dealt in bounded blocks by a hash of their ids, and each block of one meets each of the other in a
+    group of its own, where all products of the two are taken as arrays.  A group keeps k vectors for each query, and groups'
+    answers are merged by rank; nothing is broadcast.  Vectors that are null or zero take no part.
     """
-    # norms once a row: only the product is left for each pair
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("_q"), l2_norm(F.col(vector_col)).alias("_qn"))
-    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("_v"), l2_norm(F.col(vector_col)).alias("_vn"))
-    n = queries.count()
-    if n <= MAX_QUERIES:
-        pairs = v.crossJoin(F.broadcast(q))
-    else:
-        across, down = -(-n // MAX_QUERIES), max(1, -(-vectors.count() // BLOCK_VECTORS))
-        block = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-        every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        q = q.withColumn("_across", block("query_id", across)).withColumn("_down", every(down))
-        v = v.withColumn("_down", block("vec_id", down)).withColumn("_across", every(across))
-        pairs = v.hint("shuffle_hash").join(q, ["_across", "_down"])
-    score = F.try_divide(dot(F.col("_v"), F.col("_q")), F.col("_vn") * F.col("_qn"))
-    scored = pairs.where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score")).where("score is not null")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        x = F.col(vector_col).cast("array<double>")
+        rows = df.select(F.col(id_col).cast("long").alias(name), x.alias("x"), l2_norm(F.col(vector_col)).alias("norm"))
+        return rows.where(F.col("x").isNotNull() & ~F.exists("x", lambda e: e.isNull()) & (F.col("norm") > 0))
+
+    q, v = side(queries, "query_id"), side(vectors, "vec_id")
+    across, down = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_BLOCK))
+    block = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    q = q.withColumn("_across", block("query_id", across)).withColumn("_down", every(down))
+    v = v.withColumn("_down", block("vec_id", down)).withColumn("_across", every(across))
+    names = ("_across", "_down")
+    scored = v.groupBy(*names).cogroup(q.groupBy(*names)).applyInArrow(lambda a, b: _block_topk(a, b, k), "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", best.cast("long")).where(F.col("rank") <= k)
 
 
-MAX_QUERIES = 1000
-BLOCK_VECTORS = 10_000
-
-
 def batched(df: DataFrame, size: int, group: str, order: str, name: str = "batch") -> DataFrame:
     """``df`` with the number, from 0, of each row's batch of ``size`` inside its group; a group of any size is numbered by ranges."""
     placed = global_row_number(df, [F.asc(group), F.asc(order)], "_place")
     first = placed.groupBy(group).agg(F.min("_place").alias("_first"))
     joined = placed.join(first, placed[group].eqNullSafe(first[group])).drop(first[group])
     return joined.withColumn(name, F.floor((F.col("_place") - F.col("_first")) / size)).drop("_place", "_first")
-
-
-def seeded_sample(df: DataFrame, n: int, id_col: str, seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement, the same ones on every run."""
-    return df.orderBy(F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed)))), id_col).limit(n)
-
-
-def stratified_sample(df: DataFrame, per_stratum: int, stratum: str, id_col: str, seed: int = 0) -> DataFrame:
-    """``per_stratum`` rows of every stratum, chosen as by ``seeded_sample``."""
-    h = F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed))))
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(h, id_col))).where(F.col("_r") <= per_stratum).drop("_r")

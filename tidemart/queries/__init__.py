@@ -1,6 +1,6 @@
 """Registered queries: name, DataFrame, and equivalent SQL where there is one."""
 
-from . import aggregates, joins, marts, operations, pipelines, projections, vectors
+from . import aggregates, joins, keeping, marts, operations, pipelines, projections, vectors
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "joins", "marts", "operations", "pipelines", "projections", "vectors"]
+__all__ = ["QUERIES", "SQL", "aggregates", "joins", "keeping", "marts", "operations", "pipelines", "projections", "vectors"]

@@ -3,7 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import batched, seeded_sample, stratified_sample
+from ..operators.ranking import batched
+from ..operators.sampling import seeded_sample, stratified_sample
 from ..operators.segments import complete_grid
 from .registry import query
 

@@ -10,7 +10,7 @@ from ..functions import fingerprint, human_bytes, qualified_name, strip_fences
 from ..operators import enrichment as E
 from ..operators import loading as L
 from ..operators import merging as G
-from ..operators.evaluation import fitted_total, overall, same_results
+from ..operators.evaluation import compared, compared_in_order, fitted_total, overall
 from ..operators.joining import excluding, suffixed_join
 from ..operators.windows import plan
 from ..plans import guard
@@ -282,11 +282,23 @@ def _(t):
 
 @query("m25_same_results", "SELECT 'other names' AS compared, count(DISTINCT o_orderstatus) AS n, true AS is_same FROM orders UNION ALL SELECT 'one row less', count(DISTINCT o_orderstatus), false FROM orders UNION ALL SELECT 'other order', count(DISTINCT o_orderstatus), count(DISTINCT o_orderstatus) < 2 FROM orders")
 def _(t):
-    by_status = t["orders"].groupBy("o_orderstatus")  # as many rows as there are statuses
-    given = [tuple(r) for r in by_status.agg(F.count("*"), F.avg("o_totalprice")).orderBy("o_orderstatus").collect()]
-    other = [tuple(r) for r in by_status.agg(F.count("o_orderkey").alias("k"), (F.sum("o_totalprice") / F.count("*")).alias("v")).orderBy(F.desc("o_orderstatus")).collect()]
-    found = [("other names", len(given), same_results(given, other)), ("one row less", len(given), same_results(given, other[1:])), ("other order", len(given), same_results(given, other, ordered=True))]
-    return t.spark.createDataFrame(found, "compared string, n long, is_same boolean")
+    by_status = t["orders"].groupBy("o_orderstatus")
+    given = by_status.agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean"))
+    other = by_status.agg(F.count("o_orderkey").alias("k"), (F.sum("o_totalprice") / F.count("*")).alias("v"))
+    less = other.join(other.agg(F.max("o_orderstatus").alias("_last")), F.col("o_orderstatus") == F.col("_last"), "left_anti")
+    found = {"other names": compared(given, other), "one row less": compared(given, less), "other order": compared_in_order(given, other, [F.asc("o_orderstatus")], [F.desc("o_orderstatus")])}
+    return _all([df.select(F.lit(name).alias("compared"), F.col("n_a").alias("n"), "is_same") for name, df in found.items()])
+
+
+@query("m25_same_rows", "SELECT 'other names' AS compared, count(*) AS n_a, count(*) AS n_b, true AS is_same FROM orders UNION ALL SELECT 'some rows less', count(*), count(*) FILTER (o_orderkey % 10 > 0), count(*) FILTER (o_orderkey % 10 = 0) = 0 FROM orders UNION ALL SELECT 'same order', count(*), count(*), true FROM orders UNION ALL SELECT 'other order', count(*), count(*), count(*) < 2 FROM orders")
+def _(t):
+    a = t["orders"].select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price"))
+    other = a.toDF("k", "status", "p").withColumn("p", F.col("p") + 1e-9)
+    found = {
+        "other names": compared(a, other), "some rows less": compared(a, other.where("k % 10 > 0")),
+        "same order": compared_in_order(a, other, [F.asc("o_orderkey")], [F.asc("k")]), "other order": compared_in_order(a, other, [F.asc("o_orderkey")], [F.desc("k")]),
+    }
+    return _all([df.select(F.lit(name).alias("compared"), "n_a", "n_b", "is_same") for name, df in found.items()])
 
 
 STATEMENTS = [
