@@ -73,7 +73,7 @@ def covering(rows: DataFrame, deficits: Mapping[str, int], id_col: str, labels:
         able = pool.where(have == gain)
         if passed is not None:  # what comes before has been looked at with this gain
             able = able.where((F.col("h") > passed[0]) | (F.col("h") == passed[0]) & (F.col("id") > passed[1]))
-        elif picked:
+        if picked:
             able = able.join(F.broadcast(pool.sparkSession.createDataFrame([(i,) for i in picked], pool.select("id").schema)), "id", "left_anti")
         closed = False
         for row in able.orderBy("h", "id").limit(wanted).collect():  # at most the sum of the deficits
