@@ -13,6 +13,16 @@ from ..functions import l2_norm
 from ..session import written
 
 
+def _placed(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with row numbers and, as ``_total``, the number of rows."""
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_range", before.alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, (own + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """Row numbers over the whole table.
 
@@ -20,20 +30,15 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "posit
     by the sizes of the ranges before; only those sizes (one for each partition)
     meet in one task.  ``order`` must be total for a repeatable result.
     """
-    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_range", before.alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, (own + F.col("_before")).cast("long")).drop("_range", "_before")
+    return _placed(df, order, name).drop("_total")
 
 
 def global_ntile(df: DataFrame, n: int, order: Sequence[Column], name: str) -> DataFrame:
     """``ntile(n)`` over the whole table: the first ``rows % n`` groups get one row more."""
-    small, rest = divmod(df.count(), n)
+    small, rest = F.floor(F.col("_total") / n), F.col("_total") % n
     at = F.col("_position") - 1
-    tile = F.when(at < rest * (small + 1), F.floor(at / (small + 1))).otherwise(rest + F.floor((at - rest * (small + 1)) / max(small, 1))) + 1
-    return global_row_number(df, order, "_position").withColumn(name, tile.cast("long")).drop("_position")
+    tile = F.when(at < rest * (small + 1), F.floor(at / (small + 1))).otherwise(rest + F.floor((at - rest * (small + 1)) / F.greatest(small, F.lit(1)))) + 1
+    return _placed(df, order, "_position").withColumn(name, tile.cast("long")).drop("_position", "_total")
 
 
 #: Queries and vectors of a block.

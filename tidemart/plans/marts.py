@@ -56,15 +56,19 @@ def dim_suppliers(t: Tables) -> DataFrame:
     return joined.select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier_name"), F.coalesce("n_name", F.lit("unknown")).alias("nation"), (F.col("s_name") != normalize_text(F.col("s_name"))).alias("name_was_normalized"))
 
 
-def set_size(column: str) -> Column:
-    """Distinct values in a group that is small, as an order's lines are: one pass, no copy of the rows for each column."""
-    return F.size(F.collect_set(column)).cast("long")
-
-
 def order_economics(t: Tables) -> DataFrame:
-    return stg_lines(t).groupBy("order_id").agg(
-        F.count("*").alias("item_count"), set_size("supplier_id").alias("seller_count"), set_size("part_id").alias("product_count"), F.sum("price").alias("items_value"), F.sum("quantity").alias("units"), F.max("shipped_at").alias("last_shipped_at")
+    """Sums of an order's lines, and how many suppliers and parts they have.
+
+    Lines are dealt by order once.  Sums are taken by order and supplier first, and parts counted by order and part, so all
+    aggregations are plain hash ones over rows that stay where they are.
+    """
+    lines = stg_lines(t).select("order_id", "part_id", "supplier_id", "price", "quantity", "shipped_at").repartition("order_id")
+    by_supplier = lines.groupBy("order_id", "supplier_id").agg(F.count("*").alias("_n"), F.sum("price").alias("_price"), F.sum("quantity").alias("_quantity"), F.max("shipped_at").alias("_shipped"))
+    sums = by_supplier.groupBy("order_id").agg(
+        F.sum("_n").alias("item_count"), F.count("supplier_id").alias("seller_count"), F.sum("_price").cast("decimal(38,6)").alias("items_value"), F.sum("_quantity").cast("decimal(38,6)").alias("units"), F.max("_shipped").alias("last_shipped_at")
     )
+    parts = lines.groupBy("order_id", "part_id").agg(F.lit(1).alias("_one")).groupBy("order_id").agg(F.count("part_id").alias("product_count"))
+    return sums.join(parts.hint("shuffle_hash"), "order_id")
 
 
 def fct_orders(t: Tables, customers: DataFrame | None = None) -> DataFrame:
@@ -101,10 +105,11 @@ def fct_segment_aspect(t: Tables) -> DataFrame:
     owned = stg_orders(t).select("order_id", "customer_id").join(people, "customer_id").join(seen, "order_id", "left")
     whole = F.array(F.struct(F.lit(None).cast("string").alias("aspect"), F.lit(None).cast("long").alias("lines")))
     rows = owned.select("rfm_segment", F.col("seen").isNotNull().alias("reviewed"), F.explode(F.concat(whole, F.coalesce("seen", F.array().cast("array<struct<aspect:string,lines:bigint>>")))).alias("x"))
-    counted = rows.groupBy("rfm_segment", "x.aspect").agg(F.count("*").alias("orders"), F.count_if("reviewed").alias("reviewed"), F.sum("x.lines").alias("lines"))
+    rows = rows.select("rfm_segment", "x.aspect", "x.lines", "reviewed", F.lit(0).alias("customer"))
+    rows = rows.unionByName(people.select("rfm_segment", F.lit(1).alias("customer")), allowMissingColumns=True)  # a customer is a row of the segment's totals
+    counted = rows.groupBy("rfm_segment", "aspect").agg(F.count_if(F.col("customer") == 0).alias("orders"), F.count_if("reviewed").alias("reviewed"), F.sum("lines").alias("lines"), F.sum("customer").alias("customers_in_segment"))
     counted = written(counted, "segment-aspects")
-    customers = written(people.groupBy("rfm_segment").agg(F.count("*").alias("customers_in_segment")), "segment-sizes")
-    totals = counted.where("aspect is null").join(F.broadcast(customers), "rfm_segment").select("rfm_segment", "customers_in_segment", F.col("orders").alias("orders_in_segment"), F.col("reviewed").alias("orders_with_review_text"))
+    totals = counted.where("aspect is null").select("rfm_segment", "customers_in_segment", F.col("orders").alias("orders_in_segment"), F.col("reviewed").alias("orders_with_review_text"))
     mentions = counted.where("aspect is not null").select("rfm_segment", "aspect", F.col("orders").alias("m"), F.col("lines").alias("l"))
     full = segments.complete_grid(totals, taxonomy(t)).join(F.broadcast(mentions), ["rfm_segment", "aspect"], "left")
     m = F.coalesce("m", F.lit(0))
