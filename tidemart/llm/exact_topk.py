@@ -66,10 +66,17 @@ def _without_self(ids: np.ndarray, x: np.ndarray, sample_ids: np.ndarray, sample
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer vectors."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**53:
+    """Exact inner products of integer vectors; one that needs more than 64 bits is refused."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    if most < 2**53:
         return (q @ x.T).astype(np.int64)
-    return q.astype(np.int64) @ x.astype(np.int64).T
+    if most < 2**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    whole = lambda a: np.array([[int(v) for v in row] for row in a.tolist()], dtype=object)
+    exact = whole(q) @ whole(x).T
+    if exact.size and (exact.max() >= 2**63 or exact.min() <= -(2**63)):
+        raise ValueError("a score needs more than 64 bits")
+    return exact.astype(np.int64)
 
 
 def _limits(x: np.ndarray, centre: np.ndarray, radius: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -104,7 +111,8 @@ def search(table: DataFrame, is_query: Column, params: Params | None = None, *,
     p = params or Params()
     spark = table.sparkSession
     rows, total, _ = valid_rows(table, id_col, vector_col, zero=True)
-    rows = rows.select("vec_id", F.transform("vector", lambda x: F.floor(x * F.lit(p.scale)).cast("double")).alias("vector"))
+    whole = lambda x: F.when(F.abs(x * F.lit(p.scale)) < F.lit(2.0**63), F.floor(x * F.lit(p.scale)).cast("double")).otherwise(F.raise_error(F.lit("a component needs more than 64 bits")).cast("double"))
+    rows = rows.select("vec_id", F.transform("vector", whole).alias("vector"))
     queries = materialize(one_row_each(rows.where(is_query)), "queries") if total else rows
     asked = queries.count() if total else 0
     if not asked:
