@@ -16,7 +16,7 @@ from line to line and checked against what the record states.
 
 Edge cases: a null html is the empty payload; a null url leaves its header out; a
 null page id is written as ``none`` and may be a revisit, but nothing refers to
-it; rows repeated with one page id are records of their own, and equal ones are
+it; record ids are those of pages with the number of the row, so none is there twice; rows repeated with one page id are records of their own, and equal ones are
 all responses; control characters in a url are percent-encoded; an empty table
 gives archives without records and an empty result; other columns are ignored.
 A damaged record raises ValueError.
@@ -88,21 +88,23 @@ def chunk_table(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
 
 
 def _records(chunks: DataFrame, min_revisit_bytes: int) -> DataFrame:
-    """``record``, ``whole_body``, ``whole_digest``, ``refers_to`` of every record."""
+    """``record``, ``whole_body``, ``whole_digest``, ``refers_to`` and ``refers_record`` of every record."""
     whole = materialize(chunks.where("whole").select("record", "page_id", "bytes", "body_bytes", "digest"), "records")
-    again = whole.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return looked_up(whole, again, ["digest", "bytes"]).select("record", F.col("body_bytes").alias("whole_body"), F.col("digest").alias("whole_digest"), refers.alias("refers_to"))
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record"))
+    again = whole.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest", "bytes").agg(F.min(named).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    refers = [F.when(revisits, F.col("first.page_id")).alias("refers_to"), F.when(revisits, F.col("first.record")).alias("refers_record")]
+    return looked_up(whole, again, ["digest", "bytes"]).select("record", F.col("body_bytes").alias("whole_body"), F.col("digest").alias("whole_digest"), *refers)
 
 
-def _head(page: int | None, url: str | None, body: int, digest: str, refers: int | None, date: str) -> str:
+def _head(record: int, page: int | None, url: str | None, body: int, digest: str, refers: int | None, refers_record: int | None, date: str) -> str:
     """All of a record before its payload, without the last line break."""
-    name = lambda p: f"<urn:page:{'none' if p is None else p}>"
+    name = lambda p, r: f"<urn:page:{'none' if p is None else p}:{r}>"
     http = HTTP if refers is None else HTTP.replace(f"Transfer-Encoding: chunked{LINE}", "")
     fields = {
         "WARC-Type": "response" if refers is None else "revisit",
-        "WARC-Record-ID": name(page),
-        "WARC-Refers-To": None if refers is None else name(refers),
+        "WARC-Record-ID": name(page, record),
+        "WARC-Refers-To": None if refers is None else name(refers, refers_record),
         "WARC-Profile": None if refers is None else PROFILE,
         "WARC-Date": date,
         "WARC-Target-URI": None if url is None else _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url),
@@ -120,9 +122,9 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 out = []
-                for record, page, url, k, data, n, whole, body, digest, refers in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                for record, page, url, k, data, n, whole, body, digest, refers, refers_record in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     if k == 0:
-                        out.append(_head(page, url, body, digest, refers, date))
+                        out.append(_head(record, page, url, body, digest, refers, refers_record, date))
                     if refers is None and n:
                         out += [f"{n:x}", data]
                     if whole:  # two line breaks end a record, two more the body of a response
@@ -131,7 +133,7 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
 
     chunks = materialize(chunk_table(pages, id_col=id_col, url_col=url_col, html_col=html_col, chunk_chars=chunk_chars), "chunks", compression="zstd")
     rows = chunks.repartition("record").join(_records(chunks, min_revisit_bytes), "record").where("refers_to is null or chunk = 0")
-    rows = rows.select("record", "page_id", "url", "chunk", "data", "data_bytes", F.col("whole") | F.col("refers_to").isNotNull(), "whole_body", "whole_digest", "refers_to")
+    rows = rows.select("record", "page_id", "url", "chunk", "data", "data_bytes", F.col("whole") | F.col("refers_to").isNotNull(), "whole_body", "whole_digest", "refers_to", "refers_record")
     rows.sortWithinPartitions("record", "chunk").mapInArrow(lines, "value string").write.option("lineSep", LINE).option("compression", "gzip").text(path)
 
 
@@ -215,7 +217,7 @@ class _Reader:
         stated = value.strip() if algorithm.lower() == "sha1" else ""
         if kind != "revisit" and stated and stated != _b32(self.digest):
             raise self._wrong("the payload isn't the one that was digested")
-        page = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", h.get(name, ""))) else None
+        page = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)(?::\d+)?>", h.get(name, ""))) else None
         self.rows.append((page("warc-record-id"), None if kind == "revisit" else self.size, stated or _b32(self.digest), kind, page("warc-refers-to")))
 
 
