@@ -23,8 +23,8 @@ again by weight until none is above.
 
 Edge cases: a null source is a source; a null or empty text has size 0 and takes
 no words; rows with equal id and text are taken together, unless there are more of
-them than a block holds (these are told apart by where they are read, so which of
-them are taken depends on how the table is cut); a null id is an id like others;
+them than a block holds (these are told apart by numbers; as they are equal, what is
+taken doesn't depend on how the table is cut); a null id is an id like others;
 sources of size 0 get target 0; an empty table gives an empty result; other
 columns are kept by ``mix`` unless called like one that it adds.
 """
@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_row_number
+from ..operators.scans import running_sums
 from .common import looked_up, materialize, scratch, without, word_count
 
 BLOCK_DOCS = 64
@@ -49,6 +50,8 @@ MAX_SHARDS = 4096
 FIT_STEPS = 1_000_000
 #: NumPy's bound on what one hypergeometric draw is made from; with more blocks than that, blocks are larger.
 MAX_BLOCKS = 900_000_000
+#: More equal rows than this are numbered in ranges.
+CROWD = 1000
 #: Blocks whose words are added up together on the way to a source's last block.
 STRIDE = 1 << 16
 
@@ -122,9 +125,15 @@ def described(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col
 
 
 def told_apart(rows: DataFrame, crowded: DataFrame) -> DataFrame:
-    """``rows`` with an ``h`` of their own where too many share one; ``at`` goes."""
-    found = rows.join(crowded.withColumn("many", F.lit(True)), ["key", "h"], "left")
-    return found.withColumn("h", F.when(F.col("many"), F.xxhash64("h", "at")).otherwise(F.col("h"))).drop("many", "at")
+    """``rows`` with an ``h`` of their own where too many share one; ``at`` goes.
+
+    These have equal ids and texts, so they are numbered in any order: however the table is cut, the same hashes are given.
+    """
+    if crowded.isEmpty():
+        return rows.drop("at")
+    many = materialize(rows.join(crowded, ["key", "h"], "left_semi").withColumn("_one", F.lit(1)), "crowded-rows", keep=True)
+    numbered = running_sums(many, ["key", "h"], ["at"], {"_number": "_one"}, CROWD).withColumn("h", F.xxhash64("h", "_number"))
+    return rows.join(crowded, ["key", "h"], "left_anti").drop("at").unionByName(numbered.drop("at", "_one", "_number"))
 
 
 def _block(h: Column, blocks: Column) -> Column:
