@@ -9,8 +9,9 @@ the start of a line) are taken off first, and a line with nothing else is blank.
 The identifiers left, in order, are matched against rules, longest sequences
 first: a rule takes every place where its identifiers stand side by side, with at
 most ``words_between`` other words between two of them, and those are then gone for
-later rules.  DataFrame functions only.  Sentences and rules are a parameter
-(``RuleTable``, some hundreds of each); ``PUBLIC`` holds common public licenses.
+later rules.  A star in a sentence stands for up to ``SLOT_WORDS`` words, such as a holder's name.  DataFrame functions only.
+Sentences and rules are a parameter (``RuleTable``, some hundreds of each); ``PUBLIC`` holds common public licenses: their
+texts, notices, mentions, dated titles, and tags in files' heads.
 
 Edge cases: a null or empty text has no license; a sentence repeated counts each
 time; equal rows give equal results each; null ids stay null; an empty table
@@ -39,6 +40,8 @@ SENTENCES = {
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd_endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd_endorse_any": "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd_endorse_name": "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd_named": "licensed under the bsd license",
     "apache_named": "licensed under the apache license version 2 0",
     "apache_notice": "licensed under the apache license version 2 0 the license",
@@ -68,10 +71,30 @@ SENTENCES = {
     "cc0_named": "this work is dedicated to the public domain under a cc0 license",
     "unlicense_grant": "this is free and unencumbered software released into the public domain",
     "reserved": "all rights reserved",
+    "spdx": "spdx license identifier",
+    "mit_project": "this project is licensed under the mit license *",
+    "mit_short": "licensed under the mit license see *",
+    "apache_title": "apache license",
+    "apache_date": "version 2 0 january 2004",
+    "apache_short": "licensed under the apache 2 0 license",
+    "apache_project": "this project is licensed under the apache license *",
+    "apache_project_short": "this project is licensed under the apache 2 0 license *",
+    "gpl_title": "gnu general public license",
+    "gpl3_date": "version 3 29 june 2007",
+    "gpl2_date": "version 2 june 1991",
+    "lgpl_title": "gnu lesser general public license",
+    "agpl_title": "gnu affero general public license",
+    "agpl3_date": "version 3 19 november 2007",
+    "mpl_title": "mozilla public license version 2 0",
+    "boost_title": "boost software license version 1 0 august 17th 2003",
 }
+#: License identifiers that a tag in a file's head may name.
+TAGS = ["MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "BSL-1.0", "Unlicense", "WTFPL", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CDDL-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Artistic-2.0", "PostgreSQL", "Python-2.0"]
 #: License, then the sentence identifiers that must stand side by side; earlier rules win.
 RULES = [
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"]),
+    ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse_any"]),
+    ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse_name"]),
     ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
     ("MIT", ["mit_grant", "mit_notice", "as_is"]),
     ("Apache-2.0", ["apache_notice", "apache_comply", "apache_obtain"]),
@@ -110,9 +133,21 @@ RULES = [
     ("CC-BY-4.0", ["ccby_long"]),
     ("CC0-1.0", ["cc0_named"]),
     ("Unlicense", ["unlicense_grant"]),
+    ("GPL-3.0-only", ["gpl_title", "gpl3_date"]),
+    ("GPL-2.0-only", ["gpl_title", "gpl2_date"]),
+    ("LGPL-3.0-only", ["lgpl_title", "gpl3_date"]),
+    ("AGPL-3.0-only", ["agpl_title", "agpl3_date"]),
+    ("Apache-2.0", ["apache_title", "apache_date"]),
+    ("MIT", ["mit_project"]),
+    ("MIT", ["mit_short"]),
+    ("Apache-2.0", ["apache_short"]),
+    ("Apache-2.0", ["apache_project_short"]),
+    ("Apache-2.0", ["apache_project"]),
+    ("MPL-2.0", ["mpl_title"]),
+    ("BSL-1.0", ["boost_title"]),
     ("All-Rights-Reserved", ["reserved"]),
 ]
-#: Each known sentence holds one of these, so texts without any need no cutting.
+#: A sentence of each rule holds one of these, so texts without any need no cutting.
 HINT = r"[Ll][Ii][Cc][Ee][Nn][Ss]|[Pp][Ee][Rr][Mm][Ii][Ss][Ss][Ii][Oo][Nn]|[Nn][Oo][Tt][Ii][Cc][Ee]|[Ww][Aa][Rr][Rr][Aa][Nn][Tt]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr][Ii][Bb]|[Ee][Nn][Dd][Oo][Rr][Ss][Ee]|[Uu][Nn][Ee][Nn][Cc][Uu][Mm][Bb][Ee][Rr]|[Rr][Ii][Gg][Hh][Tt][Ss]"
 #: For the SQL, which takes each line for itself: equal where every known sentence stands on one line.
 SENTENCE_END = r"[.!?;:][\x20\x09-\x0D]+|[\x0A\x0D]{2,}|[.!?;:]$|\x0A"
@@ -123,10 +158,18 @@ MARKS = [(r"\r\n?", "\n"), (r"(^|\n)[^a-z0-9\n]++", "$1"), (r"[.!?;:](?:[\x20\x0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: What the star of a sentence stands for: so many words, a holder's name for one; at a sentence's end there may be none.
+SLOT_WORDS = 12
+
+
 def _tag(name: str) -> str:
     return f"<{name}>"
 
 
+def normalised(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
 def marked(text: Column) -> Column:
     """``text`` normalised, with marks where sentences and lines end."""
     out = F.translate(text, UPPER, LOWER)
@@ -137,9 +180,9 @@ def marked(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class RuleTable:
-    """``sentences`` by identifier, normalised; ``rules`` in order; ``inner_ends``: the words before an end inside a sentence.
+    """``sentences`` by identifier, normalised, with a star for words that differ; ``rules`` in order; ``inner_ends``: the words before an end inside a sentence.
 
-    Each sentence has to match ``hint``, if there is one, so that texts without it need no cutting.
+    Each rule needs a sentence that matches ``hint``, if there is one, so texts without it need no cutting.
     """
 
     sentences: Mapping[str, str]
@@ -152,7 +195,19 @@ class RuleTable:
         sentence, inner = self.sentences[name], self.inner_ends.get(name)
         if inner:
             sentence = sentence.replace(f"{inner} ", f"{inner}[ LE]")
-        return re.sub(r" (?!LE\])", "[ L]", sentence)
+        return self._starred(re.sub(r" (?!LE\])", "[ L]", sentence), "[ L]")
+
+    @staticmethod
+    def _starred(sentence: str, space: str) -> str:
+        """``sentence`` with its stars as patterns."""
+        word = f"(?:{space}[a-z0-9]+)"
+        inside, end = f"{word}{{1,{SLOT_WORDS}}}?{space}", f"{word}{{0,{SLOT_WORDS}}}"
+        return sentence.replace(f"{space}*{space}", inside).replace(f"{space}*", end)
+
+    @property
+    def slotted(self) -> dict[str, str]:
+        """Patterns of the sentences with a star, for texts without marks, the longest first."""
+        return {n: self._starred(self.sentences[n], " ") for n in sorted(self.sentences, key=lambda n: -len(self.sentences[n])) if "*" in self.sentences[n]}
 
     @property
     def known(self) -> str:
@@ -161,14 +216,27 @@ class RuleTable:
         return "(?<![a-z0-9 ])(?:" + "|".join(map(self._pattern, longest)) + ")(?![a-z0-9 ])"
 
 
-PUBLIC = RuleTable(SENTENCES, RULES, INNER_ENDS, HINT)
+def with_tags(tags: Sequence[str]) -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """Sentences and rules of the tags ``SPDX-License-Identifier: ...`` for these licenses."""
+    return {f"id_{normalised(t).replace(' ', '_')}": normalised(t) for t in tags}, [(t, ["spdx", f"id_{normalised(t).replace(' ', '_')}"]) for t in tags]
+
+
+_IDS, _TAG_RULES = with_tags(TAGS)
+PUBLIC = RuleTable({**SENTENCES, **_IDS}, [*RULES, *_TAG_RULES], INNER_ENDS, HINT)
 
 
 def sentence_ids(marked_text: str, table: RuleTable) -> Column:
     """The identifiers of the known sentences in that column, in order, as one string of tags, with a bar where too much stands between two."""
-    known = F.create_map(*[F.lit(x) for name, s in table.sentences.items() for x in (s, _tag(name))])
+    known = F.create_map(*[F.lit(x) for name, s in table.sentences.items() if "*" not in s for x in (s, _tag(name))])
     found, rest = F.regexp_extract_all(marked_text, F.lit(table.known), F.lit(0)), F.split(marked_text, table.known, -1)
-    tags = F.transform(found, lambda s: F.element_at(known, F.translate(s, "LE", "  ")))
+
+    def tag_of(sentence: Column) -> Column:
+        plain, slots = F.translate(sentence, "LE", "  "), F.lit(None).cast("string")
+        for name, pattern in reversed(table.slotted.items()):
+            slots = F.when(plain.rlike(f"^{pattern}$"), F.lit(_tag(name))).otherwise(slots)
+        return F.coalesce(F.try_element_at(known, plain), slots)
+
+    tags = F.transform(found, tag_of)
     barred = F.transform(F.slice(rest, 1, F.size(found)), lambda r, k: F.when((k > 0) & (F.regexp_count(r, F.lit("[a-z0-9]+")) > table.words_between), F.lit("|")).otherwise(F.lit("")))
     return F.array_join(F.zip_with(barred, tags, lambda bar, tag: F.concat(bar, tag)), "")
 
@@ -191,14 +259,16 @@ def recognise(docs: DataFrame, table: RuleTable = PUBLIC, *, id_col: str = "doc_
 
 def oracle_sql(table: RuleTable = PUBLIC) -> str:
     """The same in DuckDB SQL, for texts whose known sentences aren't wrapped."""
-    pairs = ", ".join(f"('{s}', '{_tag(n)}')" for n, s in table.sentences.items())
+    pairs = ", ".join(f"('{s}', '{_tag(n)}')" for n, s in table.sentences.items() if "*" not in s)
+    slots = "".join(f" WHEN regexp_full_match(s, '{pattern}') THEN '{_tag(n)}'" for n, pattern in table.slotted.items())
+    tag = f"CASE WHEN tag IS NOT NULL THEN tag{slots} END"
     sql = f"""WITH known(s, tag) AS (VALUES {pairs}),
 parts AS (
   SELECT rid, doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS k
   FROM (SELECT row_number() OVER () AS rid, doc_id, regexp_split_to_array(text, '{SENTENCE_END}') AS p FROM documents WHERE text IS NOT NULL)),
 named AS (
   SELECT rid, doc_id, k, tag, CASE WHEN tag IS NULL AND s <> '' THEN len(string_split(s, ' ')) ELSE 0 END AS others
-  FROM (SELECT rid, doc_id, k, trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS s FROM parts) LEFT JOIN known USING (s)),
+  FROM (SELECT rid, doc_id, k, s, {tag} AS tag FROM (SELECT rid, doc_id, k, trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS s FROM parts) LEFT JOIN known USING (s))),
 placed AS (SELECT rid, doc_id, k, tag, sum(others) OVER (PARTITION BY rid ORDER BY k) AS upto FROM named),
 barred AS (SELECT rid, doc_id, k, CASE WHEN upto - lag(upto) OVER (PARTITION BY rid ORDER BY k) > {table.words_between} THEN '|' ELSE '' END || tag AS tag FROM placed WHERE tag IS NOT NULL),
 n0 AS (SELECT rid, any_value(doc_id) AS doc_id, string_agg(tag, '' ORDER BY k) AS l0, count(*) AS known_sentences FROM barred GROUP BY rid)"""
