@@ -303,3 +303,10 @@ def test_mix_of_one_row_repeated(spark):
     by_source = mixing.report(*got).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target")).collect()
     assert all(abs(r.t - r.target) <= 3 for r in by_source)
     assert got[0].groupBy("key", "block").count().agg(F.max("count")).first()[0] < 4 * mixing.BLOCK_DOCS
+
+
+def test_crowded_rows_however_the_table_is_cut(spark):
+    rows = [(1, "a b c", "s")] * 700 + [(i, "x " * (i % 9), "s" if i % 2 else "t") for i in range(2, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = lambda d: sorted((r.doc_id, r.size, r.taken) for r in mixing.report(*mixing.plan_for(d)).collect())
+    assert taken(df.repartition(2)) == taken(df.repartition(7)) == taken(df.coalesce(1))

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import re
 
 import duckdb
 import numpy as np
@@ -297,3 +298,26 @@ def test_stages_with_odd_rows(spark, folder):
                 for c in df.columns[5:]:
                     assert after.where(F.col(c) != f"own {c}").isEmpty()
             df = after
+
+
+def test_scores_that_need_more_bits(spark):
+    big = [(i, [float(x) for x in v]) for i, v in enumerate([(1e8, 2e8), (1e8 + 0.25, -2e8), (3.0, 4.0), (-1e8, 1.0)])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        exact_topk.search(df, F.col("vec_id") == 0, exact_topk.Params(k=3)).collect()
+    whole = {i: [int(np.floor(256 * x / 64)) for x in v] for i, v in big}
+    got = {(r.query_id, r.vec_id): r.score for r in exact_topk.search(df, F.lit(True), exact_topk.Params(k=3, scale=4.0)).collect()}
+    assert got == {(a, b): sum(x * y for x, y in zip(whole[a], whole[b])) for a in whole for b in whole if a != b}
+    with pytest.raises(Exception, match="64 bits"):
+        exact_topk.search(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>"), F.lit(True), exact_topk.Params(k=1)).collect()
+
+
+def test_record_ids_are_unique(spark):
+    pages = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (None, "c", "x"), (None, "d", "y"), (3, "e", "x")], "page_id long, url string, html string")
+    path = shared_path(spark, "warc")
+    warc.write(pages, path)
+    text = "\n".join(r.value for r in spark.read.text(path).collect())
+    ids = re.findall(r"WARC-Record-ID: (\S+)", text)
+    assert len(set(ids)) == 5 and set(re.findall(r"WARC-Refers-To: (\S+)", text)) <= set(ids)
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read(spark, path).collect()), key=str)
+    assert got == sorted([(1, "response", None), (1, "response", None), (None, "revisit", 1), (None, "response", None), (3, "revisit", 1)], key=str)

@@ -126,7 +126,7 @@ class Segment:
                 break
             byte, block = places >> 3, places // RANK_BITS
             inside = block[:, None] * (RANK_BITS // 8) + np.arange(RANK_BITS // 8)
-            ones = np.where(inside < byte[:, None], np.bitwise_count(bits[np.minimum(inside, len(bits) - 1)]), 0).sum(axis=1)
+            ones = np.where(inside < byte[:, None], np.bitwise_count(bits[np.minimum(inside, len(bits) - 1)]), 0).sum(axis=1, dtype=np.int64)
             partial = np.bitwise_count(bits[byte] & ((1 << (places & 7)) - 1).astype(np.uint8))
             places = directory[block].astype(np.int64) + ones + partial
         return out
