@@ -107,7 +107,8 @@ def missing_slices(spark: SparkSession, path: str, planned: Sequence[str]) -> li
     """Planned slices without a marker."""
     if not exists(spark, path):
         return list(planned)
-    done = {str(r[0]) for r in spark.read.parquet(path).select(F.col("slice_date").cast("string")).distinct().collect()}
+    marked = spark.read.parquet(path).select(F.col("slice_date").cast("string").alias("d"))
+    done = {r.d for r in marked.where(F.col("d").isin(list(planned))).distinct().collect()}  # at most the planned ones
     return [d for d in planned if d not in done]
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 from ..operators import enrichment as E
 from ..operators import sampling, sketches
 from ..operators.merging import merge_state
+from ..operators.windows import covered
+from ..plans import guard
 from ..session import shared_path
 from ..sources import json_lines, snapshots
 from ..streaming.slices import merge_arrivals
@@ -114,3 +116,39 @@ def _(t):
         slices.write.mode("append").parquet(source)
         merge_arrivals(t.spark, source, schema, target, at, ["o_orderkey"], ["version"])
     return merge_state(t.spark, target).select("o_orderkey", "order_status")
+
+
+@query("m03_covered_windows", "SELECT 'inside' AS asked, date_diff('month', min(o_orderdate), max(o_orderdate)) + 1 AS windows, count(*) AS n FROM orders UNION ALL SELECT 'beyond', 0, 0")
+def _(t):
+    """Windows of a load end where the data end, and one that begins behind them has none."""
+    import datetime as dt
+
+    first, last = t["orders"].agg(F.to_date(F.min("o_orderdate")), F.to_date(F.max("o_orderdate"))).first()
+    asked = {"inside": (first, last + dt.timedelta(days=900)), "beyond": (last + dt.timedelta(days=1), last + dt.timedelta(days=90))}
+    planned = [(name, begins, ends) for name, (start, end) in asked.items() for begins, ends in covered(start, end, last)]
+    windows = F.broadcast(t.spark.createDataFrame(planned, "asked string, begins date, ends date"))  # one row a month
+    day = F.to_date("o_orderdate")
+    loaded = t["orders"].join(windows, (day >= F.col("begins")) & (day < F.col("ends"))).groupBy("asked").agg(F.count_distinct("begins").alias("windows"), F.count("*").alias("n"))
+    names = t.spark.createDataFrame([(name,) for name in asked], "asked string")
+    return names.join(loaded, "asked", "left").select("asked", F.coalesce("windows", F.lit(0)).alias("windows"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("o06_row_cap", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7")
+def _(t):
+    t["orders"].createOrReplaceTempView("capped_orders")
+    return guard.guarded(t.spark, "select o_orderkey from capped_orders order by o_orderkey limit 1000", {"capped_orders"}, max_rows=7)
+
+
+@query("m23_budget", "SELECT k, k > 3 AS is_refused, CASE WHEN k <= 3 THEN (SELECT count(*) FROM orders WHERE o_orderkey % k = 0) END AS answer FROM range(1, 6) r(k)")
+def _(t):
+    """Five questions of a user whose budget is good for three."""
+    t["orders"].createOrReplaceTempView("budget_orders")
+    asked = [guard.guarded(t.spark, f"select count(*) as answer from budget_orders where mod(o_orderkey, {k}) = 0", {"budget_orders"}) for k in range(1, 6)]
+    size = guard.scanned_bytes(asked[0])
+    budget, rows = guard.Budget(max_bytes=3 * size + 2, usual_bytes=size), []
+    for k, question in enumerate(asked, 1):
+        try:
+            rows.append((k, False, guard.answer(question, budget=budget, seconds=600)[0].answer))
+        except PermissionError:
+            rows.append((k, True, None))
+    return t.spark.createDataFrame(rows, "k long, is_refused boolean, answer long")

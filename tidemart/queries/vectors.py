@@ -28,7 +28,7 @@ def _(t):
 @query("v06_vector_topk_with_orders", f"SELECT query_id, rank, vec_id, o_orderkey FROM {TOP} JOIN orders ON o_custkey = vec_id")
 def _(t):
     hits = _top(t).select("query_id", "rank", "vec_id")
-    return t["orders"].join(F.broadcast(hits), F.col("o_custkey") == F.col("vec_id")).select("query_id", "rank", "vec_id", "o_orderkey")
+    return t["orders"].join(hits, F.col("o_custkey") == F.col("vec_id")).select("query_id", "rank", "vec_id", "o_orderkey")
 
 
 @query("v06_vector_topk_by_label", f"SELECT query_id, label, count(*) AS hits, max(round(score, 6)) AS best FROM {TOP} JOIN embeddings USING (vec_id) GROUP BY 1, 2")
