@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,9 +50,11 @@ _TOKEN = re.compile(rb"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
 LANGUAGE_UNKNOWN = "und"
 
 #: A task hands on its counts of words when it holds so many words, or has read so many bytes.
-FLUSH_WORDS, FLUSH_BYTES = 300_000, 64 << 20
-#: Places that are tried for a node of several children before the double array grows.
-PLACES = 48
+FLUSH_WORDS, FLUSH_BYTES = 150_000, 64 << 20
+#: States whose counts are added up together.
+STATES = 1 << 15
+#: Places that are looked at for a node of several children (fewer for very many) before the double array grows.
+PLACES = 1024
 
 
 @dataclass(frozen=True)
@@ -137,15 +140,17 @@ def _numbered(docs: DataFrame, vocabulary: DataFrame, shards: int, kind: str) ->
 
         rows = bounded_batches(rows).mapInArrow(run, "ids binary" if last else "lang string, text string, ids binary")
         rows = materialize(rows, "numbers", compression="zstd")
+        shared.destroy()
     return rows
 
 
 class Trie:
-    """A double array over phrases: state ``s`` goes on with word ``w`` to ``base[s] + w`` if ``check`` there is ``s``.
+    """A double array over phrases: state ``s`` goes on with digit ``d`` to ``base[s] + d`` if ``check`` there is ``s``.
 
     ``phrases`` has a row for each, words from the left, 0 where there is none, sorted.  Of a range of a table in which every
     phrase has its prefixes, only the first row's prefixes can be missing: these are guests, known but not counted.  ``words`` are
-    the words known here: the trie's own number of one is its place, from 1.
+    the words known here: the trie's own number of one is its place, from 1.  A word is two digits of its number, so that the
+    children of a state lie close together and the arrays stay dense.
     """
 
     def __init__(self, phrases: np.ndarray, whole: bool = True):
@@ -154,80 +159,111 @@ class Trie:
         phrases = np.stack([*ahead, *phrases])
         self.words = np.unique(phrases[phrases > 0])
         own = np.where(phrases > 0, np.searchsorted(self.words, phrases) + 1, 0)
-        self.size = len(self.words) + 1
-        self.base, self.check = np.zeros(self.size, np.int64), np.full(self.size, -1, np.int64)
+        self.radix = math.isqrt(len(self.words)) + 1
+        self.size = 1
+        self.base, self.check = np.zeros(1, np.int64), np.full(1, -1, np.int64)
         length, state = (own > 0).sum(axis=1), np.zeros(len(own), np.int64)
-        draw = np.random.default_rng(len(own))
         for depth in range(own.shape[1]):
-            here = length > depth
-            if not here.any():
+            here = np.flatnonzero(length > depth)
+            if not len(here):
                 break
-            # all rows with one prefix have one state; the children of each are placed together
-            pairs, place = np.unique(np.stack([state[here], own[here, depth]], axis=1), axis=0, return_inverse=True)
-            slots = pairs[:, 1] if depth == 0 else self._placed(pairs, draw)
-            self.check[slots] = pairs[:, 0]
-            state[here] = slots[place.ravel()]
+            for digit in self._digits(own[here, depth]):
+                # all rows with one prefix have one state; the children of each are placed together
+                codes, place = np.unique(state[here] * (self.radix + 1) + digit, return_inverse=True)
+                state[here] = self._placed(*np.divmod(codes, self.radix + 1))[place]
         self.own = np.zeros(self.size, bool)
         self.own[state[len(ahead) :]] = True
         #: first words of which other ranges may have phrases
         self.shared = np.zeros(len(self.words) + 1, bool)
         self.shared[own[[0, -1], 0]] = not whole
+        self.base, self.check = self.base.astype(np.int32), self.check.astype(np.int32)
+
+    def _digits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return numbers // self.radix + 1, numbers % self.radix + 1
 
     def _grow(self, size: int) -> None:
         if size > self.size:
-            more = max(size, self.size + (self.size >> 2)) - self.size
-            self.base, self.check, self.size = np.append(self.base, np.zeros(more, np.int64)), np.append(self.check, np.full(more, -1, np.int64)), self.size + more
-
-    def _placed(self, pairs: np.ndarray, draw: np.random.Generator) -> np.ndarray:
-        """Slots of (state, word) pairs, sorted; sets the bases of the states."""
-        slots = np.empty(len(pairs), np.int64)
-        starts = np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0]))
-        sizes = np.diff(np.append(starts, len(pairs)))
+            more, self.size = size - self.size, size
+            self.base, self.check = np.append(self.base, np.zeros(more, np.int64)), np.append(self.check, np.full(more, -1, np.int64))
+
+    def _placed(self, parents: np.ndarray, digits: np.ndarray) -> np.ndarray:
+        """Slots of (state, digit) pairs, sorted; sets the bases of the states.
+
+        States of most children come first, each where all of them fit, looked for from the lowest free slots; those of
+        one child fill what is left.
+        """
+        slots = np.empty(len(parents), np.int64)
+        starts = np.flatnonzero(np.append(True, parents[1:] != parents[:-1]))
+        sizes = np.diff(np.append(starts, len(parents)))
+        free, left = np.zeros(0, np.int64), 0
         for at in np.argsort(-sizes, kind="stable"):
             n, start = int(sizes[at]), int(starts[at])
             if n == 1:
                 break
-            words = pairs[start : start + n, 1]
-            spread = words - words[0]
-            for first in draw.integers(1, max(2, self.size - int(spread[-1])), PLACES).tolist():
-                if first + spread[-1] < self.size and (self.check[first + spread] < 0).all():
-                    break
-            else:
-                first = self.size
-                self._grow(first + int(spread[-1]) + 1)
-            self.base[pairs[start, 0]] = first - words[0]
-            self.check[first + spread] = pairs[start, 0]
-            slots[start : start + n] = first + spread
+            spread = digits[start : start + n] - digits[start]
+            if not left:
+                low = max(1, self.size - (1 << 16))  # what is free before that has been looked at often enough
+                self._grow(self.size + self.radix + 1)
+                free, left = low + np.flatnonzero(self.check[low:] < 0)[:PLACES], PLACES // 16
+            left -= 1
+            fits = free[free + spread[-1] < self.size]
+            fits = fits[(self.check[fits[:, None] + spread] < 0).all(axis=1)] if len(fits) else fits
+            if not len(fits):
+                fits, left = np.array([self.size]), 0
+                self._grow(self.size + int(spread[-1]) + 1)
+            place = int(fits[0])
+            self.base[parents[start]] = place - digits[start]
+            self.check[place + spread] = parents[start]
+            slots[start : start + n] = place + spread
         single = starts[sizes == 1]
         free = np.flatnonzero(self.check[1:] < 0) + 1
         if len(free) < len(single):
             self._grow(self.size + len(single) - len(free))
             free = np.flatnonzero(self.check[1:] < 0) + 1
         slots[single] = free[: len(single)]
-        self.base[pairs[single, 0]] = slots[single] - pairs[single, 1]
+        self.base[parents[single]] = slots[single] - digits[single]
+        self.check[slots[single]] = parents[single]
         return slots
 
     def numbers(self, ids: np.ndarray) -> np.ndarray:
         """The trie's numbers of word ids, 0 for words that it doesn't know."""
-        at = np.minimum(np.searchsorted(self.words, ids), max(len(self.words) - 1, 0))
-        return np.where(self.words[at] == ids, at + 1, 0) if len(self.words) else np.zeros(len(ids), np.int64)
+        if self.words[-1] == len(self.words):  # all words from the first are known
+            return np.where(ids <= len(self.words), ids, 0).astype(np.int32)
+        at = np.minimum(np.searchsorted(self.words, ids), len(self.words) - 1)
+        return np.where(self.words[at] == ids, at + 1, 0).astype(np.int32)
+
+    def _go(self, states: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """States after one word more, 0 where there is none."""
+        good = True
+        for digit in self._digits(numbers):
+            to = self.base[states] + digit.astype(np.int32)
+            to = np.where((to > 0) & (to < self.size), to, 0)
+            good = good & (self.check[to] == states)
+            states = np.where(good, to, 0)
+        return states
 
     def begin(self, numbers: np.ndarray) -> np.ndarray:
         """States after the word at each position; 0 is no state."""
-        return np.where((numbers > 0) & (self.check[numbers] == 0), numbers, 0)
+        out = np.zeros(len(numbers), np.int32)
+        live = np.flatnonzero(numbers)
+        out[live] = self._go(out[live], numbers[live])
+        return out
 
     def advance(self, states: np.ndarray, numbers: np.ndarray, depth: int) -> np.ndarray:
-        """States of all positions after ``depth`` more words."""
-        out = np.zeros(len(states), np.int64)
+        """States of all positions after the word ``depth`` places on."""
+        out = np.zeros(len(states), np.int32)
         live = np.flatnonzero(states[: max(0, len(states) - depth)])
-        word, state = numbers[live + depth], states[live]
-        to = self.base[state] + word
-        good = (word > 0) & (to > 0) & (to < self.size)
-        live, state, to = live[good], state[good], to[good]
-        good = self.check[to] == state
-        out[live[good]] = to[good]
+        live = live[numbers[live + depth] > 0]
+        out[live] = self._go(states[live], numbers[live + depth])
         return out
 
+    def last_words(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last word (an id, 0 at the root) of each state's phrase, and the state of the phrase without it."""
+        middle = np.where(states > 0, self.check[states], 0)
+        before = np.where(middle > 0, self.check[middle], 0)
+        number = (middle - self.base[before] - 1) * self.radix + states - self.base[middle] - 1
+        return np.where(states > 0, self.words[np.where(states > 0, number, 1) - 1], 0), before
+
 
 def _tries(phrases: DataFrame, width: int, max_phrases: int) -> Iterator[Trie]:
     """Tries of at most ``max_phrases`` phrases of their own, each a range of the sorted phrases."""
@@ -240,11 +276,12 @@ def _tries(phrases: DataFrame, width: int, max_phrases: int) -> Iterator[Trie]:
 
 
 def _shared(corpus: DataFrame, trie: Trie):
+    """The broadcast, and how a task gets what is in it."""
     shared, key = corpus.sparkSession.sparkContext.broadcast(trie), uuid.uuid4().hex
-    return lambda: remembered(("trie", key), lambda: shared.value)
+    return shared, lambda: remembered(("trie", key), lambda: shared.value)
 
 
-def _lines(batch: pa.RecordBatch, kind: str, least: int = 1 << 20) -> Iterator[np.ndarray]:
+def _lines(batch: pa.RecordBatch, kind: str, least: int = 1 << 18) -> Iterator[np.ndarray]:
     """The rows of a batch, some of them together."""
     some, n = [], 0
     for value in batch.column(0):
@@ -257,9 +294,9 @@ def _lines(batch: pa.RecordBatch, kind: str, least: int = 1 << 20) -> Iterator[n
         yield np.concatenate(some)
 
 
-def _grown(corpus: DataFrame, trie: Trie, length: int, kind: str) -> DataFrame:
-    """``w1`` to ``w{length}``, ``n``: phrases that may be frequent, as their parts in ``trie`` are, with how often they were seen."""
-    get = _shared(corpus, trie)
+def _grown(corpus: DataFrame, trie: Trie, length: int, kind: str, min_count: int) -> DataFrame:
+    """``w1`` to ``w{length}``, ``n``: phrases that may be frequent, as their parts in ``trie`` are, and were seen ``min_count`` times."""
+    shared, get = _shared(corpus, trie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = get()
@@ -272,20 +309,27 @@ def _grown(corpus: DataFrame, trie: Trie, length: int, kind: str) -> DataFrame:
                 live = np.flatnonzero(states[: max(0, len(ids) - length + 1)])
                 live = live[trie.own[states[live]] & (ids[live + length - 1] > 0)]
                 live = live[(first[live + 1] == 0) | trie.shared[numbers[live + 1]] | (states[live + 1] > 0)]  # the other part may be in another trie, or is frequent
-                _, at, n = np.unique(states[live] * (int(ids.max(initial=0)) + 1) + ids[live + length - 1], return_index=True, return_counts=True)
+                _, at, n = np.unique(states[live].astype(np.int64) * (int(ids.max(initial=0)) + 1) + ids[live + length - 1], return_index=True, return_counts=True)
                 columns = [pa.array(ids[live[at] + k]) for k in range(length)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=[*(f"w{k + 1}" for k in range(length)), "n"])
 
     words = [f"w{k + 1}" for k in range(length)]
-    return bounded_batches(corpus).mapInArrow(run, ", ".join(f"{w} long" for w in words) + ", n long").groupBy(*words).agg(F.sum("n").alias("n"))
+    seen = bounded_batches(corpus).mapInArrow(run, ", ".join(f"{w} long" for w in words) + ", n long").groupBy(*words).agg(F.sum("n").alias("n"))
+    out = materialize(seen.where(F.col("n") >= min_count), "phrases")
+    shared.destroy()
+    return out
 
 
 def _counted(corpus: DataFrame, trie: Trie, width: int, kind: str) -> DataFrame:
-    """``w1`` to ``w{width}``, ``f``: how often every phrase of ``trie`` occurs."""
-    get = _shared(corpus, trie)
+    """``w1`` to ``w{width}``, ``f``: how often every phrase of ``trie`` occurs.
+
+    A task hands on its counts as blocks of neighbouring states, and blocks are added up: a row for each block that a
+    task has seen anything of, whatever the number of phrases.
+    """
+    shared, get = _shared(corpus, trie)
     words = [f"w{k + 1}" for k in range(width)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = get()
         counts = np.zeros(trie.size, np.int64)
         for batch in batches:
@@ -296,19 +340,39 @@ def _counted(corpus: DataFrame, trie: Trie, width: int, kind: str) -> DataFrame:
                     counts += np.bincount(states, minlength=trie.size)
                     states = trie.advance(states, numbers, depth)
         counts[~trie.own] = 0
-        seen = np.flatnonzero(counts)
-        for at in range(0, len(seen), 100_000):
-            state = seen[at : at + 100_000]
-            columns, depth = np.zeros((width, len(state)), np.int64), np.zeros(len(state), np.int64)
-            f, up = counts[state], state
-            for _ in range(width):  # from a phrase's last word to its first
-                parent = trie.check[up]
-                columns = np.where(up > 0, np.roll(columns, 1, axis=0), columns)
-                columns[0] = np.where(up > 0, trie.words[np.maximum(up - trie.base[parent], 1) - 1], columns[0])
-                depth, up = depth + (up > 0), np.where(up > 0, parent, 0)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(f)], names=[*words, "f"])
+        for block, at in enumerate(range(0, trie.size, STATES)):
+            some = counts[at : at + STATES]
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = get()
 
-    return bounded_batches(corpus).mapInArrow(run, ", ".join(f"{w} long" for w in words) + ", f long").groupBy(*words).agg(F.sum("f").alias("f"))
+        def emit(block: int, counts: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(counts)
+            state, columns = at + block * STATES, np.zeros((width, len(at)), np.int64)
+            while state.any():  # from a phrase's last word to its first
+                word, before = trie.last_words(state)
+                columns = np.where(state > 0, np.roll(columns, 1, axis=0), columns)
+                columns[0] = np.where(state > 0, word, columns[0])
+                state = before
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(counts[at])], names=[*words, "f"])
+
+        held, total = None, np.zeros(0, np.int64)
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                some = np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+                if block != held and held is not None:
+                    yield emit(held, total)
+                total = total + some if block == held else some
+                held = block
+        if held is not None:
+            yield emit(held, total)
+
+    blocks = bounded_batches(corpus).mapInArrow(count, "block long, counts binary").repartition("block").sortWithinPartitions("block")
+    out = materialize(blocks.mapInArrow(add, ", ".join(f"{w} long" for w in words) + ", f long"), "counts")
+    shared.destroy()
+    return out
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -366,11 +430,11 @@ def mine(docs: DataFrame, params: Params = Params(), *, text_col: str = "text",
     padded = lambda df: df.select(*[F.col(w) if w in df.columns else F.lit(0).cast("long").alias(w) for w in words])
     known = padded(vocabulary.select(F.col("id").alias("w1")))
     for length in range(2, width + 1):
-        grown = [materialize(_grown(corpus, trie, length, kind).where(F.col("n") >= params.min_count), "phrases") for trie in _tries(known, width, params.max_phrases)]
+        grown = [_grown(corpus, trie, length, kind, params.min_count) for trie in _tries(known, width, params.max_phrases)]
         if not grown:
             break
         known = known.unionByName(padded(_union(grown)))
-    summed = [materialize(_counted(corpus, trie, width, kind), "counts") for trie in _tries(known, width, params.max_phrases)]
+    summed = [_counted(corpus, trie, width, kind) for trie in _tries(known, width, params.max_phrases)]
     empty = docs.sparkSession.createDataFrame([], ", ".join(f"{w} long" for w in words) + ", f long")
     found = scored(_union(summed) if summed else empty, params)
 
