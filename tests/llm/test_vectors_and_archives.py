@@ -265,7 +265,7 @@ def test_stages_equal_plain_versions(spark, folder):
     for r in found:
         t = texts[r.doc_id]
         assert t[r.start : r.start + r.length] == r.value
-        texts[r.doc_id] = t[: r.start] + secrets.REDACTED + t[r.start + r.length :]
+        texts[r.doc_id] = t[: r.secret_start] + secrets.REDACTED + t[r.secret_start + r.secret_length :]
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out["secret_scan"]} == {d: (t, len(t)) for d, t in texts.items()}
 
     given, words = kept["source_mix"][0], lambda r: len((r["text"] or "").encode().split())

@@ -40,7 +40,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secrets.fit(secrets.labelled_findings(spark))
     found = secrets.scan(table(spark, sf_dir, "documents"), model)
-    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "rule", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.col("secret_start").cast("long").alias("secret_start"), F.col("secret_length").cast("long").alias("secret_length"), "rule", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

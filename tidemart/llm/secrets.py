@@ -5,25 +5,33 @@ texts; each is described by its length, the transitions between kinds of its
 characters, how much of it dictionary words cover, the path it was found at and
 the words beside it.  A forest trained on labelled findings gives each candidate
 the probability that it is a real secret.  ``labelled_findings`` makes such
-findings (``rows`` of them, a fixed bound) from a hash; findings labelled by hand
-can be given in the same columns.
+findings (``rows`` of them, a fixed bound) from a hash; ``labelled_from`` takes them
+from texts that were labelled by hand, and any table with the same columns will do.
+The words that coverage is measured by are a parameter of ``fit``.
+
+All of it happens inside a document's row: the trees become an expression over the
+features of each candidate, so no text is dealt anywhere, and a row's findings
+can't meet another row's text.  What is redacted is the value alone: the name before
+it, quotes and the address around it stay.
 
 Edge cases: a null or empty text has no findings; a null path is an empty one;
 a null id is kept as null; rows repeated have their findings each; texts of any
 length are scanned whole; an empty table gives an empty result; columns of the
 input called like an output column don't matter.  Candidates never overlap: the
 leftmost is taken, and of those the first alternative of ``CANDIDATE``.  Each row
-is redacted at the places of its own findings, with or without an id.
+is redacted at the places of its own findings, with or without an id.  A value in
+quotes ends at the next such quote of its line, one without at white space or a quote.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +44,14 @@ REDACTED = "[SECRET]"
 PEM_HEADER = "-----BEGIN [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
 #: All up to the END line; without one, headers and lines of base64 (line feeds may be escaped).
 PEM_REST = r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[rn])++(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash):[^\r\n\\]*+|[0-9A-Za-z+/]{16,}+={0,2}+))*+(?:(?:\s|\\[rn])++[0-9A-Za-z+/]{1,15}+={1,2}+)?+)"
-#: Public formats of credentials; the last two are general.
+#: Names that secrets are given to, and what stands between a name and its value.
+NAME = r"(?i:pass[_-]?phrase|password|passwd|pwd|(?<![A-Za-z])pw|secret[_-]?key|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)"
+GIVEN = r"[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}"
+#: A value in quotes may have spaces, if the quote is closed in its line.
+VALUE = r"(?![\"']?" + PEM_HEADER + r")(?:\"[^\"\r\n]{6,}+(?![^\"])|'[^'\r\n]{6,}+(?![^'])|[\"']?[^\s\"']{6,})"
+#: User and password in an address, from the colon of its scheme.
+USER = r"://[^\s/:@\"'<>]{0,64}:"
+#: Public formats of credentials; the last three are general.
 FORMATS = {
     "aws_key_id": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}",
@@ -45,26 +60,30 @@ FORMATS = {
     "google_key": r"AIza[0-9A-Za-z_-]{35}",
     "jwt": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
     "private_key": PEM_HEADER + PEM_REST,
-    "assignment": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}[\"']?(?!" + PEM_HEADER + r")[^\s\"']{6,}",
-    "long_token": r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[0-9A-Za-z+/_=-]{20,}",
+    "address": USER + r"[^\s/@\"'<>]{3,256}(?![^@])",
+    "assignment": NAME + GIVEN + VALUE,
+    "long_token": r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*+[0-9])[0-9A-Za-z+/_-]{20,}={0,2}",
 }
+GENERAL = ("address", "assignment", "long_token")
 CANDIDATE = "|".join(FORMATS.values())
-#: What stands between a name and its value in an assignment.
-ASSIGNED = r"^(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}[\"']?"
-#: Words of placeholders and of ordinary identifiers.
+#: What stands before the value itself in a candidate.
+ASSIGNED = f"^(?:{NAME}{GIVEN}[\"']?|{USER})"
+#: Words of placeholders, of ordinary identifiers and of plain sentences.
 DICTIONARY = (
     "access account admin api app apple array auth base change changeme client code commit config core count data date default demo digest domain dummy "
     "env error example fake field file flag get hash here hello host index input insert item key layer letmein list local login map master message mock model "
     "module name new node none norm null number object order output page param pass password path placeholder process public qwerty read region request response "
     "result sample secret server service set setting settings size sort source state store string table test text title token type update url user value version "
-    "welcome word write your"
+    "welcome word write your "
+    "and are been before below but can cannot click enter for forgot from has have her his into its least may must not our please should "
+    "than that the their them then there they this those too use used was were what when where which will with without would you"
 ).split()
 SECRET_WORDS = r"(?i)passw|secret|token|credential|api.?key|access.?key|auth|aws|login"
 HASH_WORDS = r"(?i)commit|sha-?\d|md5|checksum|digest|uuid|guid|revision|etag|integrity"
 EXAMPLE_WORDS = r"(?i)example|sample|dummy|placeholder|fake|mock|your[_ -]|changeme|redacted|xxxx"
 TEST_PATH = r"(?i)test|spec|mock|fixture|example|sample|demo|docs?/"
 
-FEATURES = ["f_length", "f_value_length", "f_digits", "f_upper", "f_lower", "f_other", "f_distinct", "f_to_digit", "f_from_digit", "f_case_up", "f_case_down", "f_repeat", "f_covered", "f_vowels", "f_format", "f_path_test", "f_path_depth", "f_near_secret", "f_near_hash", "f_near_example"]
+FEATURES = ["f_length", "f_value_length", "f_digits", "f_upper", "f_lower", "f_other", "f_distinct", "f_to_digit", "f_from_digit", "f_case_up", "f_case_down", "f_repeat", "f_covered", "f_spaces", "f_vowels", "f_format", "f_path_test", "f_path_depth", "f_near_secret", "f_near_hash", "f_near_example"]
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -79,14 +98,13 @@ def rule_of(value: Column) -> Column:
     return out.otherwise(F.lit("long_token"))
 
 
-def described(findings: DataFrame) -> DataFrame:
-    """``findings`` (value, before, after, path) with ``rule`` and the columns of ``FEATURES``."""
-    value, own = F.col("value"), F.col("_own")
-    beside = F.concat_ws(" ", "before", "after")
-    words = F.filter(F.regexp_extract_all(F.lower(own), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: F.array_contains(F.array(*map(F.lit, DICTIONARY)), w))
+def features(value: Column, before: Column, after: Column, path: Column, rule: Column, own: Column, words: Sequence[str]) -> dict[str, Column]:
+    """The columns of ``FEATURES`` for a candidate of this rule whose value itself is ``own``."""
+    beside = F.concat_ws(" ", before, after)
+    known = F.filter(F.regexp_extract_all(F.lower(own), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: w.isin(*words))
     n = F.length(own)
     # the long lines of a key hold any short word by chance
-    worded = F.when(F.col("rule") == "private_key", F.regexp_replace(value, "[0-9A-Za-z+/]{16,}", "")).otherwise(value)
+    worded = F.when(rule == "private_key", F.regexp_replace(value, "[0-9A-Za-z+/]{16,}", "")).otherwise(value)
     count = lambda p: F.regexp_count(own, F.lit(p))
     values = {
         "f_length": F.length(value),
@@ -101,17 +119,23 @@ def described(findings: DataFrame) -> DataFrame:
         "f_case_up": _share(count("[a-z](?=[A-Z])"), n),
         "f_case_down": _share(count("[A-Z](?=[a-z])"), n),
         "f_repeat": _share(count(r"(.)(?=\1)"), n),
-        "f_covered": _share(F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)), n),
+        "f_covered": _share(F.aggregate(known, F.lit(0), lambda s, w: s + F.length(w)), n),
+        "f_spaces": _share(count(" "), n),
         "f_vowels": _share(count("[aeiouAEIOU]"), count("[A-Za-z]")),
-        "f_format": (~F.col("rule").isin("assignment", "long_token")).cast("int"),
-        "f_path_test": F.col("path").rlike(TEST_PATH).cast("int"),
-        "f_path_depth": F.regexp_count("path", F.lit("/")),
+        "f_format": (~rule.isin(*GENERAL)).cast("int"),
+        "f_path_test": path.rlike(TEST_PATH).cast("int"),
+        "f_path_depth": F.regexp_count(path, F.lit("/")),
         "f_near_secret": (F.regexp_count(beside, F.lit(SECRET_WORDS)) + value.rlike(ASSIGNED).cast("int")),
         "f_near_hash": F.regexp_count(beside, F.lit(HASH_WORDS)),
-        "f_near_example": F.regexp_count(F.concat_ws(" ", "before", worded, "after"), F.lit(EXAMPLE_WORDS)),
+        "f_near_example": F.regexp_count(F.concat_ws(" ", before, worded, after), F.lit(EXAMPLE_WORDS)),
     }
-    with_own = findings.withColumn("rule", rule_of(value)).withColumn("_own", F.regexp_replace(value, ASSIGNED, ""))
-    return with_own.withColumns({k: v.cast("double") for k, v in values.items()}).drop("_own")
+    return {name: values[name].cast("double") for name in FEATURES}
+
+
+def described(findings: DataFrame, words: Sequence[str] = DICTIONARY) -> DataFrame:
+    """``findings`` (value, before, after, path) with ``rule`` and the columns of ``FEATURES``."""
+    with_own = findings.withColumn("rule", rule_of(F.col("value"))).withColumn("_own", F.regexp_replace("value", ASSIGNED, ""))
+    return with_own.withColumns(features(*map(F.col, ("value", "before", "after", "path", "rule", "_own")), words)).drop("_own")
 
 
 def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -133,6 +157,11 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     lines = F.concat_ws("\n", *[mixed(51 + k, 64) for k in range(4)], mixed(55, 30))
     jwt = lambda k, tail: F.concat(F.lit("eyJ"), mixed(k, 33), F.lit(".eyJ"), mixed(k + 1, 50), F.lit("."), tail)
     filler = pick(64, ["xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "XXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXX", "0000000000000000000000000000000000000000", "ExampleExampleExampleExampleExampleExample"])
+    quoted = pick(70, ["=\"", " = \"", ": \"", "\": \"", "='", ": '"])
+    unlike = "copper lantern orbit velvet cactus thunder marble walnut pepper glacier falcon ribbon tunnel meadow saddle anchor violin harvest pebble timber".split()
+    said = ["please enter it below", "must be at least eight characters long", "the link has expired and cannot be used", "is not valid for this account", "Forgot it? Click here to set a new one", "we will never ask you for this", "has been sent to your address", "should not be empty", "what you use when you log in", " + user.name + ", ", params.get(key), ", " : null, source: ", "They met before the rain and then left", "which was used by the server"]
+    weak = ["password", "pass", "${DB_PASSWORD}", "changeme", "secret", "$PASSWORD", "example", "your_password", "{password}", "xxxxxx", "****", "user", "test"]
+    user = F.concat(F.lit("://"), pick(73, ["admin", "root", "user", "svc-app", "deploy", "reader", ""]), F.lit(":"))
     near_example = F.concat_ws(" ", plain_before, pick(65, ["example", "sample", "dummy", "your_key"]))
     cases = [  # label, value, before, after, path
         (1, F.concat(F.lit("AKIA"), upper(5, 16)), plain_before, plain_after, plain_path),
@@ -164,6 +193,13 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
         (0, F.concat(F.lit("AIza"), F.substring(filler, 1, 35)), near_example, plain_after, test_path),
         (0, F.concat(F.lit("ghp_"), F.substring(filler, 1, 36)), near_example, plain_after, test_path),
         (0, F.concat(F.lit("sk_live_"), F.substring(filler, 1, 24)), near_example, plain_after, test_path),
+        (1, F.concat(name, quoted, F.concat_ws(" ", *[pick(74 + k, unlike) for k in range(4)])), plain_before, F.concat(F.lit("\" "), plain_after), plain_path),
+        (1, F.concat(name, quoted, F.concat_ws(" ", *[pick(80 + k, unlike) for k in range(6)])), plain_before, F.concat(F.lit("\" "), plain_after), plain_path),
+        (0, F.concat(name, quoted, pick(86, said)), plain_before, F.concat(F.lit("\" "), plain_after), plain_path),
+        (0, F.concat(name, quoted, F.concat_ws(" ", pick(87, said), pick(88, prose), pick(89, said))), plain_before, F.concat(F.lit("\" "), plain_after), plain_path),
+        (1, F.concat(user, mixed(90, 14)), F.concat_ws(" ", plain_before, pick(91, ["postgres", "https", "redis", "amqp", "mongodb"])), F.concat(F.lit("@db.host/app "), plain_after), plain_path),
+        (1, F.concat(user, hexa(92, 20)), F.concat_ws(" ", plain_before, pick(93, ["mysql", "ftp", "smtp", "https"])), F.concat(F.lit("@10.0.0.7:5432/x "), plain_after), plain_path),
+        (0, F.concat(user, pick(94, weak)), F.concat_ws(" ", plain_before, pick(95, ["postgres", "https", "redis", "mysql"])), F.concat(F.lit("@localhost/app "), plain_after), plain_path),
     ]
     parts = [
         spark.range(k, rows, len(cases), 1).select(value.alias("value"), before.alias("before"), after.alias("after"), path.alias("path"), F.lit(float(label)).alias("label"))
@@ -172,18 +208,54 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def fit(labelled: DataFrame, *, trees: int = 24, depth: int = 7, seed: int = 5) -> PipelineModel:
-    """A forest over ``FEATURES`` from labelled findings."""
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(materialize(described(labelled).select("label", *FEATURES).coalesce(4), "findings"))
+def labelled_from(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+    """Findings to learn from: the candidates of ``docs`` that ``labels`` (doc_id, start of the candidate, label 0 or 1) judge."""
+    judged = labels.select("doc_id", "start", F.col("label").cast("double").alias("label"))
+    return candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col).join(judged, ["doc_id", "start"]).select("value", "before", "after", "path", "label")
 
 
-def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """Every candidate: doc_id, start (in code points, from 0), length, value, before, after, path."""
-    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("text")).where(F.col("text").rlike(CANDIDATE))
-    cut = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("rest"))
-    lengths = F.zip_with("found", F.slice("rest", 1, F.size("found")), lambda f, r: F.struct(F.length(r).alias("r"), F.length(f).alias("f")))
+@dataclass(frozen=True)
+class Forest:
+    """A forest and the words that coverage is measured by.
+
+    It is grown on labels of 0 and 1, so a leaf's mean is its share of secrets and the trees' mean the probability.
+    """
+
+    model: RandomForestRegressionModel
+    words: tuple[str, ...]
+
+    def sql(self, row: str = "") -> str:
+        """The probability, as SQL over the columns of ``FEATURES`` (fields of ``row``, if given)."""
+
+        def below(lines: Iterator[str]) -> str:
+            line = next(lines).strip()
+            if line.startswith("Predict: "):
+                return f"{line.removeprefix('Predict: ')}D"
+            feature, most = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+            low = below(lines)
+            next(lines)
+            return f"if({row}{FEATURES[int(feature)]} <= {most}D, {low}, {below(lines)})"
+
+        trees = [below(iter(t.toDebugString.strip().splitlines()[1:])) for t in self.model.trees]
+        return f"({' + '.join(trees)}) / {len(trees)}"
+
+
+def fit(labelled: DataFrame, *, words: Sequence[str] = DICTIONARY, trees: int = 24, depth: int = 7, seed: int = 5) -> Forest:
+    """A forest over ``FEATURES`` from labelled findings (value, before, after, path, label).
+
+    ``words`` are lower-case words of three letters or more, up to some thousands: they are part of the plan.
+    """
+    rows = materialize(described(labelled, words).select("label", *FEATURES).coalesce(4), "findings")
+    forest = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
+    return Forest(forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)), tuple(words))
+
+
+def _with_candidates(docs: DataFrame, text: str, path: str | None) -> DataFrame:
+    """``docs`` with ``found``: every candidate in the order of the text (start, value, before, after, path); null if there is none."""
+    where_found = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
+    cut = F.when(F.col(text).rlike(CANDIDATE), F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"), F.split(text, CANDIDATE, -1).alias("rest")))
+    values, rest = F.col("cut.values"), F.col("cut.rest")
+    lengths = F.zip_with(values, F.slice(rest, 1, F.size(values)), lambda f, r: F.struct(F.length(r).alias("r"), F.length(f).alias("f")))
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
     starts = F.aggregate(
         lengths,
@@ -191,36 +263,66 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         lambda s, x: F.struct((s["end"] + x["r"] + x["f"]).alias("end"), F.concat(s["starts"], F.array(s["end"] + x["r"])).alias("starts")),
         lambda s: s["starts"],
     )
-    beside = F.transform(
-        F.sequence(F.lit(1), F.size("found")),
-        lambda k: F.struct(F.element_at("found", k).alias("value"), F.right(F.element_at("rest", k), F.lit(CONTEXT_CHARS)).alias("before"), F.left(F.element_at("rest", k + 1), F.lit(CONTEXT_CHARS)).alias("after")),
+    found = F.transform(
+        F.col("starts"),
+        lambda at, k: F.struct(
+            at.alias("start"),
+            F.element_at(values, k + 1).alias("value"),
+            F.right(F.element_at(rest, k + 1), F.lit(CONTEXT_CHARS)).alias("before"),
+            F.left(F.element_at(rest, k + 2), F.lit(CONTEXT_CHARS)).alias("after"),
+            where_found.alias("path"),
+        ),
+    )
+    return docs.withColumn("cut", cut).withColumn("starts", starts).withColumn("found", found).drop("cut", "starts")
+
+
+def _with_verdicts(docs: DataFrame, forest: Forest, text: str, path: str | None, threshold: float) -> tuple[DataFrame, Column]:
+    """``docs`` with what the forest needs, and each candidate with its verdict over these columns."""
+    texts = ("value", "before", "after", "path")
+    named = lambda c: c.withField("rule", rule_of(c["value"])).withField("own", F.regexp_replace(c["value"], ASSIGNED, ""))
+    seen = lambda c: F.struct(c["start"].alias("start"), *[c[x].alias(x) for x in ("value", "rule", "own")], *[f.alias(x) for x, f in features(*[c[x] for x in texts], c["rule"], c["own"], forest.words).items()])
+    scored = F.expr(f"transform(found, c -> named_struct('start', c.start, 'value', c.value, 'rule', c.rule, 'own', c.own, 'score', {forest.sql('c.')}))")
+    rows = _with_candidates(docs, text, path).withColumn("found", F.transform(F.transform("found", named), seen)).withColumn("found", scored)
+    judged = lambda c: F.struct(
+        c["start"].alias("start"),
+        F.length(c["value"]).alias("length"),
+        (c["start"] + F.length(c["value"]) - F.length(c["own"])).alias("secret_start"),
+        F.length(c["own"]).alias("secret_length"),
+        c["rule"].alias("rule"),
+        c["value"].alias("value"),
+        F.round(c["score"], 6).alias("score"),
+        (c["score"] >= threshold).alias("is_secret"),
     )
-    each = cut.select("doc_id", "path", F.explode(F.arrays_zip(starts.alias("start"), beside.alias("b"))).alias("c"))
-    return each.select("doc_id", F.col("c.start").alias("start"), F.length("c.b.value").alias("length"), "c.b.value", "c.b.before", "c.b.after", "path")
+    return rows, F.transform("found", judged)
+
+
+def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+    """Every candidate: doc_id, start (in code points, from 0), length, value, before, after, path."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(path_col).alias("source")] if path_col else []))
+    each = _with_candidates(rows, "text", "source" if path_col else None).select("doc_id", F.explode(F.transform("found", lambda c: c)).alias("c"))
+    return each.select("doc_id", "c.start", F.length("c.value").alias("length"), "c.value", "c.before", "c.after", "c.path")
 
 
-def scan(docs: DataFrame, model: PipelineModel, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
-    """Every candidate with its rule, the probability that it is a secret, and the verdict."""
-    scored = model.transform(described(candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col)))
-    score = vector_to_array("probability")[1]
-    return scored.select("doc_id", "start", "length", "rule", "value", F.round(score, 6).alias("score"), (score >= threshold).alias("is_secret"))
+def scan(docs: DataFrame, forest: Forest, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
+    """Every candidate with the place of the value itself, its rule, the probability that it is a secret, and the verdict."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(path_col).alias("source")] if path_col else []))
+    judged, found = _with_verdicts(rows, forest, "text", "source" if path_col else None, threshold)
+    return judged.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
 
 
-def redact(docs: DataFrame, model: PipelineModel, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``REDACTED`` in the place of every secret found; all rows and columns stay."""
-    # what a row's findings depend on, and its id so that equal texts are dealt apart; rows with equal keys have equal findings
-    key = F.xxhash64(*[F.col(c) for c in (id_col, text_col, path_col) if c])
-    own = docs.select(key.alias("key"), F.col(text_col).alias("text"), *([F.col(path_col).alias("path")] if path_col else []))
-    hits = scan(own, model, id_col="key", text_col="text", path_col="path" if path_col else None, threshold=threshold).where("is_secret")
-    spans = materialize(hits.groupBy(F.col("doc_id").alias("key")).agg(F.collect_set(F.struct("start", "length")).alias("spans")), "secret-spans")
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), F.col(text_col).alias("text")).join(spans, "key", "left")
+def redact(docs: DataFrame, forest: Forest, *, text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
+    """``docs`` with ``REDACTED`` in the place of every secret value found; all rows and columns stay."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # names that the columns added can't clash with
+    judged, found = _with_verdicts(docs.toDF(*names.values()), forest, names[text_col], names.get(path_col), threshold)
+    text = F.col(names[text_col])
+    spans = F.transform(F.filter(found, lambda c: c["is_secret"]), lambda c: F.struct(c["secret_start"].alias("start"), c["secret_length"].alias("length")))
     # what stands between the secrets, from the end of each to the start of the next
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("kept"))
     kept = F.aggregate(
-        F.array_sort("spans"),
+        F.col("spans"),
         zero,
-        lambda s, x: F.struct((x["start"] + x["length"]).alias("end"), F.concat(s["kept"], F.array(F.substring(F.col("text"), s["end"] + 1, x["start"] - s["end"]))).alias("kept")),
-        lambda s: F.array_join(F.concat(s["kept"], F.array(F.substr(F.col("text"), s["end"] + 1))), REDACTED),
+        lambda s, x: F.struct((x["start"] + x["length"]).alias("end"), F.concat(s["kept"], F.array(F.substring(text, s["end"] + 1, x["start"] - s["end"]))).alias("kept")),
+        lambda s: F.array_join(F.concat(s["kept"], F.array(F.substr(text, s["end"] + 1))), REDACTED),
     )
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    clean = F.when(F.size("spans") > 0, kept).otherwise(text)
+    return judged.withColumn("spans", spans).select(*[(clean if c == text_col else F.col(n)).alias(c) for c, n in names.items()])
