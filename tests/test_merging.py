@@ -84,3 +84,38 @@ def test_tables_without_a_time(spark):
     assert merging.merge_state(spark, empty).count() == 1001
     with pytest.raises(ValueError):
         merging.merge_state(spark, empty, 9)
+
+
+def unasked(*_):
+    raise AssertionError("filters are asked")
+
+
+def test_large_batches_ask_no_filters(spark, monkeypatch):
+    path = shared_path(spark, "m")
+    merging.merge_table(spark, dated(spark, [(k, "a", 1 + k % 12) for k in range(240)] + [(None, "a", 2)]), path, ["k"], at="at")
+    batch = dated(spark, [(k, "b", 12) for k in range(12, 60)] + [(None, "b", 12)])
+    small = merging.merge_table(spark, dated(spark, [(5, "c", 12)]), path, ["k"])  # by filters
+    with monkeypatch.context() as m:
+        m.setattr(merging, "_suspects", unasked)
+        assert merging.merge_table(spark, batch, path, ["k"]) == [f"m2024-{m:02}" for m in range(1, 13)]
+    assert small == ["m2024-06", "m2024-12"]
+    rows = {(k, month): v for k, v, month in state(spark, path)}
+    assert len(rows) == 241 and rows[5, 12] == "c" and {k for (k, month), v in rows.items() if v == "b" and month == 12} == {None, *range(12, 60)}
+    assert all(month == 1 + k % 12 for (k, month), v in rows.items() if v == "a")
+
+
+@pytest.mark.parametrize("cost", [0, 10**9])
+def test_filters_and_keys_find_the_same(spark, monkeypatch, cost):
+    monkeypatch.setattr(merging, "PROBE_COST", cost)
+    path = shared_path(spark, "m")
+    merging.merge_table(spark, dated(spark, [(k, "a", 1 + k // 20) for k in range(240)] + [(None, "a", 11)]), path, ["k"], at="at")
+    assert merging.merge_table(spark, dated(spark, [(5, "b", 3), (70, "b", 3), (9999, "b", 3), (None, "b", 3)]), path, ["k"]) == ["m2024-01", "m2024-03", "m2024-04", "m2024-11"]
+    assert [r for r in state(spark, path) if r[1] == "b"] == [(5, "b", 3), (70, "b", 3), (9999, "b", 3), (None, "b", 3)]
+
+
+def test_months_out_of_the_bounds_are_not_looked_at(spark, monkeypatch):
+    path = shared_path(spark, "m")
+    merging.merge_table(spark, dated(spark, [(k, "a", 1 + k // 20) for k in range(240)]), path, ["k"], at="at")
+    monkeypatch.setattr(merging, "_suspects", unasked)
+    assert merging.merge_table(spark, dated(spark, [(20, "b", 2), (39, "b", 2)]), path, ["k"]) == ["m2024-02"]
+    assert len(state(spark, path)) == 240

@@ -7,7 +7,7 @@ version before or after a merge, a merge that breaks off leaves nothing that a r
 
 Partitions are months of a column, so that the rows of a window stay together, or (without such a column) a
 hash of the key.  A key may move to another month: partitions that may hold a key of the batch are found by their bounds
-and filters, looked at by key columns alone, and rewritten if they do.
+and, if the batch is small beside them, by their filters, looked at by key columns alone, and rewritten if they do.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .scans import same
 PART, TIMELESS = "_part", "m-none"
 #: Bits of a partition's filter for each of its keys, and bits of one bitmap.
 BITS_A_KEY, BITMAP = 16, 32768
+#: Filters are asked if the questions (keys of the batch times partitions), so many times, are fewer than the keys that could be read instead.
+PROBE_COST = 16
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -70,6 +72,14 @@ def _filters(rows: DataFrame, keys: Sequence[str], counts: DataFrame) -> DataFra
     return placed.groupBy(F.col(PART).alias("part"), "bits", bucket).agg(F.bitmap_construct_agg(F.pmod("_at", F.lit(BITMAP))).alias("bitmap"))
 
 
+def _near(new: DataFrame, keys: Sequence[str], manifest: DataFrame, own: Sequence[str]) -> DataFrame:
+    """``part``, ``run``, ``n``: partitions but for those of ``own`` whose bounds of the first key meet those of ``new``."""
+    first = F.col(keys[0])
+    bounds = new.agg(F.min(first).alias("_low"), F.max(first).alias("_high"), F.max(first.isNull()).alias("_nulls"))
+    meet = (F.col("low") <= F.col("_high")) & (F.col("high") >= F.col("_low")) | F.col("nulls") & F.col("_nulls")
+    return manifest.where(~F.col("part").isin(list(own))).crossJoin(F.broadcast(bounds)).where(F.coalesce(meet, F.lit(False))).select("part", "run", "n")
+
+
 def _suspects(new: DataFrame, keys: Sequence[str], manifest: DataFrame, filters: DataFrame) -> DataFrame:
     """Partitions (``part``) that may hold a key of ``new``, by bounds of the first key and by filter."""
     lowest = new.select(_key(keys).alias("_key"), F.col(keys[0]).alias("_first")).distinct()
@@ -103,18 +113,24 @@ def merge_table(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
     schema, at = T.StructType.fromJson(json.loads(version["schema"])), version["at"]
     label = F.coalesce(F.date_format(F.col(at), "'m'yyyy-MM"), F.lit(TIMELESS)) if at else F.concat(F.lit("h"), F.pmod(_key(keys), F.lit(version["parts"])).cast("string"))
     new = written(deduplicated(batch.select(*schema.names), keys, order).withColumn(PART, label), "merge")
-    own = {r[0] for r in new.select(PART).distinct().collect()}  # months, or hashes
+    sizes = {r[0]: r[1] for r in new.groupBy(PART).agg(F.count("*")).collect()}  # months, or hashes
+    own = set(sizes)
     if not own and numbers:
         return []
     run, manifest, before = uuid.uuid4().hex, None, {}
     if version["manifest"]:
         manifest, filters = spark.read.parquet(f"{path}/manifests/{version['manifest']}"), spark.read.parquet(f"{path}/filters")
         before = {r.part: r.run for r in manifest.select("part", "run").collect()}
-        live = filters.join(F.broadcast(manifest.select("part", "run")), ["part", "run"], "left_semi").drop("run")
-        doubted = {r[0] for r in _suspects(new, keys, manifest, live).collect()} - own
+        near = {r.part: r.n for r in _near(new, keys, manifest, own).collect()} if before.keys() - own else {}
+        doubted = set(near)
+        if near and sum(sizes.values()) * len(near) * PROBE_COST < sum(near.values()):
+            live = filters.join(F.broadcast(manifest.where(F.col("part").isin(list(near))).select("part", "run")), ["part", "run"], "left_semi").drop("run")
+            doubted = {r[0] for r in _suspects(new, keys, manifest, live).collect()}
         moved = set()
         if doubted:
-            held = spark.read.option("basePath", f"{path}/data").parquet(*[f"{path}/data/{before[p]}/{PART}={p}" for p in sorted(doubted)]).select(F.col(PART).cast("string").alias(PART), *keys)
+            # of any number of runs, so the partition comes from the file's path
+            part = F.regexp_extract("_metadata.file_path", f"/{PART}=([^/]+)/", 1).alias(PART)
+            held = _folders(spark, path, schema, [(p, before[p]) for p in sorted(doubted)]).select(part, *keys)
             moved = {r[0] for r in held.join(new, same(held, new, keys), "left_semi").select(PART).distinct().collect()}
         touched = sorted(own | moved)
         old = _folders(spark, path, schema, [(p, before[p]) for p in touched if p in before])
