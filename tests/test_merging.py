@@ -119,3 +119,13 @@ def test_months_out_of_the_bounds_are_not_looked_at(spark, monkeypatch):
     monkeypatch.setattr(merging, "_suspects", unasked)
     assert merging.merge_table(spark, dated(spark, [(20, "b", 2), (39, "b", 2)]), path, ["k"]) == ["m2024-02"]
     assert len(state(spark, path)) == 240
+
+
+def test_batches_are_deduplicated_once(spark, monkeypatch):
+    path, seen = shared_path(spark, "m"), []
+    merging.merge_table(spark, dated(spark, [(1, "a", 1), (2, "a", 2)]), path, ["k"], at="at")
+    one = loading.deduplicated
+    for module in (loading, merging):
+        monkeypatch.setattr(module, "deduplicated", lambda *a: seen.append(a) or one(*a))
+    merging.merge_table(spark, dated(spark, [(1, "b", 2), (1, "c", 1)]), path, ["k"], order=["v"])
+    assert len(seen) == 1 and state(spark, path) == [(1, "c", 1), (2, "a", 2)]

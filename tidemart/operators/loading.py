@@ -45,10 +45,14 @@ def conflicts(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     return batch.groupBy(*keys).agg(F.count("*").alias("n"), different.alias("n_different")).where("n_different > 1")
 
 
+def restated(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``target`` with the keys of ``new``, which has each of them once, restated by it."""
+    return target.join(new, same(target, new, keys), "left_anti").select(*target.columns).unionByName(new)
+
+
 def merged(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """``target`` with the keys of ``batch`` restated by it; a rerun changes nothing, whatever keys are null or repeated in the batch."""
-    new = deduplicated(batch, keys, order)
-    return target.join(new, same(target, new, keys), "left_anti").select(*target.columns).unionByName(new)
+    return restated(target, deduplicated(batch, keys, order), keys)
 
 
 def window_of(rows: DataFrame, at: str, start: str, end: str | None = None) -> DataFrame:

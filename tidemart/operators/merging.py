@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from .loading import deduplicated, exists, merged
+from .loading import deduplicated, exists, restated
 from .scans import same
 
 #: The column of a table's partitions, and the partition of rows without a time.  Labels begin with a letter, so that no reader takes them for dates.
@@ -134,7 +134,7 @@ def merge_table(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
             moved = {r[0] for r in held.join(new, same(held, new, keys), "left_semi").select(PART).distinct().collect()}
         touched = sorted(own | moved)
         old = _folders(spark, path, schema, [(p, before[p]) for p in touched if p in before])
-        rows = merged(old, new.drop(PART), keys, order).withColumn(PART, label)
+        rows = restated(old, new.drop(PART), keys).withColumn(PART, label)
     else:
         touched, rows = sorted(own), new
     rows.repartitionByRange(PART, _key(keys)).write.partitionBy(PART).parquet(f"{path}/data/{run}")
