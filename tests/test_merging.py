@@ -129,3 +129,11 @@ def test_batches_are_deduplicated_once(spark, monkeypatch):
         monkeypatch.setattr(module, "deduplicated", lambda *a: seen.append(a) or one(*a))
     merging.merge_table(spark, dated(spark, [(1, "b", 2), (1, "c", 1)]), path, ["k"], order=["v"])
     assert len(seen) == 1 and state(spark, path) == [(1, "c", 1), (2, "a", 2)]
+
+
+def test_tables_in_hashes_ask_no_filters(spark, monkeypatch):
+    path = shared_path(spark, "m")
+    merging.merge_table(spark, spark.range(100).selectExpr("id", "'a' as v"), path, ["id"], parts=8)
+    monkeypatch.setattr(merging, "_suspects", unasked)
+    assert len(merging.merge_table(spark, spark.createDataFrame([(7, "b")], "id long, v string"), path, ["id"])) == 1
+    assert merging.merge_state(spark, path).where("v = 'b'").count() == 1 and merging.merge_state(spark, path).count() == 100

@@ -121,7 +121,8 @@ def merge_table(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
     if version["manifest"]:
         manifest, filters = spark.read.parquet(f"{path}/manifests/{version['manifest']}"), spark.read.parquet(f"{path}/filters")
         before = {r.part: r.run for r in manifest.select("part", "run").collect()}
-        near = {r.part: r.n for r in _near(new, keys, manifest, own).collect()} if before.keys() - own else {}
+        # a key never moves to another hash
+        near = {r.part: r.n for r in _near(new, keys, manifest, own).collect()} if at and before.keys() - own else {}
         doubted = set(near)
         if near and sum(sizes.values()) * len(near) * PROBE_COST < sum(near.values()):
             live = filters.join(F.broadcast(manifest.where(F.col("part").isin(list(near))).select("part", "run")), ["part", "run"], "left_semi").drop("run")
