@@ -175,3 +175,31 @@ def test_stream_of_slices_keeps_late_rows(spark, tmp_path):
     put([(2, 1, "late"), (3, 1, "c"), (3, 2, "d")])
     merge_arrivals(spark, source, schema, target, at, ["k"], ["t"])
     assert sorted(map(tuple, merging.merge_state(spark, target).collect())) == [(1, 5, "a"), (2, 1, "late"), (3, 2, "d")]
+
+
+def test_a_block_of_vectors_holds_a_tile_of_scores():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = ranking.VECTOR_BLOCK
+    x = np.random.default_rng(3).integers(1, 9, (n, 2)).astype(float)
+    table = lambda name, k: pa.table({name: pa.array(range(k), pa.int64()), "x": pa.array(list(x[:k]), pa.list_(pa.float64())), "norm": np.sqrt((x[:k] * x[:k]).sum(axis=1))})
+    v, q = table("vec_id", n), table("query_id", ranking.TILE)
+    tracemalloc.start()
+    got = ranking._block_topk(v, q, 5).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    scores = (x[7, 0] * x[:, 0] + x[7, 1] * x[:, 1]) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[7] * x[7]).sum()))
+    expected = sorted((-s, i) for i, s in enumerate(scores) if i != 7)[:5]
+    assert [i for own, i in zip(got["query_id"], got["vec_id"]) if own == 7] == [i for _, i in expected]
+
+
+def test_vectors_of_different_sizes_are_refused():
+    import pyarrow as pa
+
+    odd = pa.table({"vec_id": [1, 2], "x": [[1.0], [1.0, 2.0, 3.0]], "norm": [1.0, 1.0]})
+    with pytest.raises(ValueError):
+        ranking._block_topk(odd, odd.rename_columns(["query_id", "x", "norm"]), 2)

@@ -47,30 +47,46 @@ QUERY_BLOCK, VECTOR_BLOCK = 1024, 16_384
 TILE = 512
 
 
+def _nearest(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of scores by row and id the ``k`` highest of each row, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    near = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[near], ids[near], scores[near]
+
+
 def _block_topk(v: pa.Table, q: pa.Table, k: int) -> pa.Table:
     """The ``k`` most similar vectors of a block for each query of a block, ties to the smaller id.
 
-    Products are added in the order of the components, so equal vectors have equal scores wherever they are.
+    Products are added in the order of the components, so equal vectors have equal scores wherever they are.  Of the scores only
+    a tile and the best so far are held.
     """
-    v = v.sort_by("vec_id")
-    vectors, queries = (np.stack(t.column("x").to_numpy()) if t.num_rows else np.zeros((0, 0)) for t in (v, q))
+
+    def side(t: pa.Table) -> np.ndarray:
+        x = t.column("x").combine_chunks()
+        if len(x) and (np.diff(x.offsets.to_numpy()) != len(x[0])).any():
+            raise ValueError("vectors are of different sizes")
+        return x.flatten().to_numpy().reshape(len(x), -1) if len(x) else np.zeros((0, 0))
+
+    vectors, queries = side(v), side(q)
     ids, norms = v.column("vec_id").to_numpy(), v.column("norm").to_numpy()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(queries), TILE):
-        some, own = queries[at : at + TILE], q.column("norm").to_numpy()[at : at + TILE]
-        scores = np.empty((len(some), len(vectors)))
+        some, own, names = (x[at : at + TILE] for x in (queries, q.column("norm").to_numpy(), q.column("query_id").to_numpy()))
+        least = np.full(len(some), -np.inf)  # a row's k-th best so far
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for low in range(0, len(vectors), TILE):
-            block, total = vectors[low : low + TILE], np.zeros((len(some), len(vectors[low : low + TILE])))
+            block, there = vectors[low : low + TILE], ids[low : low + TILE]
+            total = np.zeros((len(some), len(block)))
             for d in range(block.shape[1]):
                 total += np.multiply.outer(some[:, d], block[:, d])
-            scores[:, low : low + TILE] = total / np.multiply.outer(own, norms[low : low + TILE])
-        for name, row in zip(q.column("query_id").to_numpy()[at : at + TILE], scores):
-            row[(ids == name) | ~np.isfinite(row)] = -np.inf
-            least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-            near = np.flatnonzero(row >= least)
-            near = near[np.isfinite(row[near])]
-            near = near[np.argsort(-row[near], kind="stable")][:k]  # ids ascend
-            out.append((np.full(len(near), name), ids[near], row[near]))
+            total /= np.multiply.outer(own, norms[low : low + TILE])
+            total[(there == names[:, None]) | ~np.isfinite(total)] = -np.inf
+            if len(block) > k:
+                least = np.maximum(least, np.partition(total, len(block) - k, axis=1)[:, len(block) - k])
+            row, col = np.nonzero((total >= least[:, None]) & np.isfinite(total))
+            best = _nearest(*map(np.concatenate, zip(best, (row, there[col], total[row, col]))), k)
+        out.append((names[best[0]], best[1], best[2]))
     columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
